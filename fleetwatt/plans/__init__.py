@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ("energy",)
+TOPICS = ("energy", "sources", "scalars", "aggregates", "ordered", "joined")
 
 
 def load_all():
