@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ("energy", "sources", "scalars", "aggregates", "ordered", "joined")
+TOPICS = ("energy", "sources", "scalars", "aggregates", "ordered", "joined", "filters")
 
 
 def load_all():

@@ -30,5 +30,6 @@ def query(name: str, sql: str | None = None):
 
 
 def r6(col: Column | str) -> Column:
-    """Six decimals, and no negative zero: how reports print doubles."""
-    return F.round(F.col(col) if isinstance(col, str) else col, 6) + F.lit(0.0)
+    """Six decimals, half away from zero on the scaled value, and no negative zero."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.round(c * 1e6, 0) / 1e6 + F.lit(0.0)
