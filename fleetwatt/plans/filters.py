@@ -90,7 +90,7 @@ def runtime(spark, sf_dir):
     f"""WITH RECURSIVE {TEL}, p AS (SELECT event_id, device, ts, t_us, CASE WHEN event_id % 17 <> 0 THEN mos_temperature END AS mos FROM tel WHERE event_type NOT IN ('view', 'signup')),
 r AS (SELECT ts, k::DOUBLE AS v FROM tel WHERE event_type = 'view'), o AS (SELECT ts, k / 2.0::DOUBLE AS v FROM tel WHERE event_type = 'signup'),
 a AS (SELECT p.*, CASE WHEN epoch_us(p.ts) - epoch_us(r.ts) <= 600000000 THEN r.v END AS room, CASE WHEN epoch_us(p.ts) - epoch_us(o.ts) <= 600000000 THEN o.v END AS outdoor FROM p ASOF LEFT JOIN r ON p.ts >= r.ts ASOF LEFT JOIN o ON p.ts >= o.ts),
-d AS (SELECT *, 0.0017 + CASE WHEN room IS NULL THEN 0 ELSE 0.0006 END + CASE WHEN outdoor IS NULL THEN 0 ELSE 0.0009 END AS tot, 0.0017 * mos + coalesce(0.0006 * room, 0) + coalesce(0.0009 * outdoor, 0) AS pull FROM a WHERE mos IS NOT NULL),
+d AS (SELECT *, 0.0017::DOUBLE + CASE WHEN room IS NULL THEN 0 ELSE 0.0006::DOUBLE END + CASE WHEN outdoor IS NULL THEN 0 ELSE 0.0009::DOUBLE END AS tot, 0.0017::DOUBLE * mos + coalesce(0.0006::DOUBLE * room, 0) + coalesce(0.0009::DOUBLE * outdoor, 0) AS pull FROM a WHERE mos IS NOT NULL),
 s AS (SELECT *, {RN} FROM d),
 f AS (SELECT event_id, device, ts, rn, t_us, (pull / tot)::DOUBLE AS y FROM s WHERE rn = 1
   UNION ALL SELECT s.event_id, s.device, s.ts, s.rn, s.t_us, CASE WHEN s.t_us - f.t_us > 3600000000 THEN s.pull / s.tot ELSE f.y + (s.pull - s.tot * f.y) * (s.t_us - f.t_us) / 6e7 END FROM f JOIN s ON s.device = f.device AND s.rn = f.rn + 1)
