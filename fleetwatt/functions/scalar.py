@@ -226,6 +226,7 @@ def mode_label(code: Column | str) -> Column:
 
 #: fixed values: benign bits that are left out of alarm codes
 FULLY_CHARGED = 0x80
+WARN_FULLY_CHARGED = 0x10
 STATE_PROTECTION_MASK = 0x7F
 
 
@@ -235,7 +236,7 @@ def alarm_code_three(protect1: Column, protect2: Column, fault: Column) -> Colum
     return protect1.bitwiseOR(F.shiftleft(masked, 8)).bitwiseOR(F.shiftleft(fault, 16))
 
 
-def alarm_code_states(chg: Column, dis: Column, warn_chg: Column, warn_dis: Column, benign: int = FULLY_CHARGED) -> Column:
+def alarm_code_states(chg: Column, dis: Column, warn_chg: Column, warn_dis: Column, benign: int = WARN_FULLY_CHARGED) -> Column:
     """Protection bits of both state bytes, then both warning bytes without the benign one."""
     mask = F.lit(STATE_PROTECTION_MASK)
     return (

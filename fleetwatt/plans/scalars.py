@@ -195,7 +195,7 @@ STATUS_BITS_SQL = ", ".join(f"({o}, {m}, {e})" for o, m, kind, e in STATUS_BITS
 t(o, m, e) AS (VALUES {STATUS_BITS_SQL}),
 c AS (SELECT event_id, bit_or(CASE WHEN (coalesce(s[o + 1], 0) & m) > 0 THEN e ELSE 0 END) AS table_code FROM b, t GROUP BY event_id)
 SELECT event_id, CAST(s[1] | ((s[2] & 127) << 8) | (s[3] << 16) AS BIGINT) AS three_code,
-       CAST((s[1] & 127) | ((s[2] & 127) << 8) | ((s[3] & 127) << 16) | (s[4] << 24) AS BIGINT) AS states_code, CAST(table_code AS INTEGER) AS table_code
+       CAST((s[1] & 127) | ((s[2] & 127) << 8) | ((s[3] & 239) << 16) | (s[4] << 24) AS BIGINT) AS states_code, CAST(table_code AS INTEGER) AS table_code
 FROM b JOIN c USING (event_id)""",
 )
 def alarm_codes(spark, sf_dir):
