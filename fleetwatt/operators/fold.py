@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
 from fleetwatt.operators.timeline import CARRIED, DEVICE_TIME, SLICE, Timeline
 from fleetwatt.session import checkpointed
@@ -222,6 +223,14 @@ def run_fold(
 def _settle(slim: DataFrame, per_slice, keys: Sequence[str], max_rounds: int) -> DataFrame:
     """Hand end states forward until no slice starts from another state than the one it ran with."""
     by_slice = Window.partitionBy(*keys).orderBy(SLICE)
+    slim = slim.persist(StorageLevel.DISK_ONLY)  # read once per round; dropped when the rounds are over
+    try:
+        return _rounds(slim, per_slice, keys, by_slice, max_rounds)
+    finally:
+        slim.unpersist()
+
+
+def _rounds(slim, per_slice, keys, by_slice, max_rounds) -> DataFrame:
     ends = per_slice(slim, None, "end").withColumn("__used", F.lit(None).cast("string"))
     for _ in range(max_rounds):
         table = checkpointed(ends.withColumn("__entry", F.lag(STATE).over(by_slice)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ("energy", "sources", "scalars", "aggregates", "ordered", "joined", "filters", "exports", "captured")
+TOPICS = ("energy", "sources", "scalars", "aggregates", "ordered", "joined", "filters", "exports", "captured", "streams")
 
 
 def load_all():

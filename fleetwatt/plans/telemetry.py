@@ -21,9 +21,21 @@ def _k() -> Column:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_samples(events(spark, sf_dir))
+
+
+def sample_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same view as a stream of files."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").option("maxFilesPerTrigger", 64).parquet(sf_dir)
+    return as_samples(raw.withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+def as_samples(log: DataFrame) -> DataFrame:
+    """`events` rows, batch or stream, as samples."""
     eid = F.col("event_id")
     cells = [(F.lit(2600) + (eid * (7 + 2 * i) + 131 * i) % 1000).cast("int") for i in range(N_CELLS)]
-    return events(spark, sf_dir).select(
+    return log.select(
         "event_id",
         F.concat(F.lit("bms"), (F.col("user_id") % 4).cast("string")).alias("device"),
         "ts",
