@@ -186,7 +186,7 @@ def run_fold(
     """`df` plus the fold's output columns; `args` gives a column for each of `fold.inputs`."""
     keys, keep = list(tl.keys), list(df.columns)
     named = [f"__arg_{n}" for n in fold.inputs]
-    rows = df.withColumn(SLICE, tl.slice_of()).select("*", *[args[n].alias(a) for n, a in zip(fold.inputs, named)])
+    rows = tl.sliced(df).select("*", *[args[n].alias(a) for n, a in zip(fold.inputs, named)])
     slim = rows.select(*keys, SLICE, *[c for c in tl.order if c not in keys], *named)
 
     key_fields = [df.schema[k] for k in keys]

@@ -71,7 +71,10 @@ def asof(
         source = source.withColumn("__spread", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
         side = side.with_keys(*keys, "__spread")
     rows = probe.unionByName(source, allowMissingColumns=True)
-    rows = scan(rows, side, last={f"__k_{n}": F.col(f"__r_{n}") for n in values}).filter("__side = 1")
+    # with an age limit, right rows are copied as far as they are valid; without one, they are carried
+    rows = scan(
+        rows, side, last={f"__k_{n}": F.col(f"__r_{n}") for n in values}, reach_s=max_age_s, reach_if=F.col("__side") == 0
+    ).filter("__side = 1")
     out = {}
     for n in values:
         age_ok = F.lit(True) if max_age_s is None else micros(tl.time) - F.col(f"__k_{n}")["t"] <= int(max_age_s * 1e6)

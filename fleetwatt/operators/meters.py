@@ -40,7 +40,7 @@ def abs_step(prev: Column, y: Column, gap_s: float, step_max: float, time: str =
 def integrate(df: DataFrame, y: Column, gap_s: float, out: str, tl: Timeline = DEVICE_TIME) -> DataFrame:
     """Running trapezoid of one signal; rows without a value are skipped over."""
     df = df.withColumn("__y", y)
-    df = scan(df, tl, last_before={"__p": F.when(F.col("__y").isNotNull(), F.struct(micros(tl.time).alias("t"), F.col("__y").alias("y")))})
+    df = scan(df, tl, last_before={"__p": F.when(F.col("__y").isNotNull(), F.struct(micros(tl.time).alias("t"), F.col("__y").alias("y")))}, reach_s=gap_s)
     df = df.withColumn("__inc", F.coalesce(trapezoid(F.col("__p"), F.col("__y"), gap_s, tl.time), F.lit(0.0)))
     return scan(df, tl, total={out: F.col("__inc")}).drop("__y", "__p", "__inc")
 
@@ -48,7 +48,7 @@ def integrate(df: DataFrame, y: Column, gap_s: float, out: str, tl: Timeline = D
 def abs_diff_sum(df: DataFrame, y: Column, gap_s: float, step_max: float, out: str, tl: Timeline = DEVICE_TIME) -> DataFrame:
     """Running sum of absolute steps; a missing value breaks the chain on both sides."""
     df = df.withColumn("__y", y)
-    df = scan(df, tl, lag={"__p": F.struct(micros(tl.time).alias("t"), F.col("__y").alias("y"))})
+    df = scan(df, tl, lag={"__p": F.struct(micros(tl.time).alias("t"), F.col("__y").alias("y"))}, reach_s=gap_s)
     df = df.withColumn("__inc", F.coalesce(abs_step(F.col("__p"), F.col("__y"), gap_s, step_max, tl.time), F.lit(0.0)))
     return scan(df, tl, total={out: F.col("__inc")}).drop("__y", "__p", "__inc")
 
@@ -76,6 +76,7 @@ def meter_increments(
             "__soc": F.struct(t.alias("t"), (F.col("soc") * 0.005).alias("y")),
             "__q": F.struct(t.alias("t"), F.col("charge").cast("double").alias("y")),
         },
+        reach_s=max(gap_s, DIFF_GAP_S),
     )
 
     def directional(f) -> Column:

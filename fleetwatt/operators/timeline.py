@@ -1,11 +1,17 @@
 """Ordered per-device computation that does not need a whole device in one task.
 
-A device's history is cut into time slices. Every slice is an independent window partition, so a
-device that owns a third of the fleet's rows still spreads over as many tasks as it has slices.
-What a slice needs from the past is one *carry row*: the last row of the previous slice, the last
-known values, or the running total so far. Carry rows come from a map-side combined aggregate (one
-row per device and slice) and are placed at the head of their slice, where ordinary window functions
-pick them up. The full data is shuffled once per scan, and never joined.
+A device's history is cut into time slices, and every slice is an independent window partition, so a
+device that owns a third of the fleet's rows still spreads over as many tasks as it has slices. What a
+slice needs from the past reaches it in one of two ways:
+
+* *Reach*: an operator that looks back a limited time (a gap limit, a maximum age) gets the rows of
+  that last stretch before the slice as copies. One read and one shuffle of the data.
+* *Carry*: an operator that looks back without limit gets one carry row per slice: the last row before
+  it, the last known values, or the running total so far. Carry rows come from a map-side combined
+  aggregate (one row per device and slice). Two reads, one of them with few columns, and one shuffle of
+  the data; the data is never joined.
+
+`balanced` measures the slices and splits the ones that are too large.
 """
 
 from __future__ import annotations
@@ -13,9 +19,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from fleetwatt.session import checkpointed
+
 SLICE = "__slice"
 CARRIED = "__carried"
 
@@ -32,9 +40,24 @@ class Timeline:
     time: str = "ts"
     order: tuple[str, ...] = ("ts", "event_id")
     width_s: int = 86_400
-
-    def slice_of(self) -> Column:
-        return F.expr(f"unix_micros({self.time}) div {self.width_s * 1_000_000}")
+    #: slices to cut finer: (keys, slice, parts), see `balanced`
+    hot: DataFrame | None = None
+
+    def slice_of(self, later_s: float = 0.0) -> Column:
+        """Start of the slice, in microseconds; `later_s` shifts the row's time."""
+        us = self.width_s * 1_000_000
+        return F.expr(f"((unix_micros({self.time}) + {int(later_s * 1e6)}) div {us}) * {us}")
+
+    def sliced(self, df: DataFrame) -> DataFrame:
+        df = df.withColumn(SLICE, self.slice_of())
+        if self.hot is None:
+            return df
+        # the hot list is short by construction (rows / max_rows entries) and its size was checked
+        df = df.join(F.broadcast(self.hot), [*self.keys, SLICE], "left")
+        step = F.ceil(F.lit(self.width_s * 1_000_000) / F.col("__parts")).cast("long")
+        inner = F.unix_micros(self.time) - F.col(SLICE)
+        finer = F.col(SLICE) + (inner - inner % step)
+        return df.withColumn(SLICE, F.when(F.col("__parts").isNull(), F.col(SLICE)).otherwise(finer)).drop("__parts")
 
     def order_key(self) -> Column:
         return F.struct(*[F.col(c) for c in self.order])
@@ -56,6 +79,8 @@ def scan(
     total: Mapping[str, Column] | None = None,
     high: Mapping[str, Column] | None = None,
     low: Mapping[str, Column] | None = None,
+    reach_s: float | None = None,
+    reach_if: Column | None = None,
 ) -> DataFrame:
     """Add running columns along each key's timeline.
 
@@ -64,15 +89,30 @@ def scan(
     last_before  latest non-null value strictly before this row
     total        running sum up to this row
     high, low    running maximum / minimum up to this row (structs compare field by field)
+
+    With `reach_s`, `lag` and the `last` kinds are only promised to see rows at most that much older (and
+    among them only rows for which `reach_if` holds, when they lie in an earlier slice); older rows
+    may or may not be seen, so the caller must apply its own age limit. That needs no carry pass.
     """
     kinds = {"lag": lag, "last": last, "last_before": last_before, "total": total, "high": high, "low": low}
     wanted = {out: (kind, col) for kind, cols in kinds.items() for out, col in (cols or {}).items()}
     arg = {out: f"__in_{out}" for out in wanted}
 
     keys = list(tl.keys)
-    rows = df.withColumn(SLICE, tl.slice_of())
+    rows = tl.sliced(df)
     rows = rows.select("*", *[col.alias(arg[out]) for out, (_, col) in wanted.items()])
 
+    if reach_s is not None and tl.hot is None:
+        if total or high or low:
+            raise ValueError("running totals and extremes look back without limit")
+        us = tl.width_s * 1_000_000
+        copies = F.sequence(F.col(SLICE), tl.slice_of(reach_s), F.lit(us))
+        if reach_if is not None:
+            copies = F.when(reach_if, copies).otherwise(F.array(SLICE))
+        rows = rows.withColumn("__own", F.col(SLICE)).withColumn(SLICE, F.explode(copies))
+        rows = rows.withColumn(CARRIED, F.col(SLICE) != F.col("__own")).drop("__own")
+        return _apply(rows, tl, wanted, arg)
+
     lags = [out for out, (kind, _) in wanted.items() if kind == "lag"]
     knowns = [out for out, (kind, _) in wanted.items() if kind in ("last", "last_before")]
     folds = {"total": F.sum, "high": F.max, "low": F.min}
@@ -107,7 +147,16 @@ def scan(
     )
 
     rows = rows.withColumn(CARRIED, F.lit(False)).unionByName(heads, allowMissingColumns=True)
-    w = Window.partitionBy(*keys, SLICE).orderBy(F.col(CARRIED).desc(), *tl.order)
+    return _apply(rows, tl, wanted, arg)
+
+
+def slice_window(tl: Timeline) -> WindowSpec:
+    """One slice in order, its carry row first."""
+    return Window.partitionBy(*tl.keys, SLICE).orderBy(F.col(CARRIED).desc(), *tl.order)
+
+
+def _apply(rows: DataFrame, tl: Timeline, wanted: Mapping[str, tuple[str, Column]], arg: Mapping[str, str]) -> DataFrame:
+    w = slice_window(tl)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     apply = {
@@ -122,5 +171,28 @@ def scan(
     return out.filter(~F.col(CARRIED)).drop(SLICE, CARRIED, *arg.values())
 
 
+#: more slices than this in the hot list are joined by shuffle-free broadcast no longer
+HOT_LIST_MAX = 200_000
+
+
+def slice_sizes(df: DataFrame, tl: Timeline = DEVICE_TIME) -> DataFrame:
+    """Rows per key and slice; reads the keys and the time only."""
+    return df.select(*tl.keys, tl.slice_of().alias(SLICE)).groupBy(*tl.keys, SLICE).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def balanced(df: DataFrame, tl: Timeline = DEVICE_TIME, max_rows: int = 5_000_000) -> Timeline:
+    """A timeline whose slices hold about `max_rows` rows at most, by cutting the larger ones finer.
+
+    The list of large slices has at most (rows / max_rows) entries; it goes through the checkpoint
+    folder so that later jobs do not count again.
+    """
+    parts = F.ceil(F.col("rows") / max_rows).cast("long")
+    hot = checkpointed(slice_sizes(df, tl).filter(F.col("rows") > max_rows).select(*tl.keys, SLICE, parts.alias("__parts")))
+    n = hot.count()
+    if n > HOT_LIST_MAX:
+        raise ValueError(f"{n} slices above {max_rows} rows: use a smaller slice width or a larger max_rows")
+    return replace(tl, hot=hot) if n else tl
+
+
 def micros(col: str | Column = "ts") -> Column:
     return F.unix_micros(F.col(col) if isinstance(col, str) else col)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetwatt.operators.timeline import DEVICE_TIME, Timeline, micros, scan
+from fleetwatt.operators.timeline import CARRIED, DEVICE_TIME, SLICE, Timeline, micros, scan, slice_window
 
 #: fixed values: power jump detection
 JUMP_REGULARISATION_W = 120.0
@@ -32,7 +32,7 @@ def power_jump(
     if virtual is not None:
         jump = jump & ~virtual
     df = df.withColumn("jump", F.coalesce(jump, F.lit(False))).drop("__prev")
-    df = scan(df, tl, last={"__t_jump": F.when(F.col("jump"), micros(tl.time))})
+    df = scan(df, tl, last={"__t_jump": F.when(F.col("jump"), micros(tl.time))}, reach_s=hold_s, reach_if=F.col("jump"))
     held = micros(tl.time) - F.col("__t_jump") < int(hold_s * 1e6)
     return df.withColumn("jump_hold", F.coalesce(held, F.lit(False))).drop("__t_jump")
 
@@ -83,41 +83,62 @@ CELL_ALMOST_FULL = 3500
 
 
 def weakest_cell(df: DataFrame, cells: str = "cell_mv", tl: Timeline = DEVICE_TIME) -> DataFrame:
-    """The cell that is both the emptiest and the fullest ever seen when the pack nears a limit."""
+    """The cell that is both the emptiest and the fullest ever seen when the pack nears a limit.
+
+    Two dependent passes (running extremes, then the last verdict) share one sort: the summary of a
+    slice keeps its last event with the slice's own extreme at that row, and the verdict follows as soon
+    as the extremes of the earlier slices are known.
+    """
     c = F.col(cells)
     lo, hi = F.array_min(c), F.array_max(c)
-    df = df.withColumns(
-        {
-            "__ok": (lo >= CELL_VALID[0]) & (hi <= CELL_VALID[1]),
-            "__lo": lo,
-            "__hi": hi,
-            "__lo_i": (F.array_position(c, lo) - 1).cast("int"),
-            "__hi_i": (F.array_position(c, hi) - 1).cast("int"),
-        }
-    )
+    ok = (lo >= CELL_VALID[0]) & (hi <= CELL_VALID[1])
     # the earliest row wins a tie, so the order key comes right after the level
-    ever = lambda level, idx: F.when(F.col("__ok"), F.struct(level.alias("level"), *tl.order, F.col(idx).alias("cell")))
-    df = scan(df, tl, low={"__emptiest": ever(F.col("__lo"), "__lo_i"), "__fullest": ever(-F.col("__hi"), "__hi_i")})
-    verdict = lambda idx, other: F.struct(F.when(F.col(idx) == F.col(other)["cell"], F.col(idx)).alias("cell"))
-    event = F.when(
-        F.col("__ok"),
-        F.when(F.col("__lo") < CELL_ALMOST_EMPTY, verdict("__lo_i", "__fullest")).when(
-            F.col("__hi") > CELL_ALMOST_FULL, verdict("__hi_i", "__emptiest")
-        ),
+    level = lambda v, at: F.when(ok, F.struct(v.cast("int").alias("level"), *tl.order, (F.array_position(c, at) - 1).cast("int").alias("cell")))
+    event = F.when(ok & (lo < CELL_ALMOST_EMPTY), "empty").when(ok & (hi > CELL_ALMOST_FULL), "full")
+    rows = tl.sliced(df).withColumns({"__empty": level(lo, lo), "__full": level(-hi, hi), "__event": event, CARRIED: F.lit(False)})
+
+    w = slice_window(tl)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = {"__emptiest": F.min("__empty").over(upto), "__fullest": F.min("__full").over(upto)}
+
+    def verdict(event: Column, emptiest: Column, fullest: Column, empty: Column, full: Column) -> Column:
+        """Wrapped in a struct, so that "no weakest cell" is a value and not a gap."""
+        cell = F.when(event == "empty", F.when(empty["cell"] == fullest["cell"], empty["cell"])).otherwise(
+            F.when(full["cell"] == emptiest["cell"], full["cell"])
+        )
+        return F.when(event.isNotNull(), F.struct(cell.alias("cell")))
+
+    seen = F.struct("__event", "__emptiest", "__fullest", "__empty", "__full")
+    heads = rows.withColumns(running).groupBy(*tl.keys, SLICE).agg(
+        F.min("__empty").alias("__empty"),
+        F.min("__full").alias("__full"),
+        F.max_by(seen, F.when(F.col("__event").isNotNull(), tl.order_key())).alias("__seen"),
     )
-    df = df.withColumn("__event", event)
-    df = scan(df, tl, last={"__weakest": F.col("__event")})
-    return df.withColumn("weakest_cell", F.col("__weakest.cell")).drop(
-        "__ok", "__lo", "__hi", "__lo_i", "__hi_i", "__emptiest", "__fullest", "__event", "__weakest"
+    by_slice = Window.partitionBy(*tl.keys).orderBy(SLICE)
+    past = by_slice.rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.withColumns({"__past_empty": F.min("__empty").over(past), "__past_full": F.min("__full").over(past)})
+    s = F.col("__seen")
+    known = verdict(
+        s["__event"], F.least("__past_empty", s["__emptiest"]), F.least("__past_full", s["__fullest"]), s["__empty"], s["__full"]
     )
-
-
-def gaps(df: DataFrame, threshold_s: float, tl: Timeline = DEVICE_TIME) -> DataFrame:
-    """`gap_s` to the previous sample and the number of the uninterrupted segment, from zero."""
-    df = scan(df, tl, lag={"__prev": micros(tl.time)})
-    df = df.withColumn("gap_s", (micros(tl.time) - F.col("__prev")) / 1e6).drop("__prev")
-    brk = F.coalesce((F.col("gap_s") > threshold_s).cast("long"), F.lit(0).cast("long"))
-    return scan(df, tl, total={"segment": brk})
+    heads = heads.withColumn("__verdict", known).select(
+        *tl.keys, SLICE, F.col("__past_empty").alias("__empty"), F.col("__past_full").alias("__full"),
+        F.last("__verdict", ignorenulls=True).over(past).alias("__carry"), F.lit(True).alias(CARRIED),
+    ).filter("__empty IS NOT NULL OR __carry IS NOT NULL")
+
+    rows = rows.unionByName(heads, allowMissingColumns=True).withColumns(running)
+    own = verdict(F.col("__event"), F.col("__emptiest"), F.col("__fullest"), F.col("__empty"), F.col("__full"))
+    rows = rows.withColumn("__verdict", F.coalesce("__carry", own))
+    rows = rows.withColumn("__weakest", F.last("__verdict", ignorenulls=True).over(upto)).filter(~F.col(CARRIED))
+    return rows.withColumn("weakest_cell", F.col("__weakest.cell")).select(*df.columns, "weakest_cell")
+
+
+def segments(df: DataFrame, threshold_s: float, out: str = "segment", tl: Timeline = DEVICE_TIME) -> DataFrame:
+    """Number of the uninterrupted segment, from zero."""
+    df = scan(df, tl, lag={"__prev": micros(tl.time)}, reach_s=threshold_s)
+    joined = micros(tl.time) - F.col("__prev") <= int(threshold_s * 1e6)
+    df = df.withColumn("__new", F.when(joined, F.lit(0)).otherwise(F.lit(1)).cast("long")).drop("__prev")
+    return scan(df, tl, total={"__n": F.col("__new")}).withColumn(out, F.col("__n") - 1).drop("__new", "__n")
 
 
 def outages(df: DataFrame, threshold_s: float, tl: Timeline = DEVICE_TIME) -> DataFrame:

@@ -132,7 +132,7 @@ def outages(spark, sf_dir):
 SELECT event_id, device, CAST(sum(CASE WHEN gap > 1800 THEN 1 ELSE 0 END) OVER {WIN} AS BIGINT) AS segment FROM g""",
 )
 def segments(spark, sf_dir):
-    return W.gaps(samples(spark, sf_dir).select("device", "ts", "event_id"), 1800.0).select("event_id", "device", "segment")
+    return W.segments(samples(spark, sf_dir).select("device", "ts", "event_id"), 1800.0).select("event_id", "device", "segment")
 
 
 @query(
