@@ -71,6 +71,37 @@ def _bounds(at: pa.Array, size: np.ndarray) -> np.ndarray:
     return np.clip(np.array(pc.fill_null(at, 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0, size)
 
 
+def _array_reader(size: int, endian: str, signed: bool):
+    """UDF over a batch of frames: `count` numbers of `size` bytes each from `at` on; NULL beyond the frame."""
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def read(frame: pa.Array, at: pa.Array, count: pa.Array) -> pa.Array:
+        data, offsets = _flat(frame)
+        data = np.append(data, 0)  # somewhere to point at when a number lies beyond its frame
+        n = np.maximum(np.array(pc.fill_null(count, 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0)
+        ends = np.cumsum(n)
+        nth = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
+        first = offsets[:-1] + np.array(pc.fill_null(at, 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        pos = np.repeat(first, n) + nth * size
+        inside = pos + size <= np.repeat(offsets[1:], n)
+        pos = np.where(inside, pos, 0)
+        value = np.zeros(len(pos), dtype=np.int64)
+        for i in range(size):
+            shift = 8 * (size - 1 - i if endian == "big" else i)
+            value |= data[np.minimum(pos + i, len(data) - 1)].astype(np.int64) << shift
+        if signed and size < 8:
+            value -= (value >> (8 * size - 1)) << (8 * size)
+        lists = np.concatenate([[0], ends]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(lists), pa.array(value, mask=~inside), mask=frame.is_null())
+
+    return read
+
+
+def numbers_at(frame: Column, offset: int, length: int, count: Column, endian: str = "big", signed: bool = False) -> Column:
+    """Array of equal numbers, decoded for the whole batch at once (up to 7 bytes each)."""
+    return _array_reader(length, endian, signed)(frame, F.lit(offset), count.cast("int"))
+
+
 def byte_sum(frame: Column, start: int = 0, stop: Column | int | None = None) -> Column:
     """Sum of the bytes in [start, stop)."""
     stop = F.length(frame) if stop is None else F.lit(stop) if isinstance(stop, int) else stop
@@ -361,8 +392,8 @@ def _value(raw: Column, f: Num) -> Column:
     return F.lit(0.0) - v if f.div < 0 else v
 
 
-def _element(frame: Column, f: Nums, at: int):
-    return lambda i: _value(number_at(frame, F.lit(at) + i * f.length, f.length, f.endian, f.signed), f)
+def _scaled(f: Nums):
+    return lambda raw: _value(raw, f)
 
 
 def decode(frame: Column, layout: Layout) -> dict[str, Column]:
@@ -379,8 +410,9 @@ def decode(frame: Column, layout: Layout) -> dict[str, Column]:
             else:
                 n = F.lit(f.count)
             n = F.least(n, F.lit(f.limit))
-            read = _element(frame, f, at)
-            values = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), read)).otherwise(F.transform(F.array().cast("array<int>"), read))
+            raw = numbers_at(frame, at, f.length, n, f.endian, f.signed)
+            plain = f.div == 1 and not f.add and not f.missing
+            values = raw if plain else F.transform(raw, _scaled(f))
             out[f.name] = F.array_compact(values) if f.drop_missing else values
         else:
             out[f.name] = _value(number_at(frame, at, f.length, f.endian, f.signed), f)

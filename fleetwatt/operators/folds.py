@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left
-from collections.abc import Iterator, Sequence
-from typing import Any
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -139,58 +138,100 @@ class EwmZScore(ComposableFold):
 
 
 class Quantizer(ComposableFold):
-    """Hysteresis quantizer of an already smoothed signal: half steps, pulled by a third of the last value.
+    """Smoothing, then a hysteresis quantizer: half steps, pulled by a third of the last output.
 
-    The step map is monotone and shrinks distances to a third, so after `HEAD` rows all possible
-    starts have met in a few neighbouring levels. The summary keeps the head rows as they are and
-    the end level for each of those few.
+    `x` is one value or an array of sensors; every sensor has a filter of its own, by position.
+
+    Both parts forget: after `20 * span` values the smoothed signal no longer depends on where it
+    started (the rest weighs less than a rounding error), and the quantizer's step is monotone and shrinks
+    distances to a third, so 48 steps later all possible starts have met in a few neighbouring levels.
+    The summary keeps the values up to there as they are, and the end level for each of those few.
     """
 
-    inputs = ("x", "smoothed")
-    HEAD = 48
+    inputs = ("x",)
+    SETTLE = 48
     FAR = 1e9
 
-    def __init__(self, step: float, out: str = "quantized", digits: int | None = None):
-        self.q, self.digits = step, digits
-        self.output = f"{out} double"
+    def __init__(self, step: float, span: float, out: str = "quantized", sensors: bool = False, digits: int | None = None):
+        self.q, self.alpha, self.digits, self.sensors = step, 2 / (span + 1), digits, sensors
+        self.forget = int(20 * span)
+        self.output = f"{out} {'array<double>' if sensors else 'double'}"
 
     def _next(self, last: float, smoothed: float) -> float:
         return round((last + 2 * smoothed) / 3 * 2 / self.q) * 0.5 * self.q
 
+    def _one(self, state: list | None, x: float | None) -> list | None:
+        if not finite(x):
+            return state
+        smoothed, last = state or (None, x)
+        smoothed = smooth(smoothed, x, self.alpha)
+        return [smoothed, self._next(last, smoothed)]
+
+    def _show(self, state: list | None) -> float | None:
+        if state is None or self.digits is None:
+            return state and state[1]
+        return round(state[1], self.digits)
+
+    def init(self):
+        return []
+
     def step(self, state, row):
-        x, smoothed = row
-        if finite(x):
-            state = self._next(x if state is None else state, smoothed)
-        shown = state if state is None or self.digits is None else round(state, self.digits)
-        return state, (shown,)
+        values = (row[0] or []) if self.sensors else [row[0]]
+        state = state + [None] * (len(values) - len(state))
+        state = [self._one(s, values[i]) if i < len(values) else s for i, s in enumerate(state)]
+        shown = [self._show(s) for s in state[: len(values)]]
+        if not self.sensors:
+            return state, (shown[0],)
+        return state, (None if row[0] is None else shown,)
 
     def summarise(self, rows):
-        head: list[list[float]] = []
-        lo, hi, cold = -self.FAR, self.FAR, None
-        ends: dict[float, float] | None = None
-        for x, smoothed in rows:
-            if not finite(x):
-                continue
-            cold = self._next(x if cold is None else cold, smoothed)
-            if len(head) < self.HEAD:
-                head.append([x, smoothed])
-                lo, hi = self._next(lo, smoothed), self._next(hi, smoothed)
-                continue
-            if ends is None:
-                n = round((hi - lo) * 2 / self.q)
-                ends = {v: v for v in [round(lo * 2 / self.q + i) * 0.5 * self.q for i in range(n + 1)]}
-            ends = {v: self._next(e, smoothed) for v, e in ends.items()}
-        return [head, None if ends is None else [[k, v] for k, v in ends.items()], cold]
+        runs: list[_Settling] = []
+        for (x,) in rows:
+            values = (x or []) if self.sensors else [x]
+            while len(runs) < len(values):
+                runs.append(_Settling(self))
+            for run, v in zip(runs, values):
+                if finite(v):
+                    run.add(v)
+        return [r.dump() for r in runs]
 
     def advance(self, state, summary):
-        head, ends, cold = summary
-        if state is None:
-            return cold
-        for x, smoothed in head:
-            state = self._next(state, smoothed)
-        if ends is not None:
-            state = min(ends, key=lambda e: abs(e[0] - state))[1]
-        return state
+        state = state + [None] * (len(summary) - len(state))
+        out = list(state)
+        for i, (head, smoothed, ends) in enumerate(summary):
+            s = state[i]
+            for x in head:
+                s = self._one(s, x)
+            if ends:
+                s = [smoothed, min(ends, key=lambda e: abs(e[0] - s[1]))[1]]
+            out[i] = s
+        return out
+
+
+class _Settling:
+    """One sensor of one slice: the values until everything is forgotten, then the possible levels."""
+
+    def __init__(self, fold: Quantizer):
+        self.fold, self.head, self.smoothed = fold, [], None
+        self.lo, self.hi, self.ends = -fold.FAR, fold.FAR, None
+
+    def add(self, x: float) -> None:
+        f = self.fold
+        self.smoothed = smooth(self.smoothed, x, f.alpha)
+        if len(self.head) < f.forget + f.SETTLE:
+            self.head.append(x)
+            if len(self.head) > f.forget:
+                self.lo, self.hi = f._next(self.lo, self.smoothed), f._next(self.hi, self.smoothed)
+            return
+        if self.ends is None:
+            first, last = round(self.lo * 2 / f.q), round(self.hi * 2 / f.q)
+            levels = [n * 0.5 * f.q for n in range(first, last + 1)]
+            self.ends = [[v, v] for v in levels]
+        for end in self.ends:
+            end[1] = f._next(end[1], self.smoothed)
+
+    def dump(self) -> list:
+        return [self.head, self.smoothed, self.ends]
 
 
 class Throttle(ComposableFold):
@@ -254,6 +295,47 @@ def follow_chain(state: int | None, chain: list[list[int]], interval: int) -> in
     return state
 
 
+class Periods(ComposableFold):
+    """Periodic signals: each is true on the sample after the one that closed its period.
+
+    All are true on the first sample. The state is the start of the running period and the pending
+    signal, per period.
+    """
+
+    inputs = ("t_us",)
+    output = "due array<boolean>"
+
+    def __init__(self, periods_us: Sequence[int]):
+        self.periods = list(periods_us)
+
+    def init(self):
+        return [[None, True] for _ in self.periods]
+
+    def _one(self, state, t, period):
+        start, _ = state
+        if start is None:
+            return [t, period == 0]
+        return [t, True] if t - start >= period else [start, False]
+
+    def step(self, state, row):
+        (t,) = row
+        due = [signal for _, signal in state]
+        return [self._one(s, t, p) for s, p in zip(state, self.periods)], (due,)
+
+    def summarise(self, rows):
+        ts = [t for (t,) in rows]
+        return [len(ts), ts[-1], [kept_chain(ts, p) for p in self.periods]]
+
+    def advance(self, state, summary):
+        n, last, chains = summary
+        out = []
+        for (start, _), chain, period in zip(state, chains, self.periods):
+            at = follow_chain(start, chain, period)
+            alone = start is None and n == 1
+            out.append([at, period == 0 if alone else at == last])
+        return out
+
+
 class KeepAlive(ComposableFold):
     """Emit a value when it changed, or when `interval_us` has passed since it was last emitted."""
 
@@ -421,36 +503,27 @@ def ewm_zscore(df: DataFrame, x: Column, span: float = 120, reg: float = 0.1, tl
 TEMPERATURE_FILTERS = {"daly": (1.0, 40), "jk": (0.1, 30), "ant": (1.0, 40)}
 
 
-def quantize(df: DataFrame, x: Column, step: float, span: float, out: str, digits: int | None = None, tl: Timeline = DEVICE_TIME) -> DataFrame:
-    """Smooth, then quantize with hysteresis."""
-    df = run_fold(df.withColumn("__x", x.cast("double")), Ewma(span, "__smoothed"), {"x": F.col("__x")}, tl)
-    df = run_fold(df, Quantizer(step, out, digits), {"x": F.col("__x"), "smoothed": F.col("__smoothed")}, tl)
-    return df.drop("__x", "__smoothed")
+def quantize(df: DataFrame, x: Column, step: float, span: float, out: str = "quantized", digits: int | None = None, tl: Timeline = DEVICE_TIME) -> DataFrame:
+    """Smooth one signal and quantize it with hysteresis."""
+    return run_fold(df, Quantizer(step, span, out, digits=digits), {"x": x.cast("double")}, tl)
 
 
 def temp_filter(df: DataFrame, step: float, span: float, tl: Timeline = DEVICE_TIME) -> DataFrame:
-    """Filter every sensor of `temperatures` and `mos_temperature` on its own.
+    """Filter every sensor of `temperatures` (two decimals) and `mos_temperature`, each on its own.
 
-    Sensors are exploded to rows keyed by (device, sensor), filtered, and put back by one grouped
-    aggregate per sample.
+    The MOSFET sensor rides along as the first element, so that one pass filters all of them.
     """
-    sensors = F.concat(
-        F.transform(F.col("temperatures"), lambda v, i: F.struct(i.cast("string").alias("sensor"), v.cast("double").alias("v"))),
-        F.array(F.struct(F.lit("mos").alias("sensor"), F.col("mos_temperature").cast("double").alias("v"))),
-    )
-    ident = [*tl.keys, *[c for c in tl.order if c not in tl.keys]]
-    long = df.select(*ident, F.explode(sensors).alias("__s")).select(*ident, "__s.*")
-    long = quantize(long, F.col("v"), step, span, "f", tl=tl.with_keys(*tl.keys, "sensor"))
-    index = F.col("sensor").try_cast("int")
-    two = lambda c: F.rint(c * 100) / 100
-    back = long.groupBy(*ident).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.when(index.isNotNull(), F.struct(index.alias("i"), two(F.col("f")).alias("f"))))),
-            lambda e: e["f"],
-        ).alias("temperatures"),
-        F.max(F.when((F.col("sensor") == "mos") & F.col("v").isNotNull(), F.col("f"))).alias("mos_temperature"),
-    )
-    return df.drop("temperatures", "mos_temperature").join(back, ident, "left")
+    probes = F.coalesce(F.col("temperatures").cast("array<double>"), F.array().cast("array<double>"))
+    every = F.concat(F.array(F.col("mos_temperature").cast("double")), probes)
+    out = run_fold(df, Quantizer(step, span, "__filtered", sensors=True), {"x": every}, tl)
+    rest = F.slice("__filtered", F.lit(2), F.size("__filtered"))
+    filtered = F.transform(rest, lambda v: F.rint(v * 100) / 100)
+    return out.withColumns(
+        {
+            "mos_temperature": F.when(F.col("mos_temperature").isNotNull(), F.get("__filtered", F.lit(0))),
+            "temperatures": F.when(F.col("temperatures").isNotNull(), filtered),
+        }
+    ).drop("__filtered")
 
 
 def throttle(df: DataFrame, interval_s: float, out: str = "kept", seed: Column | None = None, tl: Timeline = DEVICE_TIME) -> DataFrame:
@@ -489,23 +562,34 @@ DISCOVERY_S = 300.0
 
 
 def publish_decision(df: DataFrame, period_s: float, over_power: float | None = None, tl: Timeline = DEVICE_TIME) -> DataFrame:
-    """Needs `power` and `jump_hold`. A period signal is true on the sample after the one that closed it."""
-    signals = []
-    for name, period in (("__period", period_s), ("__discovery", DISCOVERY_S)):
-        df = throttle(df, period, f"{name}_closed", tl=tl)
-        signals.append(name)
-    df = scan(df, tl, total={"__n": F.lit(1)})
-    df = scan(df, tl, lag={n: F.when(F.col("__n") == 1, F.lit(period == 0)).otherwise(F.col(f"{n}_closed")) for n, period in (("__period", period_s), ("__discovery", DISCOVERY_S))})
-    due = F.coalesce(F.col("__period"), F.lit(True)) | F.coalesce(F.col("__discovery"), F.lit(True)) | F.col("jump_hold")
+    """Needs `power` and `jump_hold`. A row is due by either period, by a recent jump or by sheer power."""
+    df = run_fold(df, Periods([int(period_s * 1e6), int(DISCOVERY_S * 1e6)]), {"t_us": micros(tl.time)}, tl)
+    due = F.get("due", F.lit(0)) | F.get("due", F.lit(1)) | F.col("jump_hold")
     if over_power is not None:
         due = due | F.coalesce(F.abs("power") > over_power, F.lit(False))
-    return df.withColumn("publish", due).drop("__n", *signals, *[f"{n}_closed" for n in signals])
+    return df.withColumn("publish", due).drop("due")
 
 
 #: fixed value: a full charge is due this long after the last one
 CALIBRATION_S = 14 * 86_400.0
 
 
+def calibrations(df: DataFrame, calibration_s: float, last_calibration: Column | None = None, tl: Timeline = DEVICE_TIME) -> DataFrame:
+    """Per key: when the record starts (`seed`, the stored time or the first sample) and every calibration.
+
+    A calibration is a full sample more than `calibration_s` after the previous one: a throttle over
+    the full samples alone, which are few, and of which it keeps one in weeks.
+    """
+    keys = list(tl.keys)
+    start = F.min(micros(tl.time)) if last_calibration is None else F.coalesce(F.max(last_calibration), F.min(micros(tl.time)))
+    starts = df.groupBy(*keys).agg(start.alias("__seed"))
+    full = df.filter(F.col("soc") == 100).select(*keys, *tl.order).join(starts, keys)
+    kept = run_fold(full, Throttle(int(calibration_s * 1e6) + 1, "__kept"), {"t_us": micros(tl.time), "seed_us": F.col("__seed")}, tl)
+    mark = F.struct(*tl.order)
+    marks = kept.filter("__kept").groupBy(*keys).agg(F.array_sort(F.collect_list(mark)).alias("__marks"))
+    return starts.join(marks, keys, "left")
+
+
 def soc_controller(
     df: DataFrame,
     stop: Column | float,
@@ -516,25 +600,23 @@ def soc_controller(
 ) -> DataFrame:
     """Charge-switch commands: stay between `start` and `stop`, but reach 100 % every `calibration_s`.
 
-    Calibrations are a throttle over the full samples, so their times come first; with them the
-    charging state is the last event that set it, and a command is due where the reported switch
-    disagrees. Needs `soc` and `switch_charge`; returns the commands.
+    The calibration times come first (a handful per device). With them every row knows whether a
+    calibration is due, the charging state is the last event that set it, and a command is due where the
+    reported switch disagrees. Needs `soc` and `switch_charge`; returns the commands.
     """
     stop = stop if isinstance(stop, Column) else F.lit(float(stop))
     start = start if isinstance(start, Column) else F.lit(float(start))
     low = F.least(start, stop - 0.2)
-    t = micros(tl.time)
-    df = scan(df, tl, total={"__n": F.lit(1)})
-    seed = t if last_calibration is None else F.coalesce(last_calibration, t)
-    marks = df.filter((F.col("soc") == 100) | (F.col("__n") == 1)).select(*tl.keys, *tl.order, "soc", "__n")
-    marks = throttle(marks.withColumn("__seed", seed), calibration_s + 1e-6, "__calibrated", F.col("__seed"), tl)
-    marks = marks.filter(F.col("__calibrated") & (F.col("soc") == 100)).select(*tl.keys, *tl.order, F.lit(True).alias("__done"))
-    first = F.when(F.col("__n") == 1, seed)
-    df = df.join(marks, [*tl.keys, *tl.order], "left")
-    df = scan(df, tl, last_before={"__last": F.coalesce(F.when(F.col("__done"), t), first)})
-    last = F.coalesce("__last", first)
-    need = t - last > int(calibration_s * 1e6)
-    soc, sw = F.col("soc"), F.col("switch_charge")
+    if calibration_s:
+        known = calibrations(df, calibration_s, last_calibration, tl)
+        now = F.struct(*tl.order)
+        before = F.array_max(F.filter("__marks", lambda m: m < now))
+        last = F.coalesce(F.unix_micros(before[tl.time]), F.col("__seed"))
+        due = micros(tl.time) - last > int(calibration_s * 1e6)
+        df = df.join(known, list(tl.keys)).withColumn("__need", due).drop("__marks", "__seed")
+    else:
+        df = df.withColumn("__need", F.lit(False))
+    need, soc, sw = F.col("__need"), F.col("soc"), F.col("switch_charge")
     event = (
         F.when(need & (soc == 100), False)
         .when(need & ~sw, True)
@@ -542,10 +624,8 @@ def soc_controller(
         .when(soc >= stop, False)
         .when(soc <= low, True)
     )
-    df = df.withColumns({"__need": need, "__event": event})
-    df = scan(df, tl, last_before={"__was": F.col("__event")})
+    df = scan(df, tl, last_before={"__was": event})
     was = F.coalesce("__was", F.lit(True))
-    need = F.col("__need")
     value = (
         F.when(need & (soc == 100), False)
         .when(need & ~sw, True)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetwatt.functions.frames import LAYOUTS, VALIDATORS, decode, number_at
+from fleetwatt.functions.frames import LAYOUTS, VALIDATORS, decode, number_at, numbers_at
 from fleetwatt.functions.scalar import round_half_even
 from fleetwatt.operators.fold import Fold, run_fold
 from fleetwatt.operators.timeline import DEVICE_TIME, Timeline
@@ -34,7 +34,7 @@ def decode_meter(frames: DataFrame, frame: str = "frame") -> DataFrame:
 
 def modbus_cells(df: DataFrame, count: str = "n_cells", cells: str = "cell_mv", frame: str = "frame") -> DataFrame:
     """With a known cell count the first slots are the cells, whatever they read."""
-    raw = F.transform(F.sequence(F.lit(0), F.col(count) - 1), lambda i: number_at(F.col(frame), F.lit(3) + i * 2, 2))
+    raw = numbers_at(F.col(frame), 3, 2, F.col(count))
     return df.withColumn(cells, F.when(F.col(count) > 0, raw).otherwise(F.col(cells)))
 
 

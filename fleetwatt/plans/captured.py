@@ -26,22 +26,36 @@ def hex_int(v: Column | int, n: int, endian: str = "big") -> Column:
     return text
 
 
-def packed(n_bytes: int, parts: dict[int, Column | str]) -> Column:
-    """Hex text of `n_bytes` with the parts (hex text) at their offsets and zeros between."""
+def packed(n_bytes: int, parts: dict[int, tuple]) -> Column:
+    """Hex text of `n_bytes` with the parts at their offsets and zeros between."""
     out, at = [], 0
     for offset in sorted(parts):
-        part, width = parts[offset]
-        out += [F.lit("00" * (offset - at)), part if isinstance(part, Column) else F.lit(part)]
+        text, width, _ = parts[offset]
+        out += [F.lit("00" * (offset - at)), text]
         at = offset + width
     return F.concat(*out, F.lit("00" * (n_bytes - at)))
 
 
+def sum_of(parts: dict[int, tuple]) -> Column:
+    """Sum of all bytes of the parts."""
+    total = F.lit(0).cast("long")
+    for _, _, subtotal in parts.values():
+        total = total + subtotal
+    return total
+
+
 def field(v, n, endian="big"):
-    return hex_int(v, n, endian), n
+    """(hex text, width, sum of its bytes) of an integer."""
+    v = F.lit(v) if isinstance(v, int) else v
+    digits = F.lit(0).cast("long")
+    for i in range(n):
+        digits = digits + F.shiftright(v.cast("long"), 8 * i).bitwiseAND(F.lit(255))
+    return hex_int(v, n, endian), n, digits
 
 
-def sum8(text: Column) -> Column:
-    return hex_int(B.byte_sum(F.unhex(text)) % 256, 1)
+def literal(text: str):
+    raw = bytes.fromhex(text)
+    return F.lit(text), len(raw), F.lit(sum(raw)).cast("long")
 
 
 def off_by_one(byte_text: Column) -> Column:
@@ -63,17 +77,13 @@ def V() -> Column:
 def jbd_info_frame() -> Column:
     raw_current = F.floor((50 - V()) * 10)
     mos = F.col("switches")["charge"].cast("int") + 2 * F.col("switches")["discharge"].cast("int")
-    payload = packed(
-        27,
-        {
-            0: field(4800 + 5 * K(), 2), 2: field(raw_current, 2), 4: field(100 * K(), 2), 6: field(10000, 2), 8: field(E() % 1000, 2),
-            16: field(F.col("problem_code"), 2), 19: field(K(), 1), 20: field(mos, 1), 21: field(4, 1), 22: field(2, 1),
-            23: field(2731 + 150 + F.floor(V()), 2), 25: field(2731 + 2 * K() - 100, 2),
-        },
-    )
-    body = F.concat(F.lit("001B"), payload)
-    check = hex_int(0x10000 - B.byte_sum(F.unhex(body)), 2)
-    return F.concat(F.lit("DD03"), body, check, F.lit("77"))
+    parts = {
+        0: field(4800 + 5 * K(), 2), 2: field(raw_current, 2), 4: field(100 * K(), 2), 6: field(10000, 2), 8: field(E() % 1000, 2),
+        16: field(F.col("problem_code"), 2), 19: field(K(), 1), 20: field(mos, 1), 21: field(4, 1), 22: field(2, 1),
+        23: field(2731 + 150 + F.floor(V()), 2), 25: field(2731 + 2 * K() - 100, 2),
+    }
+    check = hex_int(0x10000 - 0x1B - sum_of(parts), 2)
+    return F.concat(F.lit("DD03001B"), packed(27, parts), check, F.lit("77"))
 
 
 JBD_SQL = """round((4800 + 5 * k) / 100.0::DOUBLE, 6) AS voltage, round(-floor((50 - value) * 10) / 100.0::DOUBLE, 6) + 0.0 AS current, k::DOUBLE AS charge, 100.0::DOUBLE AS capacity, event_id % 1000 AS num_cycles,
@@ -148,7 +158,7 @@ def daly_cell_parts(spark, sf_dir):
 def decode_daly2(spark, sf_dir):
     """The alarm mask has 64 bits and can exceed a signed long."""
     code = F.when(E() % 2 == 0, F.lit("F" * 16)).otherwise(hex_int(E(), 8))
-    parts = {0: (F.lit("D2037C"), 3), 83: field(480 + K(), 2), 85: field(30000 + F.floor(V()) - 500, 2), 87: field(K(), 2), 101: field(4, 2), 103: field(E() % 3 , 2), 67: field(K(), 2), 69: field(K() + 1, 2), 119: (code, 8)}
+    parts = {0: literal("D2037C"), 83: field(480 + K(), 2), 85: field(30000 + F.floor(V()) - 500, 2), 87: field(K(), 2), 101: field(4, 2), 103: field(E() % 3 , 2), 67: field(K(), 2), 69: field(K() + 1, 2), 119: (code, 8, None)}
     parts |= {3 + 2 * i: field(F.get("cell_mv", F.lit(i)), 2) for i in range(4)}
     df = R.decode_frames(samples(spark, sf_dir).select("event_id", "k", F.unhex(packed(129, parts)).alias("frame")), "daly2")
     return df.select(
@@ -161,15 +171,14 @@ def decode_daly2(spark, sf_dir):
 def jk_status_frame(kind: str) -> Column:
     s = 32 if kind == "32s" else 0
     le = lambda v, n: field(v, n, "little")
-    parts = {0: (F.lit("55AAEB9002"), 5), 118 + s: le(48000 + 50 * K(), 4), 126 + s: le(F.floor((50 - V()) * 100), 4), 130 + s: le(K() * 10 - 300, 2), 132 + s: le(F.when(E() % 4 == 0, -2000).otherwise(250), 2),
+    parts = {0: literal("55AAEB9002"), 118 + s: le(48000 + 50 * K(), 4), 126 + s: le(F.floor((50 - V()) * 100), 4), 130 + s: le(K() * 10 - 300, 2), 132 + s: le(F.when(E() % 4 == 0, -2000).otherwise(250), 2),
              138 + s: le(E() % 100 - 50, 2), 141 + s: field(K(), 1), 142 + s: le(K() * 1000, 4), 150 + s: le(E() % 500, 4), 154 + s: le(E() * 3, 4), 162 + s: le(E() * 60, 4)}
     if kind == "32s":
         parts |= {144: le(F.floor(V()) + 100, 2), 178: le(95000, 4), 190: field(97, 1), 256: le(K() - 50, 2), 258: le(-2000, 2)}
     else:
         parts |= {134: le(F.floor(V()) + 100, 2)}
     parts |= {6 + 2 * i: le(F.get("cell_mv", F.lit(i)), 2) for i in range(4)}
-    text = packed(299, parts)
-    return F.concat(text, sum8(text))
+    return F.concat(packed(299, parts), hex_int(sum_of(parts), 1))
 
 
 JK_SQL = """event_id, round((48000 + 50 * k) / 1000.0::DOUBLE, 6) AS voltage, round(-floor((50 - value) * 100) / 1000.0::DOUBLE, 6) + 0.0 AS current, k::DOUBLE AS charge, event_id % 500 AS num_cycles, event_id * 60 AS uptime, round(event_id * 3 / 1000.0::DOUBLE, 6) AS total_charge_throughput,
@@ -183,7 +192,7 @@ UNION ALL SELECT {JK_SQL}, 'jk 32s', 97.0::DOUBLE, round(CASE WHEN k > 0 THEN ro
 )
 def decode_jk(spark, sf_dir):
     """Both firmware layouts, joined with the settings frame of the device for the configured capacity."""
-    settings_text = packed(300, {0: (F.lit("55AAEB9001"), 5), 118: field(1, 1), 122: field(1, 1), 130: field(275000, 4, "little")})
+    settings_text = packed(300, {0: literal("55AAEB9001"), 118: field(1, 1), 122: field(1, 1), 130: field(275000, 4, "little")})
     df = samples(spark, sf_dir).withColumn("settings", F.unhex(settings_text))
     out = []
     for kind in ("24s", "32s"):
@@ -217,7 +226,7 @@ def decode_litime(spark, sf_dir):
 
 
 def modbus_capacity_frame() -> Column:
-    parts = {0: (F.lit("010332"), 3), 3: field(F.when(E() % 5 == 0, 0).otherwise(400 + K()), 2), 27: field(F.when(V() > 50, 0).otherwise(F.floor(V())), 2), 29: field(F.when(V() > 50, F.floor(V())).otherwise(0), 2),
+    parts = {0: literal("010332"), 3: field(F.when(E() % 5 == 0, 0).otherwise(400 + K()), 2), 27: field(F.when(V() > 50, 0).otherwise(F.floor(V())), 2), 29: field(F.when(V() > 50, F.floor(V())).otherwise(0), 2),
              31: field(K(), 2), 33: field(98, 2), 35: field(10 * K(), 2), 37: field(980, 2), 39: field(1000, 2), 41: field(E() % 700, 2)}
     body = packed(53, parts)
     return F.concat(body, hex_int(B.crc16_modbus(F.unhex(body)), 2, "little"))
@@ -233,7 +242,7 @@ def decode_modbus(spark, sf_dir):
     from fleetwatt.functions.scalar import net_current
 
     cell = lambda i: F.when(F.get("cell_mv", F.lit(i)) % 6 == 0, 0xEE49).otherwise(F.get("cell_mv", F.lit(i)))
-    volts = packed(81, {0: (F.lit("01034C"), 3), **{3 + 2 * i: field(cell(i), 2) for i in range(4)}, 77: field(1448, 2)})
+    volts = packed(81, {0: literal("01034C"), **{3 + 2 * i: field(cell(i), 2) for i in range(4)}, 77: field(1448, 2)})
     df = samples(spark, sf_dir).select("event_id", F.unhex(modbus_capacity_frame()).alias("cap"), F.unhex(volts).alias("frame"), (E() % 4 + 1).cast("int").alias("n_cells"))
     df = R.frame_valid(R.decode_frames(df, "modbus_capacity", "cap"), "modbus", "cap")
     cells = B.decode(F.col("frame"), B.LAYOUTS["modbus_volts"])["cell_mv"]
@@ -254,8 +263,8 @@ def decode_basen(spark, sf_dir):
     le = lambda v, n: field(v, n, "little")
     states = F.when(E() % 3 == 0, 0x85).otherwise(0x80)
     warn = F.when(E() % 2 == 0, 0x11).otherwise(0x10)
-    body = packed(28, {0: (F.lit("3B162A18"), 4), 4: le(F.floor((50 - V()) * 100), 4), 8: le(48000 + 50 * K(), 4), 12: field(K(), 1), 13: field(K() - 60, 1), 14: field(25, 1), 15: field(-1, 1), 16: le(1000 * K(), 4), 20: field(states, 1), 21: field(0x80, 1), 22: field(warn, 1), 24: field(K(), 1)})
-    check = hex_int(B.byte_sum(F.unhex(body), 1), 2, "little")
+    parts = {0: literal("3B162A18"), 4: le(F.floor((50 - V()) * 100), 4), 8: le(48000 + 50 * K(), 4), 12: field(K(), 1), 13: field(K() - 60, 1), 14: field(25, 1), 15: field(-1, 1), 16: le(1000 * K(), 4), 20: field(states, 1), 21: field(0x80, 1), 22: field(warn, 1), 24: field(K(), 1)}
+    body, check = packed(28, parts), hex_int(sum_of(parts) - 0x3B, 2, "little")
     df = samples(spark, sf_dir).select("event_id", F.unhex(F.concat(body, check, F.lit("0D0A"))).alias("frame"))
     df = R.frame_valid(R.decode_frames(df, "basen_status"), "basen")
     code = alarm_code_states(*[F.col(c).cast("int") for c in ("charge_states", "discharge_states", "charge_warn", "discharge_warn")])
@@ -268,8 +277,8 @@ def decode_basen(spark, sf_dir):
 SELECT event_id, round(v, 6) AS voltage, round(i, 6) AS current, round(q, 6) AS charge, round(e, 6) AS energy, 59 AS temperature, round_even(v * i, 0) + 0.0 AS power, i > 0 AS battery_charging FROM m""",
 )
 def decode_meter(spark, sf_dir):
-    compact = packed(36, {0: (F.lit("FF550102"), 4), 4: field(3000 + K(), 2), 6: field(F.floor(V()), 2), 8: field(E(), 3), 11: field(K(), 4), 24: field(59, 2)})
-    padded = packed(36, {0: (F.lit("FF550102"), 4), 4: field(K(), 3), 7: field(F.floor(V()), 3), 10: field(E(), 3), 13: field(K(), 4), 24: field(59, 2)})
+    compact = packed(36, {0: literal("FF550102"), 4: field(3000 + K(), 2), 6: field(F.floor(V()), 2), 8: field(E(), 3), 11: field(K(), 4), 24: field(59, 2)})
+    padded = packed(36, {0: literal("FF550102"), 4: field(K(), 3), 7: field(F.floor(V()), 3), 10: field(E(), 3), 13: field(K(), 4), 24: field(59, 2)})
     df = samples(spark, sf_dir).select("event_id", F.unhex(F.when(E() % 2 == 0, compact).otherwise(padded)).alias("frame"))
     out = R.decode_meter(df)
     return out.select("event_id", *[r6(c).alias(c) for c in ("voltage", "current", "charge", "energy", "power")], "temperature", "battery_charging")
@@ -294,13 +303,14 @@ def frame_valid(spark, sf_dir):
         .otherwise(good)
     )
     jk = F.col("jk")
-    other = packed(299, {0: (F.lit("55AAEB9007"), 5)})
-    jk = F.when(E() % 4 == 0, F.concat(F.substring(jk, 1, 598), off_by_one(F.substring(jk, 599, 2)))).when(E() % 4 == 1, F.concat(other, sum8(other))).when(E() % 4 == 2, F.substring(jk, 1, 590)).otherwise(jk)
-    mod = F.col("mod")
-    mod = F.when(E() % 3 == 0, F.concat(F.substring(mod, 1, 106), F.lit("0000"))).when(E() % 3 == 1, F.substring(mod, 1, 100)).otherwise(mod)
-    text = packed(12, {0: (F.lit("A501"), 2), 4: field(K(), 2)})
-    daly = F.when(E() % 3 == 0, F.concat(F.lit("A4"), F.substring(text, 3, 30), F.lit("00"))).when(E() % 3 == 1, F.concat(text, off_by_one(sum8(text)))).otherwise(F.concat(text, sum8(text)))
-    df = samples(spark, sf_dir).select("event_id", "k", jbd_info_frame().alias("good"), jk_status_frame("24s").alias("jk"), modbus_capacity_frame().alias("mod"))
+    other = {0: literal("55AAEB9007")}
+    jk = F.when(E() % 4 == 0, F.concat(F.substring(jk, 1, 598), off_by_one(F.substring(jk, 599, 2)))).when(E() % 4 == 1, F.concat(packed(299, other), hex_int(sum_of(other), 1))).when(E() % 4 == 2, F.substring(jk, 1, 590)).otherwise(jk)
+    reply = "0103080004000100060005"
+    mod = F.when(E() % 3 == 0, F.lit(reply + "CDD4")).when(E() % 3 == 1, F.lit(reply)).otherwise(F.lit(reply + "CDD5"))
+    parts = {0: literal("A501"), 4: field(K(), 2)}
+    text, total = packed(12, parts), hex_int(sum_of(parts), 1)
+    daly = F.when(E() % 3 == 0, F.concat(F.lit("A4"), F.substring(text, 3, 30), F.lit("00"))).when(E() % 3 == 1, F.concat(text, off_by_one(total))).otherwise(F.concat(text, total))
+    df = samples(spark, sf_dir).select("event_id", "k", jbd_info_frame().alias("good"), jk_status_frame("24s").alias("jk"))
     df = df.select("event_id", F.unhex(jbd).alias("frame"), F.unhex(jk).alias("jk"), F.unhex(mod).alias("mod"), F.unhex(daly).alias("daly"))
     df = R.frame_valid(df, "jbd")
     return df.select("event_id", "reason", "ok", B.invalid_jk(F.col("jk")).alias("jk_reason"), B.invalid_modbus(F.col("mod")).alias("modbus_reason"), B.invalid_daly(F.col("daly")).alias("daly_reason"))

@@ -179,16 +179,16 @@ def entity_state(df: DataFrame, ident: Sequence[str] = ("device", "ts")) -> Data
     if "cell_mv" in have:
         at = lambda i: F.concat(F.lit("cell_voltages/"), (i + 1).cast("string"))
         parts.append(F.transform("cell_mv", lambda v, i: _num(at(i), v / 1000.0)))
-        s = cell_stats("cell_mv")
+        df, s = df.withColumn("__stats", cell_stats("cell_mv")), F.col("__stats")
         parts.append(F.array(*[_num(f"cell_voltages/{n}", s[n]) for n in ("min", "min_index", "max", "max_index", "delta", "average", "median")]))
     if "temperatures" in have:
         at_t = lambda i: F.concat(F.lit("temperatures/"), (i + 1).cast("string"))
         parts.append(F.transform("temperatures", lambda v, i: _num(at_t(i), round_sig(v, 4))))
     empty = F.array().cast(_ENTITY)
     every = F.concat(*[F.coalesce(p.cast(_ENTITY), empty) for p in parts])
-    shown = F.filter(every, lambda e: e["value"].isNotNull() | e["state"].isNotNull())
-    return df.select(*ident, F.explode(shown).alias("e")).select(
-        *ident, F.concat(topic_prefix("device"), F.lit("/"), F.col("e.topic")).alias("topic"), "e.value", "e.state"
+    name = topic_prefix("device").alias("__name")
+    return df.select(*ident, name, F.explode(every).alias("e")).filter("e.value IS NOT NULL OR e.state IS NOT NULL").select(
+        *ident, F.concat("__name", F.lit("/"), F.col("e.topic")).alias("topic"), "e.value", "e.state"
     )
 
 
