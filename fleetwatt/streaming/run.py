@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,13 +19,26 @@ def stream_dir(spark: SparkSession) -> str:
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def state_partitions(spark: SparkSession):
+    """Keyed state gets at most two partitions per core: every one of them is a store to open per batch."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def catch_up(out: DataFrame, path: str, checkpoint: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Process everything there is, append it to `path`, stop, and read the result."""
     writer = out.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    q = writer.option("checkpointLocation", checkpoint).start(path)
-    q.awaitTermination()
+    with state_partitions(out.sparkSession):
+        q = writer.option("checkpointLocation", checkpoint).start(path)
+        q.awaitTermination()
     return out.sparkSession.read.schema(out.schema).parquet(path)
 
 
