@@ -10,7 +10,8 @@ its start:
 * Any other fold starts every slice cold, hands the end state of each slice to the next one, and
   repeats for the slices whose start state moved, until none does. The first slice is exact from the
   start, and each round makes at least the next slice exact, so the fixed point is the sequential
-  result; filters that forget their past settle in two or three rounds.
+  result. Filters that forget their past settle in two or three rounds; for those that do not, each round
+  follows a moved state through twice as many slices as the round before.
 
 Rows stream through `mapInArrow`: one Arrow batch is in memory, never a device or a slice. Only the
 state table (one row per device and slice) is written to the checkpoint folder.
@@ -20,6 +21,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Mapping, Sequence
+from itertools import groupby
+from operator import itemgetter
 from typing import Any
 
 import pyarrow as pa
@@ -32,6 +35,7 @@ from fleetwatt.operators.timeline import CARRIED, DEVICE_TIME, SLICE, Timeline
 from fleetwatt.session import checkpointed
 
 STATE = "__state"
+RUN = "__run"
 
 
 class Fold:
@@ -66,58 +70,62 @@ def _lists(batch: pa.RecordBatch, names: Sequence[str]) -> list[list]:
 
 
 def _slices(batches: Iterator[pa.RecordBatch], keys: Sequence[str], inputs: Sequence[str]):
-    """Consecutive (key and slice, start state, row iterator) triples of a sorted partition."""
+    """Consecutive (key and slice, row iterator) pairs of a sorted partition."""
 
     def rows():
         for batch in batches:
-            ids = list(zip(*_lists(batch, keys)))
-            heads, states = _lists(batch, [CARRIED, STATE])
-            args = list(zip(*_lists(batch, inputs))) if inputs else [()] * batch.num_rows
-            yield from zip(ids, heads, states, args)
+            yield from zip(zip(*_lists(batch, keys)), zip(*_lists(batch, inputs)))
 
-    stream = rows()
-    nxt = next(stream, None)
-    while nxt is not None:
-        key, start = nxt[0], None
-        if nxt[1]:
-            start = nxt[2]
-            nxt = next(stream, None)
+    for key, group in groupby(rows(), key=itemgetter(0)):
+        yield key, (row for _, row in group)
 
-        def body(key=key):
-            nonlocal nxt
-            while nxt is not None and nxt[0] == key:
-                yield nxt[3]
-                nxt = next(stream, None)
 
-        it = body()
-        yield key, start, it
-        for _ in it:  # whatever the caller left unread
-            pass
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types)], schema=schema)
 
 
-def _per_slice(fold: Fold, keys: Sequence[str], inputs: Sequence[str], schema: pa.Schema, what: str):
-    """Task function: one output row per slice, its summary or its end state."""
+def _summaries(fold: ComposableFold, keys: Sequence[str], inputs: Sequence[str], schema: pa.Schema):
+    """Task function: one summary per slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
-
-        def flush():
-            cols = list(zip(*done))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types)], schema=schema)
-
-        for key, start, rows in _slices(batches, keys, inputs):
-            if what == "summary":
-                value = fold.summarise(rows)
-            else:
-                value = fold.init() if start is None else json.loads(start)
-                for row in rows:
-                    value, _ = fold.step(value, row)
-            done.append((*key, json.dumps(value)))
-            if len(done) >= 4096:
-                yield flush()
+        for key, rows in _slices(batches, keys, inputs):
+            done.append((*key, json.dumps(fold.summarise(rows))))
+            if len(done) >= 1024:
+                yield _batch(done, schema)
                 done = []
         if done:
-            yield flush()
+            yield _batch(done, schema)
+
+    return run
+
+
+def _ends(fold: Fold, keys: Sequence[str], inputs: Sequence[str], schema: pa.Schema):
+    """Task function over runs of slices: the state each slice ended with, and the one it started from."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = sl = used = state = None
+        for batch in batches:
+            done = []
+            ids = list(zip(*_lists(batch, [*keys, RUN])))
+            slices, heads, states = _lists(batch, [SLICE, CARRIED, STATE])
+            args = list(zip(*_lists(batch, inputs)))
+            for key, s, head, start, row in zip(ids, slices, heads, states, args):
+                if (key, s) != (at, sl):
+                    if at is not None:
+                        used_next = json.dumps(state)
+                        done.append((*at[:-1], sl, used_next, used))
+                    if key != at:
+                        state, used_next = fold.init(), None
+                    at, sl, used = key, s, used_next
+                if head:
+                    state, used = json.loads(start), start
+                else:
+                    state, _ = fold.step(state, row)
+            yield _batch(done, schema)
+        if at is not None:
+            yield _batch([(*at[:-1], sl, json.dumps(state), used)], schema)
 
     return run
 
@@ -164,8 +172,7 @@ def _stitch(fold: ComposableFold, keys: Sequence[str], schema: pa.Schema):
                 else:
                     done.append((*key, sl, json.dumps(state)))
                 state = fold.advance(state, json.loads(summary))
-            cols = list(zip(*done)) if done else [()] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types)], schema=schema)
+            yield _batch(done, schema)
 
     return run
 
@@ -193,26 +200,24 @@ def run_fold(
     state_schema = T.StructType([*key_fields, T.StructField(SLICE, T.LongType()), T.StructField(STATE, T.StringType())])
     state_arrow = _arrow(state_schema)
 
-    def ordered(part: DataFrame, heads: DataFrame | None) -> DataFrame:
+    def ordered(part: DataFrame, heads: DataFrame | None, by: str = SLICE) -> DataFrame:
         part = part.withColumn(CARRIED, F.lit(False))
         if heads is None:
             part = part.withColumn(STATE, F.lit(None).cast("string"))
         else:
             part = part.unionByName(heads.withColumn(CARRIED, F.lit(True)), allowMissingColumns=True)
-        return part.repartition(*keys, SLICE).sortWithinPartitions(*keys, SLICE, F.col(CARRIED).desc(), *tl.order)
-
-    def per_slice(part: DataFrame, heads: DataFrame | None, what: str) -> DataFrame:
-        task = _per_slice(fold, [*keys, SLICE], named, state_arrow, what)
-        return ordered(part, heads).mapInArrow(task, state_schema)
+        return part.repartition(*keys, by).sortWithinPartitions(*keys, by, F.col(CARRIED).desc(), *tl.order)
 
     if isinstance(fold, ComposableFold):
-        summaries = per_slice(slim, None, "summary")
+        summaries = ordered(slim, None).mapInArrow(_summaries(fold, [*keys, SLICE], named, state_arrow), state_schema)
         heads = (
             summaries.repartition(*keys).sortWithinPartitions(*keys, SLICE)
             .mapInArrow(_stitch(fold, keys, state_arrow), state_schema)
         )
     else:
-        heads = _settle(slim, per_slice, keys, max_rounds)
+        used_schema = T.StructType([*state_schema.fields, T.StructField("__used", T.StringType())])
+        ends = _ends(fold, keys, named, _arrow(used_schema))
+        heads = _settle(slim, lambda part, heads: ordered(part, heads, RUN).mapInArrow(ends, used_schema), keys, max_rounds)
 
     out_schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL(fold.output).fields])
     out_arrow = _arrow(T.StructType.fromDDL(fold.output))
@@ -220,29 +225,32 @@ def run_fold(
     return emitted
 
 
-def _settle(slim: DataFrame, per_slice, keys: Sequence[str], max_rounds: int) -> DataFrame:
+def _settle(slim: DataFrame, ends_of, keys: Sequence[str], max_rounds: int) -> DataFrame:
     """Hand end states forward until no slice starts from another state than the one it ran with."""
-    by_slice = Window.partitionBy(*keys).orderBy(SLICE)
     slim = slim.persist(StorageLevel.DISK_ONLY)  # read once per round; dropped when the rounds are over
     try:
-        return _rounds(slim, per_slice, keys, by_slice, max_rounds)
+        return _rounds(slim, ends_of, keys, max_rounds)
     finally:
         slim.unpersist()
 
 
-def _rounds(slim, per_slice, keys, by_slice, max_rounds) -> DataFrame:
-    ends = per_slice(slim, None, "end").withColumn("__used", F.lit(None).cast("string"))
-    for _ in range(max_rounds):
-        table = checkpointed(ends.withColumn("__entry", F.lag(STATE).over(by_slice)))
-        moved = table.filter(~F.col("__entry").eqNullSafe(F.col("__used")))
-        if moved.isEmpty():
-            return table.filter("__entry IS NOT NULL").select(*keys, SLICE, F.col("__entry").alias(STATE))
-        heads = moved.select(*keys, SLICE, F.col("__entry").alias(STATE))
-        again = slim.join(moved.select(*keys, SLICE), [*keys, SLICE], "left_semi")
-        redone = per_slice(again, heads, "end").join(
-            moved.select(*keys, SLICE, F.col("__entry").alias("__used")), [*keys, SLICE]
-        )
-        ends = table.join(moved.select(*keys, SLICE), [*keys, SLICE], "left_anti").select(
-            *keys, SLICE, STATE, "__used"
-        ).unionByName(redone.select(*keys, SLICE, STATE, "__used"))
+def _rounds(slim: DataFrame, ends_of, keys: Sequence[str], max_rounds: int) -> DataFrame:
+    by_slice = Window.partitionBy(*keys).orderBy(SLICE)
+    ids = [*keys, SLICE]
+    ends = ends_of(slim.withColumn(RUN, F.col(SLICE)), None)
+    for turn in range(max_rounds):
+        table = ends.select(*ids, STATE, "__used").withColumn("__entry", F.lag(STATE).over(by_slice))
+        moved = ~F.col("__entry").eqNullSafe(F.col("__used"))
+        table = table.withColumn("__nth", F.row_number().over(by_slice)).withColumn("__moved", moved)
+        table = checkpointed(table)
+        if table.filter("__moved").isEmpty():
+            return table.filter("__entry IS NOT NULL").select(*ids, F.col("__entry").alias(STATE))
+        # a run: a moved slice and the slices behind it, more of them each round
+        begin = F.last(F.when(F.col("__moved"), F.struct("__nth", SLICE)), ignorenulls=True).over(by_slice)
+        span = 2 ** max(0, turn - 1)
+        runs = table.withColumn("__begin", begin).filter(F.col("__nth") - F.col("__begin.__nth") < span)
+        runs = runs.select(*ids, F.col(f"__begin.{SLICE}").alias(RUN))
+        heads = table.filter("__moved").select(*ids, F.col(SLICE).alias(RUN), F.col("__entry").alias(STATE))
+        redone = ends_of(slim.join(runs, ids), heads)
+        ends = table.join(runs.select(*ids), ids, "left_anti").select(*ids, STATE, "__used").unionByName(redone)
     raise RuntimeError("the fold did not settle")
