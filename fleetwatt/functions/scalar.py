@@ -20,11 +20,14 @@ def nan_to_null(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             out[f.name] = F.nanvl(f.name, F.lit(None).cast(f.dataType))
         elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, (T.DoubleType, T.FloatType)):
-            null = F.lit(None).cast(f.dataType.elementType)
-            out[f.name] = F.transform(f.name, lambda x, null=null: F.nanvl(x, null))
+            out[f.name] = F.transform(f.name, _null_for_nan(f.dataType.elementType))
     return df.withColumns(out) if out else df
 
 
+def _null_for_nan(kind: T.DataType):
+    return lambda x: F.nanvl(x, F.lit(None).cast(kind))
+
+
 def power(explicit: Column | str, voltage: Column | str = "voltage", current: Column | str = "current") -> Column:
     return F.coalesce(col(explicit), col(voltage) * col(current))
 

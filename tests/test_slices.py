@@ -12,7 +12,7 @@ from fleetwatt.operators.timeline import DEVICE_TIME, balanced, slice_sizes
 from fleetwatt.plans.telemetry import samples
 
 WHOLE = replace(DEVICE_TIME, width_s=10**9)
-NARROW = replace(DEVICE_TIME, width_s=5_000)
+NARROW = replace(DEVICE_TIME, width_s=30_000)
 
 
 @pytest.fixture(scope="module")
