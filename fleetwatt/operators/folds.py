@@ -324,15 +324,17 @@ class Periods(ComposableFold):
 
     def summarise(self, rows):
         ts = [t for (t,) in rows]
-        return [len(ts), ts[-1], [kept_chain(ts, p) for p in self.periods]]
+        tied = len(ts) > 1 and ts[-2] == ts[-1]
+        return [ts[0], ts[-1], tied, [kept_chain(ts, p) for p in self.periods]]
 
     def advance(self, state, summary):
-        n, last, chains = summary
+        first, last, tied, chains = summary
         out = []
         for (start, _), chain, period in zip(state, chains, self.periods):
             at = follow_chain(start, chain, period)
-            alone = start is None and n == 1
-            out.append([at, period == 0 if alone else at == last])
+            # the last row closed a period when the running one starts with it, and with no earlier row
+            closed = at == last and not tied and at != (first if start is None else start)
+            out.append([at, period == 0 or closed])
         return out
 
 

@@ -45,31 +45,31 @@ def ordered(gaps):
     return out
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=300, deadline=None)
 @given(st.lists(values, min_size=1, max_size=80), st.lists(st.integers(0, 80), max_size=4))
 def test_ewma(xs, cuts):
     check(O.Ewma(6), [(x,) for x in xs], cuts)
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=300, deadline=None)
 @given(st.lists(values, min_size=1, max_size=80), st.lists(st.integers(0, 80), max_size=4))
 def test_ewm_zscore(xs, cuts):
     check(O.EwmZScore(20, 0.1), [(x,) for x in xs], cuts)
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=500, deadline=None)
 @given(times, st.integers(1, 30), st.lists(st.integers(0, 80), max_size=4), st.one_of(st.none(), st.integers(-20, 0)))
 def test_throttle(gaps, interval, cuts, seed):
     check(O.Throttle(interval), [(t, seed) for t in ordered(gaps)], cuts)
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=500, deadline=None)
 @given(times, st.lists(st.sampled_from("ab"), min_size=80, max_size=80), st.integers(1, 60), st.lists(st.integers(0, 80), max_size=4))
 def test_keepalive(gaps, labels, interval, cuts):
     check(O.KeepAlive(interval), list(zip(ordered(gaps), labels)), cuts)
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=500, deadline=None)
 @given(times, st.lists(st.integers(0, 30), min_size=1, max_size=3), st.lists(st.integers(0, 80), max_size=4))
 def test_periods(gaps, periods, cuts):
     check(O.Periods(periods), [(t,) for t in ordered(gaps)], cuts)
