@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fleetwatt.operators.fold import ComposableFold, Fold, run_fold
 from fleetwatt.operators.timeline import DEVICE_TIME, Timeline, micros, scan
+from fleetwatt.session import checkpointed
 
 
 def smooth(y: float | None, x: float, alpha: float) -> float:
@@ -580,16 +581,17 @@ def calibrations(df: DataFrame, calibration_s: float, last_calibration: Column |
     """Per key: when the record starts (`seed`, the stored time or the first sample) and every calibration.
 
     A calibration is a full sample more than `calibration_s` after the previous one: a throttle over
-    the full samples alone, which are few, and of which it keeps one in weeks.
+    the full samples alone, which are few, and of which it keeps one in weeks. Both tables have a row
+    per device; they are written to the checkpoint folder, so the samples behind them are read once.
     """
     keys = list(tl.keys)
     start = F.min(micros(tl.time)) if last_calibration is None else F.coalesce(F.max(last_calibration), F.min(micros(tl.time)))
-    starts = df.groupBy(*keys).agg(start.alias("__seed"))
+    starts = checkpointed(df.groupBy(*keys).agg(start.alias("__seed")))
     full = df.filter(F.col("soc") == 100).select(*keys, *tl.order).join(starts, keys)
     kept = run_fold(full, Throttle(int(calibration_s * 1e6) + 1, "__kept"), {"t_us": micros(tl.time), "seed_us": F.col("__seed")}, tl)
     mark = F.struct(*tl.order)
     marks = kept.filter("__kept").groupBy(*keys).agg(F.array_sort(F.collect_list(mark)).alias("__marks"))
-    return starts.join(marks, keys, "left")
+    return checkpointed(starts.join(marks, keys, "left"))
 
 
 def soc_controller(

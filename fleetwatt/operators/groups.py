@@ -21,7 +21,8 @@ def align_group(samples: DataFrame, members: DataFrame, tick_s: int, tl: Timelin
     last = at_tick.groupBy("group", "member", "ord", "__tick").agg(
         F.max_by(F.struct(*rest), tl.order_key()).alias("row")
     )
-    per_member = last.groupBy("group", "member").agg(F.min("__tick").alias("lo"), F.max("__tick").alias("hi"))
+    # the bounds come from the keys and the time alone, so the wide rows are aggregated once
+    per_member = at_tick.groupBy("group", "member").agg(F.min("__tick").alias("lo"), F.max("__tick").alias("hi"))
     sizes = members.groupBy("group").agg(F.countDistinct("member").alias("n_members"))
     span = (
         per_member.groupBy("group").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("seen"))
@@ -54,6 +55,17 @@ def _in_order(c: str) -> Column:
     return F.flatten(F.transform(ordered, lambda x: x["v"]))
 
 
+def _merged(c: str) -> Column:
+    """Union of the members' maps in member order; the later member wins."""
+    ordered = F.array_sort(F.collect_list(F.struct("ord", F.map_entries(c).alias("e"))))
+    known = F.filter(ordered, lambda x: x["e"].isNotNull())
+    entries = F.reverse(F.flatten(F.transform(known, lambda x: x["e"])))
+    names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    # the first entry from the end is the one that counts
+    value = lambda k: F.get(F.filter(entries, lambda e: e["key"] == k), F.lit(0))["value"]
+    return F.map_from_arrays(names, F.transform(names, value))
+
+
 def sum_parallel(aligned: DataFrame, keys=("group", "tick"), time: str = "ts") -> DataFrame:
     """The group's sample: mean voltage, summed currents and charges, capacity-weighted soc and soh."""
     cap = F.col("capacity")
@@ -77,20 +89,15 @@ def sum_parallel(aligned: DataFrame, keys=("group", "tick"), time: str = "ts") -
     if "cell_mv" in have:
         complete = F.count("cell_mv") == F.count(F.lit(1))
         aggs.append(F.when(complete, _in_order("cell_mv")).alias("cell_mv"))
+    if "switches" in have:
+        aggs.append(_merged("switches").alias("switches"))
     return aligned.groupBy(*keys).agg(*aggs)
 
 
 def merge_switches(aligned: DataFrame, keys=("group", "tick")) -> DataFrame:
-    """Union of the members' switch maps; the later member wins."""
-    long = aligned.select(*keys, "ord", F.explode("switches").alias("switch", "on"))
-    each = long.groupBy(*keys, "switch").agg(F.max_by("on", "ord").alias("on"))
-    return each.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("switch", "on")))).alias("switches"))
+    return aligned.groupBy(*keys).agg(_merged("switches").alias("switches"))
 
 
 def group_samples(samples: DataFrame, members: DataFrame, tick_s: int, tl: Timeline = DEVICE_TIME) -> DataFrame:
     """Group rows in the layout of device rows, ready for `unionByName` with them."""
-    aligned = align_group(samples, members, tick_s, tl)
-    out = sum_parallel(aligned, time=tl.time)
-    if "switches" in samples.columns:
-        out = out.join(merge_switches(aligned), ["group", "tick"], "left")
-    return out.withColumnRenamed("group", "device")
+    return sum_parallel(align_group(samples, members, tick_s, tl), time=tl.time).withColumnRenamed("group", "device")

@@ -42,6 +42,12 @@ def test_group(spark):
     assert (round(r.voltage, 6), r.current, r.charge, r.capacity, r.soc) == (12.3, 5.0, 110.0, 200.0, 55.0)
 
 
+def test_switches_of_the_later_member_win(spark):
+    rows = [("g", 0, 1, {"charge": False, "balance": True}), ("g", 0, 0, {"charge": True}), ("g", 0, 2, None)]
+    df = spark.createDataFrame(rows, "group string, tick long, ord int, switches map<string,boolean>")
+    assert G.merge_switches(df).first().switches == {"charge": False, "balance": True}
+
+
 def test_group_waits_for_all_members(spark):
     rows = [("a", T0 + timedelta(minutes=m), m, 12.0) for m in (1, 2, 3, 9)] + [("b", T0 + timedelta(minutes=5), 99, 13.0)]
     df = spark.createDataFrame(rows, "device string, ts timestamp, event_id long, voltage double")
