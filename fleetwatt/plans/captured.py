@@ -18,12 +18,13 @@ from fleetwatt.plans.telemetry import TEL, samples
 
 
 def hex_int(v: Column | int, n: int, endian: str = "big") -> Column:
-    v = F.lit(v) if isinstance(v, int) else v
-    v = v.cast("long").bitwiseAND(F.lit((1 << 8 * n) - 1 if n < 8 else -1))
-    text = F.lpad(F.hex(v), 2 * n, "0")
-    if endian == "little":
-        text = F.concat(*[F.substring(text, 2 * i + 1, 2) for i in reversed(range(n))])
-    return text
+    v = (F.lit(v) if isinstance(v, int) else v).cast("long")
+    if endian == "little" and n > 1:
+        swapped = F.lit(0).cast("long")
+        for i in range(n):
+            swapped = swapped.bitwiseOR(F.shiftleft(F.shiftright(v, 8 * i).bitwiseAND(F.lit(255)), 8 * (n - 1 - i)))
+        v = swapped
+    return F.lpad(F.hex(v.bitwiseAND(F.lit((1 << 8 * n) - 1 if n < 8 else -1))), 2 * n, "0")
 
 
 def packed(n_bytes: int, parts: dict[int, tuple]) -> Column:
@@ -326,9 +327,10 @@ def reassemble(spark, sf_dir):
     """Every packet holds the tail of the previous frame, sometimes junk, and the head of the next frame."""
     from fleetwatt.operators.timeline import scan
 
-    good = jbd_info_frame()
+    good = F.col("good")
     text = F.when(E() % 10 == 3, F.concat(F.substring(good, 1, 64), off_by_one(F.substring(good, 65, 2)), F.lit("77"))).otherwise(good)
-    df = scan(samples(spark, sf_dir).withColumn("f", text).select("event_id", "device", "ts", "f"), lag={"p": F.col("f")})
+    base = samples(spark, sf_dir).withColumn("good", jbd_info_frame())
+    df = scan(base.withColumn("f", text).select("event_id", "device", "ts", "f"), lag={"p": F.col("f")})
     junk = F.when(E() % 6 == 0, F.lit("41540D0A")).otherwise(F.lit(""))
     chunk = F.concat(F.coalesce(F.substring(F.col("p"), 49, 20), F.lit("")), junk, F.substring(F.col("f"), 1, 48))
     chunks = df.select("device", "ts", E().alias("seq"), F.unhex(chunk).alias("chunk"))

@@ -185,7 +185,7 @@ def entity_state(df: DataFrame, ident: Sequence[str] = ("device", "ts")) -> Data
         at_t = lambda i: F.concat(F.lit("temperatures/"), (i + 1).cast("string"))
         parts.append(F.transform("temperatures", lambda v, i: _num(at_t(i), round_sig(v, 4))))
     empty = F.array().cast(_ENTITY)
-    every = F.concat(*[F.coalesce(p.cast(_ENTITY), empty) for p in parts])
+    every = F.concat(*[F.coalesce(p, empty) for p in parts])
     name = topic_prefix("device").alias("__name")
     return df.select(*ident, name, F.explode(every).alias("e")).filter("e.value IS NOT NULL OR e.state IS NOT NULL").select(
         *ident, F.concat("__name", F.lit("/"), F.col("e.topic")).alias("topic"), "e.value", "e.state"
