@@ -49,15 +49,14 @@ def asof(
     keys: Sequence[str] = ("device",),
     tl: Timeline = DEVICE_TIME,
     spread: int | None = None,
-    spread_by: str = "device",
 ) -> DataFrame:
     """Latest known value of each column in `values` (expressions over `right`) at each left row.
 
     Each value column is carried on its own, so a right row that lacks one does not hide an older
     value. Both sides go through one sliced scan: no row meets more than its own neighbours.
 
-    When the right side has no device key (`keys=()`), `spread` left partitions per slice are used
-    and the right side is copied into each of them.
+    When the right side has no device key (`keys=()`), the left rows of a slice are dealt evenly to
+    `spread` partitions, whatever device they belong to, and the right side is copied into each.
     """
     side = Timeline(tuple(keys), tl.time, (tl.time, "__side", *[c for c in tl.order if c != tl.time]), tl.width_s)
     probe = left.withColumn("__side", F.lit(1))
@@ -67,7 +66,7 @@ def asof(
         *[F.when(e.isNotNull(), F.struct(micros(tl.time).alias("t"), e.alias("v"))).alias(f"__r_{n}") for n, e in values.items()],
     )
     if spread:
-        probe = probe.withColumn("__spread", F.pmod(F.xxhash64(spread_by), F.lit(spread)).cast("int"))
+        probe = probe.withColumn("__spread", F.pmod(F.xxhash64(*tl.order), F.lit(spread)).cast("int"))
         source = source.withColumn("__spread", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
         side = side.with_keys(*keys, "__spread")
     rows = probe.unionByName(source, allowMissingColumns=True)
@@ -98,7 +97,7 @@ def asof_ambient(
     """Room and outdoor values at sample time from ambient(channel, ts, value), which has no device key."""
     values = {c: F.when(F.col("channel") == c, F.col("value")) for c in channels}
     hourly = Timeline(tl.keys, tl.time, tl.order, 3600)
-    return asof(samples, ambient, values, max_age_s, keys=(), tl=hourly, spread=spread, spread_by=tl.keys[0])
+    return asof(samples, ambient, values, max_age_s, keys=(), tl=hourly, spread=spread)
 
 
 def asof_context(status: DataFrame, settings: DataFrame, columns: Sequence[str], tl: Timeline = DEVICE_TIME) -> DataFrame:

@@ -11,7 +11,7 @@ from fleetwatt.plans.energy import INC
 from fleetwatt.plans.registry import query, r6
 from fleetwatt.plans.telemetry import TEL, sample_stream
 from fleetwatt.streaming import folds as S
-from fleetwatt.streaming.run import run_to_table, stream_dir
+from fleetwatt.streaming.run import meter_snapshots, run_to_table, stream_dir
 
 #: what the watermark has passed when all files are read with a delay of one hour
 WM = "wm AS (SELECT (max(t_us) // 1000 - 3600000) * 1000 AS w FROM tel)"
@@ -141,3 +141,17 @@ def stream_append(spark, sf_dir):
     batch_append(_input(spark, sf_dir).select("event_id", "device", "ts", "voltage"), f"{folder}/data", f"{folder}/checkpoint").awaitTermination()
     out = spark.read.parquet(f"{folder}/data")
     return out.groupBy("device").agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum("voltage"), 3) + F.lit(0.0)).alias("voltage"))
+
+
+@query(
+    "stream_meter_snapshots",
+    f"""WITH {TEL}, {INC}, {WM}, r AS (SELECT event_id, device, t_us, sum(d_net) OVER w AS e, sum(d_cyc) OVER w AS c FROM inc WINDOW w AS (PARTITION BY device ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+SELECT device, (t_us // 30000000) * 30 AS period, round_even(arg_max(e, event_id), 5) + 0.0 AS meter_total_energy, round_even(arg_max(c, event_id), 5) + 0.0 AS meter_total_cycles FROM r, wm WHERE t_us <= w GROUP BY ALL""",
+)
+def stream_meter_snapshots(spark, sf_dir):
+    """What a restart would find: the stored readings, later batches over earlier ones."""
+    folder = stream_dir(spark)
+    meter_snapshots(S.stream_meters(_input(spark, sf_dir), 3600.0, delay="1 hour"), f"{folder}/data", f"{folder}/checkpoint").awaitTermination()
+    stored = spark.read.parquet(f"{folder}/data")
+    last = stored.groupBy("device", "period").agg(F.max_by(F.struct("meter_total_energy", "meter_total_cycles"), "batch").alias("m"))
+    return last.select("device", "period", *[(F.col(f"m.{c}") + F.lit(0.0)).alias(c) for c in ("meter_total_energy", "meter_total_cycles")])

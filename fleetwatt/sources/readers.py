@@ -165,7 +165,3 @@ def assemble_signals(
         *[F.col(s)["v"].alias(s) for s in signals],
         *[(now - F.col(s)["t"] > int(max_age_s * 1e6)).alias(f"stale_{s}") for s in signals],
     )
-
-
-def with_fields(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
-    return df.withColumns(dict(columns))

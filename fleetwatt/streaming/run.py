@@ -8,7 +8,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetwatt.sinks.points import MAX_POINTS_PER_WRITE
+from fleetwatt.operators.meters import METERS
+from fleetwatt.sinks.points import MAX_POINTS_PER_WRITE, meter_points
 
 
 def stream_dir(spark: SparkSession) -> str:
@@ -54,3 +55,17 @@ def batch_append(out: DataFrame, path: str, checkpoint: str, interval: str | Non
         .option("maxRecordsPerFile", MAX_POINTS_PER_WRITE).option("checkpointLocation", checkpoint)
     )
     return writer.trigger(processingTime=interval).start(path) if interval else writer.trigger(availableNow=True).start(path)
+
+
+def meter_snapshots(readings: DataFrame, path: str, checkpoint: str, interval: str | None = None):
+    """Store the last reading of every 30 seconds and device, from a stream of readings.
+
+    A period that spans two batches is stored once per batch; its later row has the later `batch`.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        meter_points(batch, METERS).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    writer = readings.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    with state_partitions(readings.sparkSession):
+        return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
