@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,16 +38,26 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder, so that losing an executor costs no replay.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one the session names in `spark.checkpoint.dir`.
 
-    The folder is the one the session names in `spark.checkpoint.dir`; a temporary one is
-    made only where neither the context nor the session names any (tests on one machine).
+    Off local mode it must be named; only tests on one machine get a temporary one, removed when Python ends.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("name a folder shared by all executors in spark.checkpoint.dir")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(f"file://{folder}")
+        folder = sc.getCheckpointDir()
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared checkpoint folder, so that losing an executor costs no replay."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
-        )
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
