@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwatt.llm import bpe, language, licenses, mixing
+from fleetwatt.llm import bpe, language, licenses, mixing, quality
 from fleetwatt.session import use_utc
 
 #: Production parameters of the registered mixture.
@@ -95,6 +95,56 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs, target_entropy=TARGET_ENTROPY, max_repeats=MAX_REPEATS).withColumnRenamed("id", "doc_id")
 
 
+def _distance(k: str) -> str:
+    """Jensen-Shannon distance of the counts n and the reference counts r of the bins of kind k."""
+    term = "CASE WHEN {0} > 0 THEN {0} * log2({0} / (({0} + {1}) / 2)) ELSE 0 END"
+    return f"""SELECT doc_id, round(sqrt(greatest(0.0, sum(({term.format('p', 'q')} + {term.format('q', 'p')}) / 2))), 9) AS dist FROM (
+      SELECT doc_id, n::DOUBLE / sum(n) OVER (PARTITION BY doc_id) AS p, r::DOUBLE / sum(r) OVER (PARTITION BY doc_id) AS q
+      FROM (SELECT doc_id, bin, n, sum(n) OVER (PARTITION BY lang, bin) AS r FROM {k})) WHERE p IS NOT NULL AND NOT isnan(p) GROUP BY doc_id"""
+
+
+OP9_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, lang, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), b AS (
+  SELECT *, len(ws) AS n_words, array_to_string(ws, '') AS body FROM d
+), c AS (
+  SELECT *, length(body) AS word_chars, length(regexp_replace(body, '\p{{L}}', '', 'g')) AS others, length(body) - length(regexp_replace(body, '\p{{Lu}}', '', 'g')) AS upper,
+    length(body) - length(regexp_replace(body, '[0-9]', '', 'g')) AS digits, length(body) - length(regexp_replace(body, '[.,;:!?''"()-]', '', 'g')) AS marks,
+    length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM b
+), g AS (
+  SELECT doc_id, i, array_to_string(ws[i : i + 4], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, n_words - 3)) AS i FROM b WHERE n_words >= 5)
+), r AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g), (SELECT unnest(range(5)) AS k) WHERE n >= 2 GROUP BY doc_id
+), u AS (
+  SELECT doc_id, lang, lower(w) AS w, length(w) AS size FROM (SELECT doc_id, lang, unnest(ws) AS w FROM b)
+), top AS (
+  SELECT lang, w FROM (SELECT lang, w, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, w) AS k FROM u WHERE size <= 5 AND regexp_full_match(w, '\p{{L}}+') GROUP BY lang, w) WHERE k <= 20
+), hit AS (
+  SELECT c.doc_id, c.lang, t.w AS bin, count(u.w) AS n FROM c JOIN top t ON t.lang IS NOT DISTINCT FROM c.lang LEFT JOIN u ON u.doc_id = c.doc_id AND u.w = t.w AND u.size <= 5 GROUP BY ALL
+), commons AS (
+  SELECT * FROM hit UNION ALL SELECT c.doc_id, c.lang, '', c.n_words - coalesce((SELECT sum(n) FROM hit WHERE hit.doc_id = c.doc_id), 0) FROM c
+), classes AS (
+  SELECT doc_id, lang, unnest(['small', 'upper', 'digits', 'marks', 'other']) AS bin, unnest([word_chars - others - upper, upper, digits, marks, others - digits - marks]) AS n FROM c
+), cd AS ({_distance("classes")}), wd AS ({_distance("commons")}), l AS (SELECT lang, sum(n_words) AS ref_words FROM c GROUP BY lang), f AS (
+  SELECT c.doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    coalesce(cd.dist, 0.0) AS class_distance, coalesce(wd.dist, 0.0) AS word_distance, ref_words, n_words < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * n_words AS base_failed
+  FROM c LEFT JOIN r USING (doc_id) LEFT JOIN cd USING (doc_id) LEFT JOIN wd USING (doc_id) JOIN l ON l.lang IS NOT DISTINCT FROM c.lang
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  class_distance, word_distance, base_failed, NOT base_failed AND (n_words < 50 OR ref_words < 1000 OR NOT (class_distance > 0.32 OR word_distance > 0.42)) AS kept
+FROM f
+"""
+
+
+@query("op9_quality", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, distances and verdict of every document."""
+    return quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).withColumnRenamed("id", "doc_id")
+
+
 @query("op10_licenses")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences found in each document, the best match, and all spans as license:begin:end."""
