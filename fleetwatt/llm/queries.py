@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwatt.llm import bpe, language, licenses, mixing, quality
+from fleetwatt.llm import bpe, language, licenses, mixing, quality, secrets
 from fleetwatt.session import use_utc
 
 #: Production parameters of the registered mixture.
@@ -36,6 +36,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op3_secrets")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: base counts and digest, and all spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", secrets.secret_column(spark, secrets.learn(docs), "text").alias("s"))
+    count = lambda kind: F.size(F.filter("s", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    base = F.sha2(secrets.joined(F.col("s"), base_only=True).cast("binary"), 256)
+    return found.select("doc_id", *map(count, secrets.KINDS[:3]), base.alias("base_sha256"), secrets.joined(F.col("s")).alias("spans"))
+
+
 @query("op5_bpe")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded texts of all documents."""
