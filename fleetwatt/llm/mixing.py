@@ -122,7 +122,8 @@ def copies(full: Column, last: Column, turn: Column, block: Column, h: Column, d
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix", **limits) -> DataFrame:
     """(id, source, n_tokens, weight, copies) of every row."""
     rows = checkpointed(narrow(docs, doc_id, text, source, seed))
-    plan = mixture(rows, **limits).alias("p")
+    plan = checkpointed(mixture(rows, **limits))
+    plan = (F.broadcast(plan) if plan.count() <= 10_000 else plan).alias("p")
     return rows.alias("r").join(plan, F.col("r.source").eqNullSafe(F.col("p.source")), "left").select(
         F.col("r.id").alias("id"), "r.source", "r.n_tokens", F.coalesce("p.weight", F.lit(0.0)).alias("weight"), copies(F.col("p.full"), F.col("p.last"), F.col("r.turn"), F.col("r.block"), F.col("r.h"), F.col("r.id")).alias("copies")
     )

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwatt.llm import bpe, language, licenses, mixing, quality, secrets
+from fleetwatt.llm import bpe, language, licenses, minhash, mixing, quality, secrets
 from fleetwatt.session import use_utc
 
 #: Production parameters of the registered mixture.
@@ -36,6 +36,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The similarity, in percent, from which op2 links documents.
+SIMILAR = 85
+
+
+@query("op2_minhash")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    found = minhash.groups(table(spark, sf_dir, "documents").select("doc_id", "text"), SIMILAR)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
 @query("op3_secrets")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: base counts and digest, and all spans."""
