@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 BITS = 1 << 25
 
 
-def maybe_in(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """The rows whose bigint `key` may be among `keys` (a bigint column of the same name); columns stay as they are."""
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
-    part = lambda c: F.bitmap_bucket_number(bit(c) + 1)
-    maps = keys.groupBy(part(F.col(key)).alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit(F.col(key)) + 1)).alias("_bits"))
-    at = F.bitmap_bit_position(bit(F.col(key)) + 1)
+def flagged(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """`rows` and a column _maybe, false where the bigint `key` is surely not among `keys` (a bigint column of that name)."""
+    bit = F.pmod(F.xxhash64(F.col(key)), F.lit(BITS)) + 1
+    part, at = F.bitmap_bucket_number(bit), F.bitmap_bit_position(bit)
+    maps = keys.groupBy(part.alias("_part")).agg(F.bitmap_construct_agg(at).alias("_bits"))
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    both = rows.withColumn("_part", part(F.col(key))).join(F.broadcast(maps), "_part")
-    return both.filter(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1).select(*rows.columns)
+    both = rows.withColumn("_part", part).join(F.broadcast(maps), "_part", "left")
+    maybe = F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1, F.lit(False))
+    return both.select(*rows.columns, maybe.alias("_maybe"))
+
 
+def maybe_in(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose `key` may be among `keys`."""
+    return flagged(rows, key, keys).filter("_maybe").drop("_maybe")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwatt.llm import bpe, language, licenses, minhash, mixing, quality, secrets
+from fleetwatt.llm import bpe, language, licenses, minhash, mixing, quality, repeats, secrets
 from fleetwatt.session import use_utc
 
 #: Production parameters of the registered mixture.
@@ -57,6 +57,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.KINDS[:3]), base.alias("base_sha256"), secrets.joined(F.col("s")).alias("spans"))
 
 
+@query("op4_repeats")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without byte strings that stand twice or more."""
+    return repeats.removed(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 @query("op5_bpe")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded texts of all documents."""
