@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwatt.llm import bpe, language, licenses, minhash, mixing, quality, repeats, secrets
+from fleetwatt.llm import bpe, language, licenses, minhash, mixing, mixture_lm, quality, repeats, secrets
 from fleetwatt.session import use_utc
 
 #: Production parameters of the registered mixture.
@@ -76,6 +76,13 @@ def bucket(col: str, n: int):
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
 
 
+@query("op6_mixture_lm")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by models of those whose bucket is not 0."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return mixture_lm.scored(docs, bucket("doc_id", 10) == 0).withColumnRenamed("id", "doc_id")
+
+
 @query("op7_language_id")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, from profiles of those whose bucket is not 2."""
