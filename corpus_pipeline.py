@@ -19,16 +19,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwatt.llm import bpe, language, mixing
+from fleetwatt.llm import bpe, language, minhash, mixing, secrets
 from fleetwatt.llm.queries import bucket, table
 from fleetwatt.session import shared_folder, use_utc
 
+#: Similarity, in percent, from which documents are near duplicates.
+SIMILAR = 80
+
 #: Repetition limit of the mixture.
 MAX_REPEATS = 1.5
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language could be told."""
     held = F.coalesce(bucket("doc_id", 4) == 2, F.lit(False))
@@ -37,6 +37,20 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return told.filter(F.col("x.lang") != language.UNKNOWN).select("row.*")
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group."""
+    return minhash.deduplicated(docs, SIMILAR)
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a mark in place of each secret, and their new length."""
+    found = secrets.secret_column(spark, secrets.learn(docs), "text")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), found.alias("spans"))
+    rows = rows.select("row", secrets.redact_column(F.col("row.text"), F.col("spans")).alias("text"), (F.size("spans") > 0).alias("hit"))
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("hit"), F.length("text").cast("bigint")).otherwise(F.col("row.n_chars"))}
+    return rows.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns])
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents, those of small sources repeated up to the limit."""
     return mixing.mixed_rows(docs, max_repeats=MAX_REPEATS, budget_x=None)
@@ -48,7 +62,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "source", bpe.round_trip_column(spark, automaton, "text").alias("x")).select("doc_id", "source", "x.*")
 
 
-STAGES = [("language", languages), ("mixing", mixing_stage), ("tokens", tokens)]
+STAGES = [("language", languages), ("near_duplicates", near_duplicates), ("secrets", redacted), ("mixing", mixing_stage), ("tokens", tokens)]
 
 ORACLE_SQL = None
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetwatt.llm.components import components
-from fleetwatt.llm.prefilter import maybe_in
+from fleetwatt.llm.prefilter import flagged, maybe_in
 from fleetwatt.llm.text import mix, pieces, shingles, word_hashes
 from fleetwatt.session import checkpointed
 
@@ -162,7 +162,7 @@ def verified(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def groups(docs: DataFrame, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row; sets link at `percent` of 100 or more."""
+    """(node, id, n_shingles, component_id) of every row; a node is a hash of id and text; sets link at `percent` of 100 or more."""
     rows = docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("node"), F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
     known = checkpointed(sketched(rows))
     full = known.filter("n > 0 and id is not null")
@@ -206,7 +206,20 @@ def groups(docs: DataFrame, percent: int, doc_id: str = "doc_id", text: str = "t
     rooted = member.alias("m").join(found.alias("c"), F.col("m.rep") == F.col("c.node"), "left").select("m.node", "m.id", "m.n", F.coalesce("c.component", "m.rep").alias("root"))
     rooted = checkpointed(rooted)
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    told = rooted.join(least, "root").select("id", F.col("n").alias("n_shingles"), "component_id")
-    alone = known.filter("n = 0 or id is null").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    told = rooted.join(least, "root").select("node", "id", F.col("n").alias("n_shingles"), "component_id")
+    alone = known.filter("n = 0 or id is null").select("node", "id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return told.unionByName(alone)
 
+
+
+def deduplicated(docs: DataFrame, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` of which each component keeps the one of its least id; of identical rows one stays. Texts of rows that have no partner aren't shuffled."""
+    found = checkpointed(groups(docs, percent, doc_id, text))
+    gone = found.filter("id <> component_id").select("node").distinct()
+    twice = found.filter("id is not null").groupBy("node").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("node")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col(doc_id), F.col(text)).alias("node"))
+    split = flagged(rows, "node", gone.unionByName(twice))
+    checked = split.filter("_maybe").select("row", "node")
+    stay = checked.join(gone, "node", "left_anti")
+    alone, one = stay.filter(F.col("row")[doc_id].isNull()), stay.filter(F.col("row")[doc_id].isNotNull()).dropDuplicates(["node"])
+    return split.filter("not _maybe").select("row").unionByName(alone.select("row")).unionByName(one.select("row")).select("row.*")

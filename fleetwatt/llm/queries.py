@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwatt.llm import bpe, language, licenses, minhash, mixing, mixture_lm, quality, repeats, secrets
+from fleetwatt.llm import bpe, embeddings, language, licenses, minhash, mixing, mixture_lm, quality, repeats, secrets
 from fleetwatt.session import use_utc
 
 #: Production parameters of the registered mixture.
@@ -36,6 +36,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The cosine from which op1 links vectors.
+COSINE = 0.9
+
+
+@query("op1_embedding_grid")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all vectors."""
+    found = embeddings.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), COSINE)
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
 #: The similarity, in percent, from which op2 links documents.
 SIMILAR = 85
 
