@@ -61,7 +61,9 @@ def grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             middle = middle[: n - k + 1] & inner[k - 2 : n - 1]
         else:
             middle = middle[: n - 1]
-        ok = middle & (doc[: n - k + 1] == doc[k - 1 :]) & (inner[: n - k + 1] | inner[k - 1 :])
+        ok = middle & (doc[: n - k + 1] == doc[k - 1 :])
+        if k == 2:
+            ok &= inner[:-1] | inner[1:]
         parts.append((code[ok], doc[: n - k + 1][ok]))
     for c, d in parts:
         size += np.bincount(d, minlength=len(size))
