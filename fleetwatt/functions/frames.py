@@ -220,10 +220,14 @@ class Num:
 
 @dataclass(frozen=True)
 class Nums(Num):
-    """Array of equal fields; the number of elements is fixed or read from an earlier `Num` of the layout."""
+    """Array of equal fields; the number of elements is fixed or read from an earlier `Num` of the layout.
+
+    As many are read as the frame declares, NULL where it ends earlier, but never more than the bytes from `at` on could
+    hold; `limit` is for layouts that fix a number themselves.
+    """
 
     count: int | str = 1
-    limit: int = 64
+    limit: int | None = None
     drop_missing: bool = False
 
 
@@ -288,7 +292,7 @@ LAYOUTS: dict[str, Layout] = {
             Num("n_cells", 98, 2),
             Num("n_temps", 100, 2),
             Num("num_cycles", 102, 2),
-            Nums("temperatures", 64, 2, 1, -40, count="n_temps", limit=8),
+            Nums("temperatures", 64, 2, 1, -40, count="n_temps"),
             Num("charge_mosfet", 106, 2),
             Num("discharge_mosfet", 108, 2),
             Num("problem_code", 116, 8),
@@ -409,7 +413,8 @@ def decode(frame: Column, layout: Layout) -> dict[str, Column]:
                 n = F.floor(out[name] / int(by or 1)).cast("int")
             else:
                 n = F.lit(f.count)
-            n = F.least(n, F.lit(f.limit))
+            if f.limit is not None:
+                n = F.least(n, F.lit(f.limit))
             raw = numbers_at(frame, at, f.length, n, f.endian, f.signed)
             plain = f.div == 1 and not f.add and not f.missing
             values = raw if plain else F.transform(raw, _scaled(f))

@@ -124,12 +124,17 @@ def drop_sentinels(raw: Column | str, codes: Sequence[int]) -> Column:
     return F.filter(col(raw), lambda x: ~x.isin(*codes))
 
 
-def reject_reason(soc="soc", cells="cell_mv", temperature="mos_temperature", max_cells: int = 32, spike_mv: int = 48_000) -> Column:
-    """First rule a sample breaks, or NULL. Cell range is opt-in: see `cell_range_reason`."""
+#: fixed values: most cells and temperature probes of a plausible frame, per vendor
+VENDOR_LIMITS = {"pace": (16, 8)}
+
+
+def reject_reason(soc="soc", cells="cell_mv", temperature="mos_temperature", max_cells: int | None = None, spike_mv: int = 48_000) -> Column:
+    """First rule a sample breaks, or NULL. A largest number of cells belongs to a vendor, so there is none unless given
+    (see `VENDOR_LIMITS`); cell range is opt-in: see `cell_range_reason`."""
     cells = col(cells)
     return (
         F.when((col(soc) < 0) | (col(soc) > 100), "soc_range")
-        .when((F.size(cells) < 1) | (F.size(cells) > max_cells), "cell_count")
+        .when((F.size(cells) < 1) | (F.size(cells) > F.lit(max_cells) if max_cells is not None else F.lit(False)), "cell_count")
         .when(F.forall(cells, lambda v: v == 0), "all_cells_zero")
         .when(F.exists(cells, lambda v: v >= spike_mv), "cell_spike")
         .when((col(temperature) <= -100) | (col(temperature) >= 200), "temperature_range")
@@ -310,6 +315,7 @@ def roles_by_tag(sensors: Column | str) -> Column:
 
 
 def cap_sensors(temps: Column | str, n: int = 8) -> Column:
+    """The first n sensors, for the vendor whose frames have room for eight; other layouts keep all theirs."""
     return F.slice(col(temps), 1, n)
 
 

@@ -12,7 +12,8 @@ from fleetwatt.operators.timeline import DEVICE_TIME, Timeline, scan
 
 def bucket_start(period_s: int, time: str = "ts") -> Column:
     """Start of the bucket as seconds since the epoch."""
-    return F.expr(f"(unix_micros({time}) div {period_s * 1_000_000}) * {period_s}")
+    us = F.unix_micros(time)
+    return ((us - F.pmod(us, F.lit(period_s * 1_000_000))) / 1_000_000).cast("long")
 
 
 def downsample(df: DataFrame, period_s: int, tl: Timeline = DEVICE_TIME, explicit_power: str = "power") -> DataFrame:
@@ -21,6 +22,7 @@ def downsample(df: DataFrame, period_s: int, tl: Timeline = DEVICE_TIME, explici
     The power is the mean over the period where the last sample reports one itself, else the product
     of the two means.
     """
+    tl = tl.of(df)
     rest = [c for c in df.columns if c not in (*tl.keys, "voltage", "current", explicit_power)]
     agg = (
         df.withColumn("__bucket", bucket_start(period_s, tl.time))

@@ -178,9 +178,26 @@ def _stitch(fold: ComposableFold, keys: Sequence[str], schema: pa.Schema):
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
+    return pa.schema([(f.name, _arrow_type(f.dataType)) for f in schema.fields])
 
-    return to_arrow_schema(schema)
+
+#: Arrow types of the keys, states and outputs that folds use
+_ARROW = {
+    T.StringType(): pa.string(),
+    T.BinaryType(): pa.binary(),
+    T.BooleanType(): pa.bool_(),
+    T.IntegerType(): pa.int32(),
+    T.LongType(): pa.int64(),
+    T.FloatType(): pa.float32(),
+    T.DoubleType(): pa.float64(),
+    T.DateType(): pa.date32(),
+    T.TimestampType(): pa.timestamp("us", "UTC"),
+    T.TimestampNTZType(): pa.timestamp("us"),
+}
+
+
+def _arrow_type(t: T.DataType) -> pa.DataType:
+    return pa.list_(_arrow_type(t.elementType)) if isinstance(t, T.ArrayType) else _ARROW[t]
 
 
 def run_fold(
@@ -191,6 +208,7 @@ def run_fold(
     max_rounds: int = 10_000,
 ) -> DataFrame:
     """`df` plus the fold's output columns; `args` gives a column for each of `fold.inputs`."""
+    tl = tl.of(df)
     keys, keep = list(tl.keys), list(df.columns)
     named = [f"__arg_{n}" for n in fold.inputs]
     rows = tl.sliced(df).select("*", *[args[n].alias(a) for n, a in zip(fold.inputs, named)])

@@ -584,6 +584,7 @@ def calibrations(df: DataFrame, calibration_s: float, last_calibration: Column |
     the full samples alone, which are few, and of which it keeps one in weeks. Both tables have a row
     per device; they are written to the checkpoint folder, so the samples behind them are read once.
     """
+    tl = tl.of(df)
     keys = list(tl.keys)
     start = F.min(micros(tl.time)) if last_calibration is None else F.coalesce(F.max(last_calibration), F.min(micros(tl.time)))
     starts = checkpointed(df.groupBy(*keys).agg(start.alias("__seed")))

@@ -14,6 +14,7 @@ def align_group(samples: DataFrame, members: DataFrame, tick_s: int, tl: Timelin
     Samples are reduced to one row per member and tick before anything is ordered, so the windows
     below run over ticks and not over samples: their size follows the clock, not the sampling rate.
     """
+    tl = tl.of(samples)
     us = tick_s * 1_000_000
     rest = [c for c in samples.columns if c not in tl.keys]
     rows = samples.withColumnRenamed("device", "member").join(members, "member")

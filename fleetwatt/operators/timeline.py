@@ -32,8 +32,10 @@ CARRIED = "__carried"
 class Timeline:
     """How rows are keyed, ordered and sliced.
 
-    `order` must be a total order inside a key (ties broken by a sequence column); `width_s` is the
-    slice width. A day holds 86 400 rows of a device that reports every second.
+    `order` is the time and then the columns that break ties; of the tie-breakers those count that the rows
+    have (see `of`), so samples without a sequence column are ordered by time alone, and rows of one device
+    at one instant in no particular order. `width_s` is the slice width. A day holds 86 400 rows of a device
+    that reports every second.
     """
 
     keys: tuple[str, ...] = ("device",)
@@ -46,7 +48,8 @@ class Timeline:
     def slice_of(self, later_s: float = 0.0) -> Column:
         """Start of the slice, in microseconds; `later_s` shifts the row's time."""
         us = self.width_s * 1_000_000
-        return F.expr(f"((unix_micros({self.time}) + {int(later_s * 1e6)}) div {us}) * {us}")
+        at = F.unix_micros(self.time) + F.lit(int(later_s * 1e6))
+        return at - F.pmod(at, F.lit(us))
 
     def sliced(self, df: DataFrame) -> DataFrame:
         df = df.withColumn(SLICE, self.slice_of())
@@ -59,6 +62,10 @@ class Timeline:
         finer = F.col(SLICE) + (inner - inner % step)
         return df.withColumn(SLICE, F.when(F.col("__parts").isNull(), F.col(SLICE)).otherwise(finer)).drop("__parts")
 
+    def of(self, df: DataFrame) -> "Timeline":
+        """This timeline with the tie-breakers that `df` has."""
+        return replace(self, order=tuple(c for c in self.order if c == self.time or c in df.columns))
+
     def order_key(self) -> Column:
         return F.struct(*[F.col(c) for c in self.order])
 
@@ -94,6 +101,7 @@ def scan(
     among them only rows for which `reach_if` holds, when they lie in an earlier slice); older rows
     may or may not be seen, so the caller must apply its own age limit. That needs no carry pass.
     """
+    tl = tl.of(df)
     kinds = {"lag": lag, "last": last, "last_before": last_before, "total": total, "high": high, "low": low}
     wanted = {out: (kind, col) for kind, cols in kinds.items() for out, col in (cols or {}).items()}
     arg = {out: f"__in_{out}" for out in wanted}

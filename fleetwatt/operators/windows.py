@@ -89,6 +89,7 @@ def weakest_cell(df: DataFrame, cells: str = "cell_mv", tl: Timeline = DEVICE_TI
     slice keeps its last event with the slice's own extreme at that row, and the verdict follows as soon
     as the extremes of the earlier slices are known.
     """
+    tl = tl.of(df)
     c = F.col(cells)
     lo, hi = F.array_min(c), F.array_max(c)
     ok = (lo >= CELL_VALID[0]) & (hi <= CELL_VALID[1])

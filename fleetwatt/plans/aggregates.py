@@ -123,9 +123,4 @@ SELECT device, entity, arg_max(value, t) AS value, max(t) AS seen_us, min(now) -
 def stale_values(spark, sf_dir):
     """What every entity shows at the end of the log, two days before it goes unavailable."""
     df = events(spark, sf_dir).select(F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("device"), F.col("event_type").alias("entity"), "ts", "value")
-    return A.latest_values(df, _last_instant(df), 172_800.0)
-
-
-def _last_instant(df):
-    """End of the log, one number."""
-    return F.lit(df.agg(F.max(F.unix_micros("ts"))).first()[0])
+    return A.latest_values(df, df.agg(F.max(F.unix_micros("ts"))).scalar(), 172_800.0)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetwatt.operators import meters as M
-from fleetwatt.plans.registry import query, r6
+from fleetwatt.plans.registry import ORACLES, query, r6
 from fleetwatt.plans.telemetry import TEL, samples
+from fleetwatt.schema import SAMPLES
+from fleetwatt.session import shared_folder
+from fleetwatt.sources.readers import read_samples
 
 GAP_S = 3600.0
 
@@ -39,7 +44,11 @@ FROM inc GROUP BY device""",
 )
 def energy_meters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six meters per device, with the net = discharge - charge check."""
-    totals = M.meter_totals(M.meter_increments(powered(spark, sf_dir), GAP_S))
+    return energy_report(powered(spark, sf_dir))
+
+
+def energy_report(rows: DataFrame) -> DataFrame:
+    totals = M.meter_totals(M.meter_increments(rows, GAP_S))
     return M.reconcile_energy(totals).select(
         "device",
         "samples",
@@ -51,3 +60,13 @@ def energy_meters(spark: SparkSession, sf_dir: str) -> DataFrame:
         r6("total_abs_diff_charge").alias("abs_diff_charge_ah"),
         "balanced",
     )
+
+
+@query("canonical_meters", ORACLES["energy_meters"])
+def canonical_meters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same report from files in the canonical schema, which has no sequence column, read by the typed reader."""
+    have = samples(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/samples-{uuid.uuid4().hex}"
+    have.select(*[(F.col(f.name) if f.name in have.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in SAMPLES]).write.parquet(folder)
+    rows = read_samples(spark, folder)
+    return energy_report(rows.withColumn("power", F.coalesce("power", F.col("voltage") * F.col("current"))))

@@ -55,7 +55,24 @@ def cell_points(spark, sf_dir):
 SELECT * FROM u WHERE voltage IS NOT NULL""",
 )
 def changed_cells(spark, sf_dir):
-    return P.changed_cells_long(_cells(spark, sf_dir), 4, ("event_id", "device"))
+    coarse = F.transform("cell_mv", lambda x: F.when(x % 11 != 0, F.floor(x / 200).cast("int") * 200))
+    return P.changed_cells(samples(spark, sf_dir).select("event_id", "device", "ts", coarse.alias("cell_mv")), ("event_id", "device"))
+
+
+@query(
+    "changed_cells_layout",
+    f"""WITH {TEL}, q AS (SELECT event_id, device, ts, CASE WHEN event_id % 7 = 0 THEN list_transform(range(40), lambda i: (3300 + i % 3)::INTEGER) ELSE list_transform(range(38), lambda i: (3300 + i % 2)::INTEGER) END AS c FROM tel),
+z AS (SELECT *, lag(len(c)) OVER (PARTITION BY device ORDER BY ts, event_id) AS before FROM q),
+y AS (SELECT *, sum(CASE WHEN before <> len(c) THEN 1 ELSE 0 END) OVER (PARTITION BY device ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS layout FROM z),
+u AS (SELECT event_id, device, ts, layout, unnest(range(len(c)))::INTEGER AS cell_index, unnest(c) AS voltage FROM y),
+l AS (SELECT *, lag(voltage) OVER (PARTITION BY device, layout, cell_index ORDER BY ts, event_id) AS old FROM u)
+SELECT event_id, device, cell_index, voltage FROM l WHERE voltage IS DISTINCT FROM old""",
+)
+def changed_cells_layout(spark, sf_dir):
+    """Packs of 40 and 38 cells by turns: every cell is written, and all again when their number changes."""
+    pattern = lambda n, m: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (3300 + i % m).cast("int"))
+    cells = F.when(F.col("event_id") % 7 == 0, pattern(40, 3)).otherwise(pattern(38, 2))
+    return P.changed_cells(samples(spark, sf_dir).select("event_id", "device", "ts", cells.alias("cell_mv")), ("event_id", "device"))
 
 
 def _flat(spark, sf_dir):
@@ -74,7 +91,7 @@ ENC_SQL = """CAST(round_even(voltage * 1000, 0) AS INTEGER) AS voltage, CAST(rou
 
 @query(
     "fixed_point_encode",
-    f"""WITH {TEL} SELECT event_id, device, {ENC_SQL.replace("round_even(voltage * current, 3)", "round(CAST(round_even(voltage * current, 3) AS FLOAT)::DOUBLE, 4) + 0.0")}, cell_mv[1] AS voltage_cell000, cell_mv[4] AS voltage_cell003, CAST(NULL AS INTEGER) AS voltage_cell031 FROM tel""",
+    f"""WITH {TEL} SELECT event_id, device, {ENC_SQL.replace("round_even(voltage * current, 3)", "round(CAST(round_even(voltage * current, 3) AS FLOAT)::DOUBLE, 4) + 0.0")}, cell_mv[1] AS voltage_cell000, cell_mv[4] AS voltage_cell003, CAST(NULL AS INTEGER) AS voltage_cell031, CAST(greatest(len(cell_mv) - 32, 0) AS INTEGER) AS cells_left_out FROM tel""",
 )
 def fixed_point_encode(spark, sf_dir):
     enc = P.encode_fixed_point(_flat(spark, sf_dir), ("event_id", "device"))

@@ -84,7 +84,7 @@ def sentinels(spark, sf_dir):
     f"""WITH {TEL}, r AS (SELECT event_id, device, CASE WHEN event_id % 10 = 0 THEN k + 50.0 ELSE soc END AS soc,
   CASE WHEN event_id % 10 = 1 THEN [0, 0] WHEN event_id % 10 = 2 THEN [3300, 48000 + k] WHEN event_id % 10 = 3 THEN []::INTEGER[] WHEN event_id % 10 = 4 THEN [0, 3300] ELSE cell_mv END AS cells,
   CASE WHEN event_id % 10 = 5 THEN k * 4.0 ELSE mos_temperature END AS temp FROM tel),
-q AS (SELECT *, CASE WHEN soc < 0 OR soc > 100 THEN 'soc_range' WHEN len(cells) < 1 OR len(cells) > 32 THEN 'cell_count'
+q AS (SELECT *, CASE WHEN soc < 0 OR soc > 100 THEN 'soc_range' WHEN len(cells) < 1 THEN 'cell_count'
   WHEN len(list_filter(cells, lambda v: v <> 0)) = 0 THEN 'all_cells_zero' WHEN list_max(cells) >= 48000 THEN 'cell_spike'
   WHEN temp <= -100 OR temp >= 200 THEN 'temperature_range' END AS reason,
   CASE WHEN list_min(cells) < 2000 THEN 'cell_low' WHEN list_max(cells) > 4500 THEN 'cell_high' END AS cell_reason FROM r)
@@ -275,7 +275,7 @@ def net_current(spark, sf_dir):
 @query(
     "temperature_roles",
     f"""WITH {TEL}, t AS (SELECT event_id, list_transform(range(event_id % 12), lambda i: (k + i * 3)::DOUBLE) AS temps FROM tel),
-g AS (SELECT event_id, temps[1:8] AS temps, list_transform(temps, lambda x, i: {{'tag': CASE WHEN i % 4 = 1 THEN 64 WHEN i % 4 = 2 THEN 32 ELSE 0 END, 'value': x}}) AS tagged FROM t)
+g AS (SELECT event_id, temps, list_transform(temps, lambda x, i: {{'tag': CASE WHEN i % 4 = 1 THEN 64 WHEN i % 4 = 2 THEN 32 ELSE 0 END, 'value': x}}) AS tagged FROM t)
 SELECT event_id, array_to_string(temps[1:4] || temps[6:], ',') AS by_position, temps[5] AS mos_by_position,
        array_to_string(list_transform(list_filter(tagged, lambda x: x.tag = 0), lambda x: x.value) || list_transform(list_filter(tagged, lambda x: x.tag = 32)[-1:], lambda x: x.value), ',') AS by_tag,
        list_transform(list_filter(tagged, lambda x: x.tag = 64), lambda x: x.value)[-1] AS mos_by_tag
@@ -292,7 +292,7 @@ def temperature_roles(spark, sf_dir):
             x.alias("value"),
         ),
     )
-    df = df.select("event_id", S.roles_by_position(S.cap_sensors("t")).alias("p"), S.roles_by_tag(tagged).alias("g"))
+    df = df.select("event_id", S.roles_by_position("t").alias("p"), S.roles_by_tag(tagged).alias("g"))
     return df.select(
         "event_id",
         F.array_join(F.col("p.temperatures").cast("array<string>"), ",").alias("by_position"),

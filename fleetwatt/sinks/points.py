@@ -45,21 +45,25 @@ def changed_points(df: DataFrame, fields: Sequence[str], refresh: Column | None
 def cell_points(
     df: DataFrame, n_cells: int, refresh: Column | None = None, truncate: bool = True, aggregates: bool = True, tl: Timeline = DEVICE_TIME
 ) -> DataFrame:
-    """One row per sample: `voltage_cellNNN` where the cell changed, plus pack statistics.
+    """One row per sample: `voltage_cellNNN` of the first `n_cells` cells where the cell changed, plus pack statistics
+    over all cells. `changed_cells` has every cell, one row each.
 
-    Each cell is compared with its own last valid value under the same pack layout.
+    Each cell is compared with its own last valid value since the pack last changed its number of cells.
     """
     cells = F.col("cell_mv")
     size = F.size(cells)
     now = [F.get(cells, F.lit(i)) for i in range(n_cells)]
-    seen = {f"__c{i}": F.when(v.isNotNull(), F.struct(size.alias("n"), v.alias("v"))) for i, v in enumerate(now)}
-    df = scan(df, tl, last_before=seen)
+    tl = tl.of(df)
+    df = scan(df, tl, lag={"__size": size})
+    changed = F.when(F.col("__size").isNotNull() & (F.col("__size") != size), tl.order_key())
+    seen = {f"__c{i}": F.when(v.isNotNull(), F.struct(tl.order_key().alias("at"), v.alias("v"))) for i, v in enumerate(now)}
+    df = scan(df, tl, last={"__since": changed}, last_before=seen)
     whole = F.coalesce(refresh, F.lit(False)) if refresh is not None else F.lit(False)
     as_int = (lambda c: c.cast("int")) if truncate else (lambda c: F.rint(c).cast("int"))
     out = {}
     for i, v in enumerate(now):
         old = F.col(f"__c{i}")
-        same = old.isNotNull() & (old["n"] == size) & (old["v"] == v)
+        same = old.isNotNull() & (F.col("__since").isNull() | (old["at"] >= F.col("__since"))) & (old["v"] == v)
         out[f"voltage_cell{i:03d}"] = F.when(v.isNotNull() & (whole | ~F.coalesce(same, F.lit(False))), as_int(v))
     if aggregates:
         known = F.filter(cells, lambda v: v.isNotNull())
@@ -70,7 +74,22 @@ def cell_points(
         out["voltage_cell_min"] = as_int(F.array_min(known))
         out["voltage_cell_mean"] = F.when(n > 0, total / n)
         out["voltage_cell_median"] = F.when(n % 2 == 1, F.get(srt, mid).cast("double")).otherwise((F.get(srt, mid - 1) + F.get(srt, mid)) / 2.0)
-    return df.withColumns(out).drop(*seen)
+    return df.withColumns(out).drop(*seen, "__size", "__since")
+
+
+def changed_cells(df: DataFrame, keys: Sequence[str] = ("device", "ts"), refresh: Column | None = None, tl: Timeline = DEVICE_TIME) -> DataFrame:
+    """(keys, cell_index, voltage): one row per changed cell, however many cells the pack has."""
+    tl, size = tl.of(df), F.size("cell_mv")
+    df = scan(df, tl, lag={"__size": size})
+    df = scan(df, tl, last={"__since": F.when(F.col("__size").isNotNull() & (F.col("__size") != size), tl.order_key())})
+    whole = F.coalesce(refresh, F.lit(False)) if refresh is not None else F.lit(False)
+    cells = df.select(*dict.fromkeys([*keys, *tl.keys, *tl.order]), whole.alias("__whole"), "__since", F.posexplode("cell_mv").alias("cell_index", "voltage"))
+    cells = cells.filter("voltage IS NOT NULL")
+    per_cell = tl.with_keys(*tl.keys, "cell_index")
+    cells = scan(cells, per_cell, lag={"__old": F.struct(tl.order_key().alias("at"), F.col("voltage").alias("v"))})
+    old = F.col("__old")
+    same = old.isNotNull() & (F.col("__since").isNull() | (old["at"] >= F.col("__since"))) & (old["v"] == F.col("voltage"))
+    return cells.filter(F.col("__whole") | ~F.coalesce(same, F.lit(False))).select(*keys, "cell_index", "voltage")
 
 
 def changed_cells_long(points: DataFrame, n_cells: int, keys: Sequence[str] = ("device", "ts")) -> DataFrame:
@@ -86,7 +105,8 @@ def encode_fixed_point(flat: DataFrame, keep: Sequence[str] = ("device", "ts"))
     finite = lambda c: F.when(~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) != float("inf")), c)
     for name, scale in INT_SCALE.items():
         if name in have and not isinstance(have[name], T.BooleanType):
-            out.append(F.rint(finite(F.col(name)) * scale).cast("int").alias(name))
+            # a reading beyond the integer range is missing, not a reason to fail
+            out.append(F.rint(finite(F.col(name)) * scale).try_cast("int").alias(name))
     for name in LONG_FIELDS:
         if name in have:
             out.append(F.col(name).cast("long").alias(name))
@@ -98,7 +118,9 @@ def encode_fixed_point(flat: DataFrame, keep: Sequence[str] = ("device", "ts"))
             c = F.col(name).cast("double")
             out.append(round_half_even(finite(c), 3).cast("float").alias(name))
     if "cell_mv" in have:
-        out += [F.rint(F.get("cell_mv", F.lit(i))).cast("int").alias(f"voltage_cell{i:03d}") for i in range(MAX_CELLS)]
+        out += [F.rint(F.get("cell_mv", F.lit(i))).try_cast("int").alias(f"voltage_cell{i:03d}") for i in range(MAX_CELLS)]
+        # the format has MAX_CELLS cells; how many a sample has beyond them
+        out.append(F.greatest(F.size("cell_mv") - MAX_CELLS, F.lit(0)).alias("cells_left_out"))
     return flat.select(*out)
 
 
@@ -137,6 +159,7 @@ METER_DIGITS = {"store": 5, "bus": 3}
 
 def meter_points(readings: DataFrame, meters: Sequence[str], period_s: int = METER_PERIOD_S, target: str = "store", tl: Timeline = DEVICE_TIME) -> DataFrame:
     """The last reading of each period."""
+    tl = tl.of(readings)
     d = METER_DIGITS[target]
     us = period_s * 1_000_000
     last = (

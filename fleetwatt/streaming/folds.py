@@ -8,9 +8,11 @@ aside before.
 
 from __future__ import annotations
 
+import base64
 import json
 from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,6 +69,23 @@ class Meters(Fold):
         return [amps, watts, [t, soc, charge], total], tuple(total)
 
 
+def _plain(v):
+    """A cell as JSON can hold it; NaN and NaT are missing, arrays become lists."""
+    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        return None
+    if isinstance(v, (list, tuple, np.ndarray)):
+        return [_plain(x) for x in (v.tolist() if isinstance(v, np.ndarray) else v)]
+    return v.item() if isinstance(v, np.generic) else v
+
+
+def _bytes_out(v):
+    return {"__bytes": base64.b64encode(bytes(v)).decode()}
+
+
+def _bytes_back(d: dict):
+    return base64.b64decode(d["__bytes"]) if set(d) == {"__bytes"} else d
+
+
 class FoldProcessor(StatefulProcessor):
     """Buffers rows of one key until the watermark, then steps them in order."""
 
@@ -84,7 +103,7 @@ class FoldProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         fresh = []
         for pdf in rows:
-            cols = [[None if pd.isna(v) else v for v in pdf[c].tolist()] for c in self.names]
+            cols = [[_plain(v) for v in pdf[c].tolist()] for c in self.names]
             fresh += [list(r) for r in zip(*cols)]
         yield from self._advance(key, fresh, timerValues)
 
@@ -93,18 +112,18 @@ class FoldProcessor(StatefulProcessor):
 
     def _advance(self, key, fresh: list, timer_values) -> Iterator[pd.DataFrame]:
         limit = timer_values.getCurrentWatermarkInMs() * 1000
-        waiting = [json.loads(r[0]) for r in self.pending.get()] + fresh
+        waiting = [json.loads(r[0], object_hook=_bytes_back) for r in self.pending.get()] + fresh
         due = sorted((r for r in waiting if r[0] <= limit), key=lambda r: r[:2])
         rest = [r for r in waiting if r[0] > limit]
         if due:
-            state = json.loads(self.state.get()[0]) if self.state.exists() else self.fold.init()
+            state = json.loads(self.state.get()[0], object_hook=_bytes_back) if self.state.exists() else self.fold.init()
             out = []
             for r in due:
                 state, got = self.fold.step(state, tuple(r[2:]))
                 out.append((*key, r[0], r[1], *got))
-            self.state.update((json.dumps(state),))
+            self.state.update((json.dumps(state, default=_bytes_out),))
         if rest:
-            self.pending.put([(json.dumps(r),) for r in rest])
+            self.pending.put([(json.dumps(r, default=_bytes_out),) for r in rest])
             self.handle.registerTimer(-(-min(r[0] for r in rest) // 1000))
         else:
             self.pending.clear()
@@ -124,8 +143,7 @@ def stream_fold(
     tl: Timeline = DEVICE_TIME,
     initial: DataFrame | None = None,
 ) -> DataFrame:
-    """(keys, ts, seq, outputs) in event-time order. `initial` is (keys, state) with stored fold states."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    """(keys, ts, seq, outputs) in event-time order; the session's state store must be RocksDB (`ROCKSDB`). `initial` is (keys, state) with stored fold states."""
     named = [f"arg_{n}" for n in fold.inputs]
     rows = stream.withWatermark(tl.time, delay).select(
         *tl.keys, tl.time, micros(tl.time).alias("t_us"), F.col(seq).cast("long").alias("seq"),
@@ -165,6 +183,7 @@ def drop_repeats(stream: DataFrame, delay: str = "1 minute", keys: Sequence[str]
 
 def stream_downsample(stream: DataFrame, period: str, delay: str = "1 minute", tl: Timeline = DEVICE_TIME, explicit_power: str = "power") -> DataFrame:
     """Windows that the watermark has closed, in the layout of `operators.aggregate.downsample`."""
+    tl = tl.of(stream)
     rest = [c for c in stream.columns if c not in (*tl.keys, "voltage", "current", explicit_power)]
     agg = (
         stream.withWatermark(tl.time, delay)

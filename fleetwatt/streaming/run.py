@@ -2,34 +2,40 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetwatt.operators.meters import METERS
+from fleetwatt.session import shared_folder
 from fleetwatt.sinks.points import MAX_POINTS_PER_WRITE, meter_points
+from fleetwatt.streaming.folds import ROCKSDB
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def stream_dir(spark: SparkSession) -> str:
-    """A new folder under the session's checkpoint folder; a temporary one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        base = tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    """A new folder under the folder that driver and executors share."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @contextmanager
 def state_partitions(spark: SparkSession):
-    """Keyed state gets at most two partitions per core: every one of them is a store to open per batch."""
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
+    """While a stream starts: RocksDB for its state, and at most two partitions per core, as each is a store to open per batch."""
+    parts = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(parts)
+    store = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(parts, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
+    spark.conf.set(STATE_STORE, ROCKSDB)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(parts, before)
+        if store is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, store)
 
 
 def catch_up(out: DataFrame, path: str, checkpoint: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
