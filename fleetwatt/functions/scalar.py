@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -330,26 +330,33 @@ def flatten_columns(
     return out
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once, however often `use` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def cell_stats(cells: Column | str = "cell_mv") -> Column:
     """min, max, first 1-based index of each, delta, mean (rounded mV) and median, in volts."""
-    c = F.filter(col(cells), lambda v: v.isNotNull())
     raw = col(cells)
-    n = F.size(c)
-    srt = F.array_sort(c)
-    mid = F.floor(n / 2).cast("int")
-    median = F.when(n % 2 == 1, F.get(srt, mid)).otherwise((F.get(srt, mid - 1) + F.get(srt, mid)) / 2.0)
-    total = F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v)
-    lo, hi = F.array_min(c), F.array_max(c)
-    stats = F.struct(
-        (lo / 1000.0).alias("min"),
-        F.array_position(raw, lo).alias("min_index"),
-        (hi / 1000.0).alias("max"),
-        F.array_position(raw, hi).alias("max_index"),
-        ((hi - lo) / 1000.0).alias("delta"),
-        (F.rint(total / n) / 1000.0).alias("average"),
-        (median / 1000.0).alias("median"),
-    )
-    return F.when(n > 1, stats)
+
+    def stats(srt: Column) -> Column:
+        n = F.size(srt)
+        mid = F.floor(n / 2).cast("int")
+        median = F.when(n % 2 == 1, F.get(srt, mid)).otherwise((F.get(srt, mid - 1) + F.get(srt, mid)) / 2.0)
+        total = F.aggregate(srt, F.lit(0).cast("long"), lambda a, v: a + v)
+        lo, hi = F.get(srt, F.lit(0)), F.get(srt, n - 1)
+        found = F.struct(
+            (lo / 1000.0).alias("min"),
+            F.array_position(raw, lo).alias("min_index"),
+            (hi / 1000.0).alias("max"),
+            F.array_position(raw, hi).alias("max_index"),
+            ((hi - lo) / 1000.0).alias("delta"),
+            (F.rint(total / n) / 1000.0).alias("average"),
+            (median / 1000.0).alias("median"),
+        )
+        return F.when(n > 1, found)
+
+    return once(F.sort_array(F.filter(raw, lambda v: v.isNotNull())), stats)
 
 
 def normalize_vendor(df: DataFrame, mapping: Mapping[str, Sequence[str] | Column]) -> DataFrame:

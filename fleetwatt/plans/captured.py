@@ -272,6 +272,42 @@ def decode_basen(spark, sf_dir):
     return df.select("event_id", *[r6(c).alias(c) for c in ("voltage", "current", "charge")], "soc", F.array_join(F.col("temperatures").cast("array<string>"), ",").alias("temps"), "ok", code.cast("long").alias("problem_code"))
 
 
+@query(
+    "decode_modbus_info",
+    f"""WITH {TEL} SELECT event_id, CAST(event_id % 33 AS BIGINT) AS n_cells, CAST(k % 9 AS BIGINT) AS n_temps, true AS ok FROM tel""",
+)
+def decode_modbus_info(spark, sf_dir):
+    body = packed(7, {0: literal("010304"), 3: field(E() % 33, 2), 5: field(K() % 9, 2)})
+    df = samples(spark, sf_dir).select("event_id", F.unhex(F.concat(body, hex_int(B.crc16_modbus(F.unhex(body)), 2, "little"))).alias("frame"))
+    df = R.frame_valid(R.decode_frames(df, "modbus_info"), "modbus")
+    return df.select("event_id", F.col("n_cells").cast("long").alias("n_cells"), F.col("n_temps").cast("long").alias("n_temps"), "ok")
+
+
+@query(
+    "decode_basen_info",
+    f"""WITH {TEL} SELECT event_id, round((90000 + k) / 1000.0::DOUBLE, 6) AS capacity, round(51200 / 1000.0::DOUBLE, 6) AS nominal_voltage, round((80000 + 10 * k) / 1000.0::DOUBLE, 6) AS aged_capacity, CAST(event_id % 5000 AS BIGINT) AS num_cycles FROM tel""",
+)
+def decode_basen_info(spark, sf_dir):
+    le = lambda v, n: field(v, n, "little")
+    frame = packed(32, {0: literal("3B162B1C"), 4: le(90000 + K(), 4), 8: le(51200, 4), 12: le(80000 + 10 * K(), 4), 26: le(E() % 5000, 2)})
+    df = R.decode_frames(samples(spark, sf_dir).select("event_id", F.unhex(frame).alias("frame")), "basen_info")
+    return df.select("event_id", *[r6(c).alias(c) for c in ("capacity", "nominal_voltage", "aged_capacity")], F.col("num_cycles").cast("long").alias("num_cycles"))
+
+
+@query(
+    "decode_basen_cells",
+    f"""WITH {TEL} SELECT event_id, array_to_string(list_transform(range(CASE WHEN event_id % 3 = 0 THEN 100 ELSE 4 END), lambda i: 3300 + (k + i) % 100), ',') AS cells FROM tel""",
+)
+def decode_basen_cells(spark, sf_dir):
+    """Every third frame declares 100 cells; as many come out."""
+    n = F.when(E() % 3 == 0, 100).otherwise(4)
+    one = lambda i: hex_int(3300 + (K() + i) % 100, 2, "little")
+    cells = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), one), "")
+    frame = F.concat(F.lit("3B1624"), hex_int(2 * n, 1), cells, F.lit("00000D0A"))
+    df = R.decode_frames(samples(spark, sf_dir).select("event_id", F.unhex(frame).alias("frame")), "basen_cells")
+    return df.select("event_id", F.array_join(F.col("cell_mv").cast("array<string>"), ",").alias("cells"))
+
+
 @query(
     "decode_meter",
     f"""WITH {TEL}, m AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN (3000 + k) / 10.0::DOUBLE ELSE k / 10.0::DOUBLE END AS v, floor(value) / 1000.0::DOUBLE AS i, event_id / 1000.0::DOUBLE AS q, k / 100.0::DOUBLE AS e FROM tel)

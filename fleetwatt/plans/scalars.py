@@ -191,7 +191,7 @@ STATUS_BITS_SQL = ", ".join(f"({o}, {m}, {e})" for o, m, kind, e in STATUS_BITS
 
 @query(
     "alarm_codes",
-    f"""WITH {TEL}, b AS (SELECT event_id, list_transform(range(8), lambda i: (event_id * (2 * i + 3) + 17 * i) % 256) AS s FROM tel),
+    f"""WITH {TEL}, b AS (SELECT event_id, list_transform(range(10), lambda i: (event_id * (2 * i + 3) + 17 * i) % 256) AS s FROM tel),
 t(o, m, e) AS (VALUES {STATUS_BITS_SQL}),
 c AS (SELECT event_id, bit_or(CASE WHEN (coalesce(s[o + 1], 0) & m) > 0 THEN e ELSE 0 END) AS table_code FROM b, t GROUP BY event_id)
 SELECT event_id, CAST(s[1] | ((s[2] & 127) << 8) | (s[3] << 16) AS BIGINT) AS three_code,
@@ -199,7 +199,7 @@ SELECT event_id, CAST(s[1] | ((s[2] & 127) << 8) | (s[3] << 16) AS BIGINT) AS th
 FROM b JOIN c USING (event_id)""",
 )
 def alarm_codes(spark, sf_dir):
-    status = F.array(*[((F.col("event_id") * (2 * i + 3) + 17 * i) % 256).cast("int") for i in range(8)])
+    status = F.array(*[((F.col("event_id") * (2 * i + 3) + 17 * i) % 256).cast("int") for i in range(10)])
     df = samples(spark, sf_dir).select("event_id", status.alias("s"))
     b = [F.get("s", F.lit(i)) for i in range(4)]
     return df.select(
