@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from fleetwatt.operators import folds as O
 from fleetwatt.operators import meters as M
-from fleetwatt.operators.timeline import micros
+from fleetwatt.operators.timeline import DEVICE_TIME, micros
 from fleetwatt.plans.energy import INC
-from fleetwatt.plans.registry import query, r6
-from fleetwatt.plans.telemetry import TEL, sample_stream
+from fleetwatt.plans.filters import LHQ_Q, LHQ_SPAN
+from fleetwatt.plans.registry import ORACLES, query, r6
+from fleetwatt.plans.telemetry import TEL, sample_stream, samples
 from fleetwatt.streaming import folds as S
 from fleetwatt.streaming.run import meter_snapshots, run_to_table, stream_dir
 
@@ -74,6 +75,46 @@ def stream_runtime(spark, sf_dir):
     return out.select("event_id", "device", (F.round(F.col("runtime") * 1e4, 0) / 1e4 + F.lit(0.0)).alias("runtime"))
 
 
+def released(name: str) -> str:
+    """The rows of a batch query that the watermark has passed: filters don't look ahead."""
+    return f"WITH {TEL}, {WM} SELECT b.* FROM ({ORACLES[name]}) b JOIN tel t ON t.event_id = b.event_id JOIN wm ON t.t_us <= wm.w"
+
+
+@query("stream_temp_filter", released("temp_filter"))
+def stream_temp_filter(spark, sf_dir):
+    """Arrays of sensors, live: the MOSFET sensor first, then the probes."""
+    every = F.array(F.col("mos_temperature") + 5, F.col("mos_temperature"), F.when(F.col("k") % 9 != 0, F.col("k") / 2.0))
+    fold = O.Quantizer(LHQ_Q, LHQ_SPAN, "t", sensors=True)
+    out = run_to_table(S.stream_fold(_input(spark, sf_dir), fold, {"x": every}, "1 hour"))
+    probe = lambda i: (F.rint(F.get("t", F.lit(i)) * 100) / 100 + 0.0).alias(f"temperature_{i - 1}")
+    return out.select("event_id", "device", probe(1), probe(2), r6(F.get("t", F.lit(0))).alias("mos_temperature"))
+
+
+@query("stream_ewma", released("ewma"))
+def stream_ewma(spark, sf_dir):
+    x = F.when(F.col("event_id") % 13 != 0, F.col("current"))
+    out = run_to_table(S.stream_fold(_input(spark, sf_dir), O.Ewma(6), {"x": x.cast("double")}, "1 hour"))
+    return out.select("event_id", "device", r6("ewma").alias("ewma"))
+
+
+@query("stream_zscore", released("ewm_zscore"))
+def stream_zscore(spark, sf_dir):
+    out = run_to_table(S.stream_fold(_input(spark, sf_dir), O.EwmZScore(120, 0.1), {"x": F.col("power")}, "1 hour"))
+    return out.select("event_id", "device", *[r6(c).alias(c) for c in ("ewm_mean", "ewm_stddev", "z_score")])
+
+
+@query("stream_keepalive", released("keepalive_dedup"))
+def stream_keepalive(spark, sf_dir):
+    """Two topics a device; what is sent again after a while is what the batch query sends."""
+    on = lambda s: F.when(F.col("switches")[s], "ON").otherwise("OFF")
+    topics = F.create_map(F.lit("switch/charge"), on("charge"), F.lit("switch/discharge"), on("discharge"))
+    long = _input(spark, sf_dir).select("event_id", "device", "ts", F.explode(topics).alias("topic", "value"))
+    args = {"t_us": micros("ts"), "v": F.col("value")}
+    out = run_to_table(S.stream_fold(long, O.KeepAlive(3_000_000_000), args, "1 hour", tl=DEVICE_TIME.with_keys("device", "topic")))
+    values = samples(spark, sf_dir).select("event_id", F.explode(topics).alias("topic", "value"))
+    return out.filter("emitted").join(values, ["event_id", "topic"]).select("event_id", "device", "topic", "value")
+
+
 @query(
     "stream_late",
     f"""WITH {TEL} SELECT event_id, device, CASE WHEN event_id % 50 > 30 THEN 'late' ELSE 'fresh' END AS kind FROM tel""",
