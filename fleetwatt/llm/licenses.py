@@ -73,7 +73,7 @@ def best_passages(code: np.ndarray, wanted: np.ndarray, threshold: float) -> lis
     """(dice, first, last) bigram indexes of the best passages of a text that don't overlap."""
     ours = np.isin(code, wanted)
     hits = np.flatnonzero(ours)
-    most = (2 - threshold) / threshold * len(wanted)
+    most = (2 - threshold) / threshold * len(wanted) + 1e-9
     found = []
     for s, a in enumerate(hits):
         seen, good = set(), 0
@@ -110,7 +110,7 @@ def license_column(spark: SparkSession, text: str | Column, templates: dict[str,
 
     def scan(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names, sets, codes, owner, threshold = shared.value
-        need = np.array([threshold / (2 - threshold) * len(sets[n]) for n in names])
+        need = np.array([threshold / (2 - threshold) * len(sets[n]) - 1e-9 for n in names])
         kind = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("begin", pa.int64()), ("end", pa.int64())]))
         for texts in it:
             out: list[list[dict]] = [[] for _ in range(len(texts))]
