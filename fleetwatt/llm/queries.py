@@ -169,8 +169,10 @@ WITH d AS (
   SELECT lang, w FROM (SELECT lang, w, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, w) AS k FROM u WHERE size <= 5 AND regexp_full_match(w, '\p{{L}}+') GROUP BY lang, w) WHERE k <= 20
 ), hit AS (
   SELECT c.doc_id, c.lang, t.w AS bin, count(u.w) AS n FROM c JOIN top t ON t.lang IS NOT DISTINCT FROM c.lang LEFT JOIN u ON u.doc_id = c.doc_id AND u.w = t.w AND u.size <= 5 GROUP BY ALL
+), mark AS (
+  SELECT c.doc_id, c.lang, '!' AS bin, len(list_filter(ws, lambda w: length(w) <= 5 AND regexp_full_match(w, '[^\p{{L}}\p{{N}}]+'))) AS n FROM c
 ), commons AS (
-  SELECT * FROM hit UNION ALL SELECT c.doc_id, c.lang, '', c.n_words - coalesce((SELECT sum(n) FROM hit WHERE hit.doc_id = c.doc_id), 0) FROM c
+  SELECT * FROM hit UNION ALL SELECT * FROM mark UNION ALL SELECT c.doc_id, c.lang, '', c.n_words - mark.n - coalesce((SELECT sum(n) FROM hit WHERE hit.doc_id = c.doc_id), 0) FROM c JOIN mark USING (doc_id)
 ), classes AS (
   SELECT doc_id, lang, unnest(['small', 'upper', 'digits', 'marks', 'other']) AS bin, unnest([word_chars - others - upper, upper, digits, marks, others - digits - marks]) AS n FROM c
 ), cd AS ({_distance("classes")}), wd AS ({_distance("commons")}), l AS (SELECT lang, sum(n_words) AS ref_words FROM c GROUP BY lang), f AS (
