@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from fleetwatt.operators.timeline import DEVICE_TIME, Timeline
 
 
+#: ticks of a gap that one row gives at once
+TICKS_AT_ONCE = 4096
+
+
 def align_group(samples: DataFrame, members: DataFrame, tick_s: int, tl: Timeline = DEVICE_TIME) -> DataFrame:
     """Last known row of every member at each tick, from the first tick at which all members have reported.
 
@@ -33,10 +37,15 @@ def align_group(samples: DataFrame, members: DataFrame, tick_s: int, tl: Timelin
     held = last.withColumn("__next", F.lead("__tick").over(w)).join(span, "group")
     first = F.greatest("__tick", "lo")
     until = F.coalesce(F.col("__next") - 1, F.col("hi"))
+    # a long gap is cut in stretches first, so that no row ever holds more than one stretch of ticks
+    part = lambda c: F.floor(F.col(c) / TICKS_AT_ONCE).cast("long")
+    lo, hi = F.col("__part") * TICKS_AT_ONCE, (F.col("__part") + 1) * TICKS_AT_ONCE - 1
     return (
         held.withColumn("__from", first).withColumn("__to", until).filter("__from <= __to")
-        .select("group", "member", "ord", F.explode(F.sequence("__from", "__to")).alias("__t"), "row")
-        .select("group", "member", "ord", (F.col("__t") * tick_s).alias("tick"), "row.*")
+        .withColumn("__part", F.explode(F.sequence(part("__from"), part("__to"))))
+        .select("group", "member", "ord", "__from", "__to", "__part", "row.*")
+        .select("group", "member", "ord", F.explode(F.sequence(F.greatest("__from", lo), F.least("__to", hi))).alias("__t"), *rest)
+        .select("group", "member", "ord", (F.col("__t") * tick_s).alias("tick"), *rest)
     )
 
 

@@ -58,7 +58,8 @@ def asof(
     When the right side has no device key (`keys=()`), the left rows of a slice are dealt evenly to
     `spread` partitions, whatever device they belong to, and the right side is copied into each.
     """
-    side = Timeline(tuple(keys), tl.time, (tl.time, "__side", *[c for c in tl.order if c != tl.time]), tl.width_s)
+    tl = tl.of(left)
+    side = Timeline(tuple(keys), tl.time, (tl.time, "__side", *[c for c in tl.order if c != tl.time]), tl.width_s, tl.hot if tuple(keys) == tuple(tl.keys) and not spread else None)
     probe = left.withColumn("__side", F.lit(1))
     source = right.select(
         *keys, F.col(tl.time), F.lit(0).alias("__side"),

@@ -135,21 +135,28 @@ EXPORT_INTERVAL_S = 15.0
 
 
 def export_anonymized(
-    flat: DataFrame, devices: DataFrame, user_id: str, interval_s: float = EXPORT_INTERVAL_S, tl: Timeline = DEVICE_TIME
+    flat: DataFrame, devices: DataFrame, user_id: str, interval_s: float = EXPORT_INTERVAL_S, tl: Timeline = DEVICE_TIME,
+    did: str | None = None, changes: bool = False, refresh: Column | None = None,
 ) -> DataFrame:
     """Real devices only, under hashed ids, throttled, in the compact encoding with raw cells and no meters.
 
-    `devices` is (device, address, type, is_virtual). Runs only when called: nothing exports by default.
+    `devices` is (device, address, type, is_virtual). With `changes`, a kept sample holds just the fields that differ
+    from the kept one before it (all of them where `refresh` holds), and is left out if none does. `did` adds the
+    hash of the exporting machine's id. Runs only when called: nothing exports by default.
     """
+    tl = tl.of(flat)
     real = devices.filter(~F.col("is_virtual") & ~F.col("type").contains("dummy")).select(
         "device", F.col("type").alias("slug"), hash_id("address").alias("addrh")
     )
     kept = throttle(flat.join(real, "device"), interval_s, "__kept", tl=tl).filter("__kept").drop("__kept")
     enc = encode_fixed_point(kept, (*tl.keys, *[c for c in tl.order], "slug", "addrh"))
-    return (
-        enc.withColumn("device", F.concat_ws("_", "slug", "addrh"))
-        .withColumn("uid", F.lit(user_id)).withColumn("time_ms", point_time_ms(tl.time))
-    )
+    enc = enc.withColumn("device", F.concat_ws("_", "slug", "addrh"))
+    if changes:
+        tags = {*tl.keys, *tl.order, "slug", "addrh"}
+        enc = changed_only(enc, [c for c in enc.columns if c not in tags], refresh, tl)
+    if did is not None:
+        enc = enc.withColumn("did", hash_id(F.lit(did)))
+    return enc.withColumn("uid", F.lit(user_id)).withColumn("time_ms", point_time_ms(tl.time))
 
 
 #: fixed values: how often meters are written, and their decimals in the store and on the bus

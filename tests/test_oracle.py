@@ -7,6 +7,9 @@ import __spark_entry__ as entry
 
 NAMES = sorted(entry.queries())
 
+#: queries without a row on the smallest tables
+MAY_BE_EMPTY: set[str] = set()
+
 
 @pytest.fixture(scope="module")
 def con(sf):
@@ -26,7 +29,7 @@ def test_query(name, spark, sf, con):
         df.count()
         return
     diff = oracle.compare(df, sql, con)
-    assert diff in (None, "no rows"), diff
+    assert diff is None or diff == "no rows" and name in MAY_BE_EMPTY, diff
 
 
 def test_entry(spark):
