@@ -166,17 +166,32 @@ def node_id(topic: Column | str) -> Column:
     return F.translate(col(topic), "/", "_")
 
 
+#: fixed value: hours between full charges unless an algorithm names its own
+CALIBRATION_H = 24 * 14
+
+
 def parse_algorithm(text: Column | str) -> Column:
-    """`soc 90% 70%` -> struct(name, charge_stop, charge_start, calibration_s); start is clamped to stop."""
-    words = F.split(F.trim(col(text)), " ")
-    pct = lambda i: F.regexp_replace(F.get(words, F.lit(i)), "^%+|%+$", "").try_cast("double")
-    stop = pct(1)
-    start = F.coalesce(pct(2), stop)
+    """`soc 90% 70% 10% 20% 336`, or a JSON object with the same arguments by name -> struct.
+
+    The arguments are charge_stop, charge_start, discharge_stop, discharge_start and calibration_interval_h; start is
+    clamped to stop. Hours that are missing are CALIBRATION_H; null or empty ones by name mean no calibration.
+    """
+    t = F.trim(col(text))
+    words, by_name = F.split(t, " +"), t.startswith("{")
+    options = F.when(by_name, F.from_json(t, "map<string,string>"))
+    given = lambda name, i: F.when(by_name, F.try_element_at(options, F.lit(name))).otherwise(F.get(words, F.lit(i)))
+    number = lambda name, i: F.regexp_replace(given(name, i), "^%+|%+$", "").try_cast("double")
+    stop = number("charge_stop", 1)
+    start = F.coalesce(number("charge_start", 2), stop)
+    named = F.coalesce(F.map_contains_key(options, "calibration_interval_h"), F.lit(False))
+    hours = F.coalesce(number("calibration_interval_h", 5), F.when(named, 0.0).otherwise(float(CALIBRATION_H)))
     return F.struct(
-        F.get(words, F.lit(0)).alias("name"),
+        given("name", 0).alias("name"),
         stop.alias("charge_stop"),
         F.least(start, stop).alias("charge_start"),
-        F.lit(14 * 86400.0).alias("calibration_s"),
+        number("discharge_stop", 3).alias("discharge_stop"),
+        number("discharge_start", 4).alias("discharge_start"),
+        (hours * 3600.0).alias("calibration_s"),
     )
 
 

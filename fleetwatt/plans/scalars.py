@@ -223,16 +223,21 @@ def topic_names(spark, sf_dir):
 
 @query(
     "parse_algorithm",
-    f"""WITH {TEL}, a AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN ' soc ' || k || '% 70%' WHEN 1 THEN 'soc ' || k || '%' ELSE 'soc ' || k || ' ' || (k / 2.0::DOUBLE) END AS spec, k, event_id % 3 AS m FROM tel)
-SELECT event_id, 'soc' AS name, CAST(k AS DOUBLE) AS charge_stop, least(CASE m WHEN 0 THEN 70.0 WHEN 1 THEN k ELSE k / 2.0 END, k)::DOUBLE AS charge_start, 1209600.0::DOUBLE AS calibration_s FROM a""",
+    f"""WITH {TEL}, a AS (SELECT event_id, k, event_id % 5 AS m FROM tel)
+SELECT event_id, 'soc' AS name, CAST(k AS DOUBLE) AS charge_stop, least(CASE m WHEN 0 THEN 70.0 WHEN 2 THEN k / 2.0 WHEN 3 THEN 70.0 ELSE k END, k)::DOUBLE AS charge_start,
+       CASE m WHEN 3 THEN 10.0 WHEN 4 THEN 15.0 END::DOUBLE AS discharge_stop, CASE m WHEN 3 THEN 20.0 END::DOUBLE AS discharge_start,
+       CASE WHEN m = 3 THEN 360000.0 WHEN m = 4 AND event_id % 2 = 0 THEN 86400.0 WHEN m = 4 THEN 0.0 ELSE 1209600.0 END::DOUBLE AS calibration_s FROM a""",
 )
 def parse_algorithm(spark, sf_dir):
-    k = F.col("k").cast("string")
-    m = F.col("event_id") % 3
+    """Five forms: one to five arguments in a row, and arguments by name."""
+    k, m, lit = F.col("k").cast("string"), F.col("event_id") % 5, F.lit
+    hours = F.when(F.col("event_id") % 2 == 0, "24").otherwise("null")
     text = (
-        F.when(m == 0, F.concat(F.lit(" soc "), k, F.lit("% 70%")))
-        .when(m == 1, F.concat(F.lit("soc "), k, F.lit("%")))
-        .otherwise(F.concat(F.lit("soc "), k, F.lit(" "), (F.col("k") / 2.0).cast("string")))
+        F.when(m == 0, F.concat(lit(" soc "), k, lit("% 70%")))
+        .when(m == 1, F.concat(lit("soc "), k, lit("%")))
+        .when(m == 2, F.concat(lit("soc "), k, lit(" "), (F.col("k") / 2.0).cast("string")))
+        .when(m == 3, F.concat(lit("soc "), k, lit("% 70% 10% 20% 100")))
+        .otherwise(F.concat(lit('{"name": "soc", "charge_stop": "'), k, lit('%", "discharge_stop": "15", "calibration_interval_h": '), hours, lit("}")))
     )
     return samples(spark, sf_dir).select("event_id", S.parse_algorithm(text).alias("a")).select("event_id", "a.*")
 

@@ -14,10 +14,6 @@ from fleetwatt.operators.timeline import DEVICE_TIME, Timeline, micros, scan
 from fleetwatt.operators.windows import changed_only
 from fleetwatt.schema import BOOL_FIELDS, ENTITIES, FLOAT_FIELDS, INT_SCALE, LONG_FIELDS, MAX_CELLS, METER_ENTITIES
 
-#: fixed values: bounded writes
-MAX_POINTS_PER_WRITE = 20_000
-
-
 def point_time_ms(time: str = "ts") -> Column:
     """Milliseconds, rounded up."""
     return F.ceil(micros(time) / 1000).cast("long")

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fleetwatt.operators.meters import METERS
 from fleetwatt.session import shared_folder
-from fleetwatt.sinks.points import MAX_POINTS_PER_WRITE, meter_points
+from fleetwatt.sinks.points import meter_points
 from fleetwatt.streaming.folds import ROCKSDB
 
+#: rows of a file at most; files are as large as a batch makes them below that
+ROWS_PER_FILE = 5_000_000
+
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -54,11 +57,12 @@ def run_to_table(out: DataFrame) -> DataFrame:
     return catch_up(out, f"{folder}/data", f"{folder}/checkpoint")
 
 
-def batch_append(out: DataFrame, path: str, checkpoint: str, interval: str | None = None):
-    """Append points in bounded files. The checkpoint replays a failed batch, which replaces a retry buffer."""
+def batch_append(out: DataFrame, path: str, checkpoint: str, interval: str | None = None, rows_per_file: int = ROWS_PER_FILE):
+    """Append points. What a batch holds is bounded by the source's rate (`maxFilesPerTrigger` and the like) and the
+    trigger, not by small files. The checkpoint replays a failed batch, which replaces a retry buffer."""
     writer = (
         out.writeStream.format("parquet").outputMode("append")
-        .option("maxRecordsPerFile", MAX_POINTS_PER_WRITE).option("checkpointLocation", checkpoint)
+        .option("maxRecordsPerFile", rows_per_file).option("checkpointLocation", checkpoint)
     )
     return writer.trigger(processingTime=interval).start(path) if interval else writer.trigger(availableNow=True).start(path)
 
