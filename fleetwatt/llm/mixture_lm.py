@@ -1,14 +1,14 @@
 """LM scoring by logistic mixing of hashed-context bit predictors.
 
 A text, in lower case (A-Z), is coded as bytes and one end byte 0, each byte as 8 bits. Predictor o of ORDERS looks up the
-last o bytes and the bits of the byte so far in a hashed table of 2 ** SLOT_BITS bit counts, and gives the logit of its estimate, 0
-where nothing was seen. The counts come from every learning text (6-byte strings counted in the whole corpus), but for the
+last o bytes and the bits of the byte so far in a hashed table of bit counts, and gives the logit of its estimate, 0
+where nothing was seen. The counts come from every learning text (strings of ORDERS bytes counted in the whole corpus), but for the
 mixer's sample. A gate (the longest context seen, and the bit's place) picks a set of weights; the weighted sum of logits is the mixed
 logit. It is refined by an adaptive map from (bits so far, step of the logit) to the observed rate, averaged with
 the mixed probability. Weights and map are learned online, in order, over a sample of at most MIX_TEXTS learning texts of
 at most MIX_BYTES bytes each, which the tables don't hold since their own counts would speak for them.
 
-Scoring is a function of the last 6 bytes, so a task works each different string out once. The base score needs the
+Scoring is a function of the last ORDERS bytes, so a task works each different string out once. The base score needs the
 count of each word in the learning texts: words frequent enough that at most FREQUENT pass are sent to all tasks, the others meet
 their counts in a join, so no task or broadcast holds the vocabulary.
 
@@ -29,9 +29,10 @@ from pyspark.sql import functions as F
 from fleetwatt.llm.text import LOWER, mix, pieces, span_hash, sums, words
 from fleetwatt.session import checkpointed
 
-#: Lengths of contexts in bytes, and the size of each one's table.
+#: Contexts are 0 to ORDERS - 1 bytes long; a table of 2 ** SLOT_BITS slots for each of them.
 ORDERS = 6
-SLOT_BITS = 22
+SLOT_BITS = (8, 16, 20, 21, 22, 22)
+STARTS = [sum(1 << b for b in SLOT_BITS[:o]) for o in range(ORDERS + 1)]
 
 #: Pseudo-count of a bit.
 PRIOR = 0.1
@@ -48,7 +49,7 @@ REMEMBERED = 3_000_000
 #: Add-constant smoothing of the base score.
 ADDED = 0.1
 
-SCALE = 2048.0
+SCALE = 10.0
 STEPS = 33
 _U = np.uint64
 #: The end token's hash.
@@ -73,9 +74,12 @@ def strings(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slots(order: int, string: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """The table slot of a bit: the context of `order` bytes and the bits of the byte so far."""
+    """The place in all tables of a bit: the context of `order` bytes and the bits of the byte so far."""
     context = (string >> _U(8)) & _U((1 << 8 * order) - 1)
-    return (mix((context * _U(256) + node) ^ _U((order + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) & _U((1 << SLOT_BITS) - 1)).astype(np.int64)
+    key = context * _U(256) + node
+    if order > 1:
+        key = mix(key ^ _U((order + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+    return (key & _U((1 << SLOT_BITS[order]) - 1)).astype(np.int64) + STARTS[order]
 
 
 def bits(string: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -91,7 +95,7 @@ def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def string_counts(texts: DataFrame) -> DataFrame:
-    """(string, n) over a column of texts."""
+    """(string, n) over a column of texts; strings with one context stand in one partition, beside each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -112,11 +116,13 @@ def string_counts(texts: DataFrame) -> DataFrame:
         if held:
             yield from out()
 
-    return texts.mapInArrow(run, "string bigint, n bigint").groupBy("string").agg(F.sum("n").alias("n"))
+    context = F.shiftright("string", 8).bitwiseAND(F.lit((1 << 24) - 1))
+    rows = texts.mapInArrow(run, "string bigint, n bigint").withColumn("context", context).repartition("context")
+    return rows.groupBy("context", "string").agg(F.sum("n").alias("n")).sortWithinPartitions("context").select("string", "n")
 
 
 def tables(counts: DataFrame) -> np.ndarray:
-    """ORDERS x 2 ** SLOT_BITS logits times SCALE; their number doesn't depend on the corpus."""
+    """Logits times SCALE of all tables, one after the other; their number doesn't depend on the corpus."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,7 +131,7 @@ def tables(counts: DataFrame) -> np.ndarray:
                 low, m = summed(string & _U((1 << 8 * (o + 1)) - 1), n)
                 key, ones, all_ = [], [], []
                 for _, node, bit in bits(low):
-                    key.append(slots(o, low, node) + (o << SLOT_BITS))
+                    key.append(slots(o, low, node))
                     ones.append(m * bit)
                     all_.append(m)
                 u, at = np.unique(np.concatenate(key), return_inverse=True)
@@ -136,18 +142,18 @@ def tables(counts: DataFrame) -> np.ndarray:
     known = counts.mapInArrow(spread, "slot bigint, ones bigint, n bigint").groupBy("slot").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n"))
     logit = F.ln((F.col("ones") + PRIOR) / (F.col("n") - F.col("ones") + PRIOR))
     value = F.round(F.greatest(F.lit(-12.0), F.least(F.lit(12.0), logit)) * SCALE).cast("int")
-    rows = known.select(F.shiftright("slot", chunk).alias("chunk"), F.struct((F.col("slot") % (1 << chunk)).cast("short").alias("at"), value.cast("short").alias("v")).alias("x"))
+    rows = known.select(F.shiftright("slot", chunk).alias("chunk"), F.struct((F.col("slot") % (1 << chunk)).cast("short").alias("at"), value.cast("byte").alias("v")).alias("x"))
     # a chunk has 2 ** chunk slots at most
     packed = rows.groupBy("chunk").agg(F.collect_list("x").alias("x")).select("chunk", "x.at", "x.v")
-    out = np.zeros(ORDERS << SLOT_BITS, np.int16)
+    out = np.zeros(STARTS[ORDERS], np.int8)
     for row in packed.mapInArrow(pack, "chunk bigint, at binary, v binary").collect():
-        out[(row["chunk"] << chunk) + np.frombuffer(row["at"], np.int16).astype(np.int64)] = np.frombuffer(row["v"], np.int16)
-    return out.reshape(ORDERS, -1)
+        out[(row["chunk"] << chunk) + np.frombuffer(row["at"], np.int16).astype(np.int64)] = np.frombuffer(row["v"], np.int8)
+    return out
 
 
 def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        binary = [pa.array([np.array(x, np.int16).tobytes() for x in batch.column(i).to_pylist()], pa.binary()) for i in (1, 2)]
+        binary = [pa.array([np.array(x, kind).tobytes() for x in batch.column(i).to_pylist()], pa.binary()) for i, kind in ((1, np.int16), (2, np.int8))]
         yield pa.RecordBatch.from_arrays([batch.column(0), *binary], names=["chunk", "at", "v"])
 
 
@@ -170,7 +176,7 @@ class Mixer:
         x = np.empty((len(string), ORDERS), np.float32)
         gate = np.zeros(len(string), np.int64)
         for o in range(ORDERS):
-            x[:, o] = self.table[o][slots(o, string, node)]
+            x[:, o] = self.table[slots(o, string, node)]
             gate[x[:, o] != 0] = o + 1
         x /= SCALE
         gate += place * (ORDERS + 1)
@@ -332,7 +338,7 @@ def train(learning: DataFrame) -> Mixer:
     chosen = [r["node"] for r in least]
     top = chosen[-1] if chosen else None
     inside = small & (F.col("node") <= F.lit(top)) if chosen else F.lit(False)
-    table = tables(checkpointed(string_counts(learning.filter(~inside).select("text"))))
+    table = tables(string_counts(learning.filter(~inside).select("text")))
     mixer = Mixer(table)
     if chosen:
         body = learning.filter(inside).dropDuplicates(["node"]).select("node", "text").collect()
