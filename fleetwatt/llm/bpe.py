@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Words whose tokens a worker remembers; later new words are encoded each time they come.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 #: Pairs of tokens whose arc is remembered as open or closed.
-ARCS = 400_000
+ARCS = 150_000
 
 
 def byte_letters() -> dict[str, int]:

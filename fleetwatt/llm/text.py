@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once; a longer text is a piece of its own.
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 GAP = np.zeros(256, bool)
 GAP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
