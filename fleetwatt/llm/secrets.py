@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetwatt.llm.text import LOWER, mix, pieces, span_hash, sums, words
+from fleetwatt.session import checkpointed
 
 #: Bounds of the learning sample.
 POSITIVE = 2000
@@ -246,9 +247,14 @@ def sample(docs: DataFrame, text: str) -> DataFrame:
 
 def learn(docs: DataFrame, text: str = "text") -> Field | None:
     """The field fitted to the bounded sample; None if the table has no base match."""
-    rows = sample(docs, text)
-    least = lambda x, n: x.orderBy("h", "slots").limit(n)
-    got = least(rows.filter("positive"), POSITIVE).unionByName(least(rows.filter("not positive"), NEGATIVE)).collect()
+    rows = checkpointed(sample(docs, text).dropDuplicates(["positive", "h"]))
+
+    def least(x: DataFrame, n: int) -> list:
+        # the limit goes by hashes alone, so that no task gathers the stretches themselves
+        last = x.select("h").orderBy("h").limit(n).agg(F.max("h")).first()[0]
+        return [] if last is None else x.filter(F.col("h") <= last).orderBy("h").collect()
+
+    got = least(rows.filter("positive"), POSITIVE) + least(rows.filter("not positive"), NEGATIVE)
     if not any(r["positive"] for r in got):
         return None
     return fit([(np.frombuffer(r["slots"], np.int32).reshape(r["n"], -1), np.frombuffer(r["tags"], np.int8)) for r in got])
