@@ -7,11 +7,13 @@ text holds fewer are never compared. Passages begin and end with bigrams of the
 coefficient. Of overlapping passages for one template the best is kept, ties by the first and then the shorter.
 
 Null or empty text: no match. Repeated rows each get their own result. Texts are taken whole; a candidate's work is its
-bigrams of the template times the bounded size of a passage.
+bigrams times the bounded number of different bigrams of a passage, however often they are repeated.
 """
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,32 +71,65 @@ def template_sets(templates: dict[str, str]) -> dict[str, np.ndarray]:
     return {k: v for k, v in out.items() if len(v)}
 
 
+def best_ends(code: list[int], ours: list[bool], size: int, threshold: float, lo: int, hi: int) -> Iterator[tuple[int, float, int]]:
+    """(first, dice, last) of the best passage within [lo, hi) from each bigram of the template, from the last one back; last is -1 if none reaches the threshold.
+
+    `recent` holds the nearest different bigrams from a place on, nearest first, as many as a passage can have, so repeated
+    bigrams cost nothing. A passage ends where it gains a bigram of the template: any other end has a lower coefficient, or
+    the same one and is longer. It ends early once no passage from further left can reach `hi`, which changes none of them.
+    """
+    most = int((2 - threshold) / threshold * size + 1e-9)
+    recent: list[int] = []
+    where: dict[int, tuple[int, bool]] = {}
+    for a in range(hi - 1, lo - 1, -1):
+        x = code[a]
+        if x in where:
+            recent.remove(x)
+        elif len(recent) == most:
+            del where[recent.pop()]
+        recent.insert(0, x)
+        where[x] = a, ours[a]
+        if ours[a]:
+            best, last, good = threshold, -1, 0
+            for n, y in enumerate(recent, 1):
+                at, mine = where[y]
+                if mine:
+                    good += 1
+                    dice = 2 * good / (n + size)
+                    if dice > best or (last < 0 and dice >= best):
+                        best, last = dice, at
+            yield a, best, last
+        if hi < len(code) and len(recent) == most:
+            return
+
+
 def best_passages(code: np.ndarray, wanted: np.ndarray, threshold: float) -> list[tuple[float, int, int]]:
     """(dice, first, last) bigram indexes of the best passages of a text that don't overlap."""
-    ours = np.isin(code, wanted)
-    hits = np.flatnonzero(ours)
-    most = (2 - threshold) / threshold * len(wanted) + 1e-9
-    found = []
-    for s, a in enumerate(hits):
-        seen, good = set(), 0
-        at = a
-        for b in hits[s:]:
-            for k in range(at, b + 1):
-                x = int(code[k])
-                if x not in seen:
-                    seen.add(x)
-                    good += bool(ours[k])
-            at = b + 1
-            if len(seen) > most:
-                break
-            dice = 2 * good / (len(seen) + len(wanted))
-            if dice >= threshold:
-                found.append((dice, int(a), int(b)))
-    found.sort(key=lambda x: (-x[0], x[1], x[2]))
+    ours = np.isin(code, wanted).tolist()
+    code = code.tolist()
+    best = {a: (dice, b) for a, dice, b in best_ends(code, ours, len(wanted), threshold, 0, len(code)) if b >= 0}
+    heap = [(-dice, a, b) for a, (dice, b) in best.items()]
+    heapq.heapify(heap)
     kept: list[tuple[float, int, int]] = []
-    for f in found:
-        if all(f[2] < k[1] or f[1] > k[2] for k in kept):
-            kept.append(f)
+    firsts: list[int] = []
+    lasts: list[int] = []
+    while heap:
+        dice, a, b = heapq.heappop(heap)
+        if best.get(a) != (-dice, b):
+            continue
+        i = bisect(firsts, a)
+        before = lasts[i - 1] if i else -1
+        if before >= a:
+            continue
+        kept.append((-dice, a, b))
+        firsts.insert(i, a)
+        lasts.insert(i, b)
+        # passages from the left that reached into this one: the best that end before it
+        for x, d, y in best_ends(code, ours, len(wanted), threshold, before + 1, a):
+            if x in best and best[x] != (d, y):
+                best[x] = d, y
+                if y >= 0:
+                    heapq.heappush(heap, (-d, x, y))
     return kept
 
 
@@ -124,13 +159,14 @@ def license_column(spark: SparkSession, text: str | Column, templates: dict[str,
                 of, which = pairs // len(codes), pairs % len(codes)
                 edge = np.searchsorted(doc, np.arange(j - i + 1))
                 for k in np.unique(of):
+                    points = None
                     shared_with = owner[:, which[of == k]].sum(1)
                     for m in np.flatnonzero(shared_with >= need):
                         mine = slice(edge[k], edge[k + 1])
                         for dice, x, y in best_passages(code[mine], sets[names[m]], threshold):
-                            text = data[at[k] : at[k + 1]]
-                            points = lambda p: int(np.count_nonzero((text[:p] & 0xC0) != 0x80))
-                            out[i + k].append({"license": names[m], "dice": dice, "begin": points(b[mine][x] - at[k]), "end": points(e[mine][y] - at[k])})
+                            if points is None:
+                                points = np.concatenate([[0], np.cumsum((data[at[k] : at[k + 1]] & 0xC0) != 0x80)])
+                            out[i + k].append({"license": names[m], "dice": dice, "begin": int(points[b[mine][x] - at[k]]), "end": int(points[e[mine][y] - at[k]])})
             for row in out:
                 row.sort(key=lambda r: (r["begin"], r["end"], r["license"]))
             yield pa.array(out, kind)

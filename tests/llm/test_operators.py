@@ -324,6 +324,27 @@ def test_licenses_the_plain_way():
         assert (max(f[0] for f in found) == best) if best >= 0.8 else not found
 
 
+def test_license_passages_are_those_of_all_pairs():
+    rng = np.random.default_rng(9)
+    for kinds in (3, 6, 9, 14) * 60:
+        code = rng.integers(0, kinds, 60).astype(np.uint64)
+        wanted = np.unique(rng.integers(0, kinds, 6).astype(np.uint64))
+        n = len(wanted)
+        every = [(2 * len(set(code[a : b + 1]) & set(wanted)) / (len(set(code[a : b + 1])) + n), a, b) for a in range(60) for b in range(a, 60) if {code[a], code[b]} <= set(wanted)]
+        want = []
+        for f in sorted((f for f in every if f[0] >= 0.8), key=lambda f: (-f[0], f[1], f[2])):
+            if all(f[2] < k[1] or f[1] > k[2] for k in want):
+                want.append(f)
+        assert licenses.best_passages(code, wanted, 0.8) == want
+
+
+def test_license_notice_repeated_often(spark):
+    df = spark.createDataFrame([("Released under the MIT License.\n" * 20_000,)], "t string")
+    found = df.select(licenses.license_column(spark, "t").alias("m")).collect()[0]["m"]
+    assert len(found) == 20_000 and {(m["license"], m["dice"]) for m in found} == {("MIT", 1.0)}
+    assert [(m["begin"], m["end"]) for m in found] == [(32 * k, 32 * k + 30) for k in range(20_000)]
+
+
 def test_words_and_shingles():
     import pyarrow as pa
 
