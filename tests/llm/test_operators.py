@@ -215,6 +215,45 @@ def test_lm_gives_probabilities(spark):
     assert abs(p.sum() - 1) < 1e-6 and p[ord("a")] > 0.2
 
 
+def test_lm_counts_are_exact_and_all_texts_teach(spark):
+    import random
+
+    from fleetwatt.llm import mixture_lm
+
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choice("abcdefgh \u00e9\U0001f600") for _ in range(5500)) for _ in range(6)]
+    model = mixture_lm.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    # texts of more than 5000 characters teach weights and map too
+    w, seen, hits = model.mixer.weights, model.mixer.seen, model.mixer.hits
+    bodies = [t.encode() + b"\0" for t in texts]
+    assert np.abs(w - mixture_lm.START).max() > 0.05
+    assert seen.sum() == 4 * seen.size + 8 * sum(map(len, bodies))
+    count = Counter()
+    for body in bodies:
+        body = bytes(5) + body
+        for i in range(5, len(body)):
+            for o in range(6):
+                for k in range(8):
+                    count[body[i - o : i], (256 | body[i]) >> (8 - k), body[i] >> (7 - k) & 1] += 1
+    asked = [bytes(5) + bodies[0][:1], *(bodies[1][i : i + 6] for i in range(0, 300, 7)), *(bodies[2][i : i + 5] + b"z" for i in range(40)), b"zzzzza", b"zzz ab"]
+    want = []
+    for a in asked:
+        total = 0.0
+        for k in range(8):
+            node, bit, x, gate = (256 | a[5]) >> (8 - k), a[5] >> (7 - k) & 1, [0.0] * 6, k * 7
+            for o in range(6):
+                zero, one = (count[a[5 - o : 5], node, b] for b in (0, 1))
+                if zero + one:
+                    x[o], gate = max(-12, min(12, math.log((one + 0.1) / (zero + 0.1)))), k * 7 + o + 1
+            logit = max(-15, min(15, float(np.dot(w[gate], x))))
+            step = min(32, max(0, round(logit * 2) + 16))
+            p = min(1 - 1e-5, max(1e-5, (1 / (1 + math.exp(-logit)) + hits[node, step] / seen[node, step]) / 2))
+            total += math.log10(p if bit else 1 - p)
+        want.append(total)
+    found = model.log10(np.array([int.from_bytes(a, "big") for a in asked], np.uint64))
+    assert np.allclose(found, want, atol=1e-4)
+
+
 def test_languages(spark, sf):
     truth = dict(docs_of(spark, sf, "doc_id", "lang"))
     held = [(truth[i], p) for i, h, p in got(spark, "op7_language_id", sf, "doc_id", "held_out", "lang_pred") if h]
