@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwatt.llm import bpe, embeddings, language, licenses, minhash, mixing, mixture_lm, quality, repeats, secrets
+from fleetwatt.llm import bpe, embeddings, language, licenses, minhash, mixing, mixture_lm, negatives, quality, repeats, secrets
 from fleetwatt.session import use_utc
 
 #: Production parameters of the registered mixture.
@@ -205,3 +205,27 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         best["dice"].alias("best_dice"),
         F.array_join(F.transform(m, lambda x: F.concat_ws(":", x["license"], x["begin"], x["end"])), ",").alias("spans"),
     )
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT a.uid AS anchor, a.vec_id AS anchor_id, r.uid, r.vec_id AS id, a.label = r.label AS same, CAST(list_inner_product(a.q, r.q) AS BIGINT) AS score
+  FROM v a JOIN v r ON a.uid <> r.uid AND len(a.q) = len(r.q) WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, p.uid ORDER BY n.score DESC, n.id) AS INTEGER) AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor = p.anchor AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor, p.uid ORDER BY n.score DESC, n.id) <= 5
+"""
+
+
+@query("op11_hard_negatives", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first negatives in the window of each positive of every anchor."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    return negatives.mined(rows, F.col("vec_id") % 100 == 0, label=label)
