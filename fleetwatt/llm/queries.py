@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwatt.llm import bpe, embeddings, language, licenses, minhash, mixing, mixture_lm, negatives, quality, repeats, secrets
+from fleetwatt.llm import bpe, embeddings, language, licenses, minhash, mixing, mixture_lm, negatives, quality, repeats, search, secrets
 from fleetwatt.session import use_utc
 
 #: Production parameters of the registered mixture.
@@ -229,3 +229,30 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
     return negatives.mined(rows, F.col("vec_id") % 100 == 0, label=label)
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents
+), c AS (
+  SELECT count(*)::BIGINT AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d WHERE len(ts) > 0
+), p AS (
+  SELECT uid, doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT uid, doc_id, len(ts)::BIGINT AS n, unnest(ts) AS t FROM d) GROUP BY ALL
+), w AS (
+  SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM p, c GROUP BY t, n_docs
+), i AS (
+  SELECT item, item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS t
+  FROM (SELECT row_number() OVER () AS item, item_id, text FROM benchmark)
+), s AS (
+  SELECT item, item_id, uid, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score FROM i JOIN p USING (t) JOIN w USING (t), c GROUP BY item, item_id, uid, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) <= 10
+"""
+
+
+@query("op13_lexical_search", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.ranked(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
