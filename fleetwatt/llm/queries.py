@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwatt.llm import bpe, embeddings, language, licenses, minhash, mixing, mixture_lm, negatives, quality, repeats, search, secrets
+from fleetwatt.llm import bpe, embeddings, language, licenses, minhash, mixing, mixture_lm, negatives, pii, quality, repeats, search, secrets
 from fleetwatt.session import use_utc
 
 #: Production parameters of the registered mixture.
@@ -231,6 +231,16 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mined(rows, F.col("vec_id") % 100 == 0, label=label)
 
 
+@query("op12_pii")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base counts and digest, and all spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", pii.private_column(spark, pii.learn(pii.own_table(spark)), "text").alias("s"))
+    count = lambda kind: F.size(F.filter("s", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    base = F.sha2(pii.joined(F.col("s"), base_only=True).cast("binary"), 256)
+    return found.select("doc_id", *map(count, pii.BASE), base.alias("base_sha256"), pii.joined(F.col("s")).alias("spans"))
+
+
 OP13_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents
