@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetwatt.operators.timeline import DEVICE_TIME, Timeline, scan
+from fleetwatt.operators.prefix import scan
+from fleetwatt.operators.timeline import DEVICE_TIME, Timeline
 
 
 def bucket_start(period_s: int, time: str = "ts") -> Column:

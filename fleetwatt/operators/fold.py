@@ -1,13 +1,12 @@
 """Run a sequential state machine over every device's ordered samples.
 
 A fold is written once, as a step function, and runs in batch (here) and in streaming
-(`fleetwatt.streaming.folds`). In batch the timeline is cut into slices like in `timeline.scan`, so a
-device with very many rows is folded by many tasks at once. What a slice must know is the state at
-its start:
+(`fleetwatt.streaming.folds`). What a task must know is the state at its first row:
 
-* A *composable* fold condenses a slice into a summary from which the state after the slice follows
-  from the state before it. Two passes: summaries, then rows with the exact start state.
-* Any other fold starts every slice cold, hands the end state of each slice to the next one, and
+* A *composable* fold condenses rows into a summary from which the state after them follows from the state before
+  them. It runs over range partitions (`prefix`): one shuffle, a summary for the last key of each run, and then rows with
+  the exact start state. Folds and scans in a row share the shuffle.
+* Any other fold runs over the slices of `timeline`. It starts every slice cold, hands the end state of each slice to the next one, and
   repeats for the slices whose start state moved, until none does. The first slice is exact from the
   start, and each round makes at least the next slice exact, so the fixed point is the sequential
   result. Filters that forget their past settle in two or three rounds; for those that do not, each round
@@ -31,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
+from fleetwatt.operators import prefix
 from fleetwatt.operators.timeline import CARRIED, DEVICE_TIME, SLICE, Timeline
 from fleetwatt.session import checkpointed
 
@@ -69,38 +69,11 @@ def _lists(batch: pa.RecordBatch, names: Sequence[str]) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], keys: Sequence[str], inputs: Sequence[str]):
-    """Consecutive (key and slice, row iterator) pairs of a sorted partition."""
-
-    def rows():
-        for batch in batches:
-            yield from zip(zip(*_lists(batch, keys)), zip(*_lists(batch, inputs)))
-
-    for key, group in groupby(rows(), key=itemgetter(0)):
-        yield key, (row for _, row in group)
-
-
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     cols = list(zip(*rows)) if rows else [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types)], schema=schema)
 
 
-def _summaries(fold: ComposableFold, keys: Sequence[str], inputs: Sequence[str], schema: pa.Schema):
-    """Task function: one summary per slice."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[tuple] = []
-        for key, rows in _slices(batches, keys, inputs):
-            done.append((*key, json.dumps(fold.summarise(rows))))
-            if len(done) >= 1024:
-                yield _batch(done, schema)
-                done = []
-        if done:
-            yield _batch(done, schema)
-
-    return run
-
-
 def _ends(fold: Fold, keys: Sequence[str], inputs: Sequence[str], schema: pa.Schema):
     """Task function over runs of slices: the state each slice ended with, and the one it started from."""
 
@@ -157,26 +130,103 @@ def _emit(fold: Fold, keys: Sequence[str], inputs: Sequence[str], keep: Sequence
     return run
 
 
-def _stitch(fold: ComposableFold, keys: Sequence[str], schema: pa.Schema):
-    """Task function over sorted summaries: the start state of every slice but a device's first."""
+def _run_heads(fold: ComposableFold, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], schema: pa.Schema):
+    """Task function: the summary of the last key of a run. Of a batch only the rows of its last key are looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, state = None, None
+        first: list = []
+        seen = {"no": None, "key": None, "last": None, "single": True}
+
+        def rows():
+            group = 0
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                fresh = prefix._changes(batch, keys)
+                if not first:
+                    first.extend(batch.column(c)[0].as_py() for c in (*keys, *order))
+                    seen["no"] = batch.column(prefix.RUN)[0].as_py()
+                    fresh[0] = False
+                else:
+                    fresh[0] = prefix._key(batch, keys, 0) != seen["last"]
+                seen["last"] = prefix._key(batch, keys, batch.num_rows - 1)
+                starts = fresh.nonzero()[0]
+                begin = 0
+                if len(starts):
+                    seen["single"] = False
+                    group, begin = group + 1, int(starts[-1])
+                for row in zip(*_lists(batch.slice(begin), inputs)):
+                    yield group, row
+
+        summary = None
+        for _, group in groupby(rows(), key=itemgetter(0)):
+            summary = fold.summarise(row for _, row in group)
+        if first:
+            yield _batch([(seen["no"], *first, *seen["last"], seen["single"], json.dumps(summary))], schema)
+
+    return run
+
+
+def _run_states(fold: ComposableFold, n_keys: int, n_order: int, schema: pa.Schema):
+    """Task function over all heads in order: the state that each run's first key brings along."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
         for batch in batches:
-            ids = list(zip(*_lists(batch, keys)))
-            slices, summaries = _lists(batch, [SLICE, STATE])
             done = []
-            for key, sl, summary in zip(ids, slices, summaries):
-                if key != at:
-                    at, state = key, fold.init()
-                else:
-                    done.append((*key, sl, json.dumps(state)))
-                state = fold.advance(state, json.loads(summary))
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                no, at, last, (single, summary) = row[0], row[1 : 1 + n_keys + n_order], row[1 + n_keys + n_order : -2], row[-2:]
+                on = key is not None and key == (at[:n_keys],)
+                done.append((no, *at, on, json.dumps(state) if on else None))
+                state = fold.advance(state if on and single else fold.init(), json.loads(summary))
+                key = (last,)
             yield _batch(done, schema)
 
     return run
 
 
+def _run_rows(fold: ComposableFold, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], keep: Sequence[str], out: pa.Schema):
+    """Task function: every row of a run with the fold's output columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state, begun = None, None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fresh = prefix._changes(batch, keys)
+            if not begun:
+                begun = True
+                prefix._checked(batch, [*keys, *order])
+                fresh[0] = not batch.column("__goes_on")[0].as_py()
+                state = None if fresh[0] else json.loads(batch.column(prefix.HEAD + STATE)[0].as_py())
+            else:
+                fresh[0] = prefix._key(batch, keys, 0) != last
+            last = prefix._key(batch, keys, batch.num_rows - 1)
+            results = []
+            for new, row in zip(fresh.tolist(), zip(*_lists(batch, inputs))):
+                state, got = fold.step(fold.init() if new else state, row)
+                results.append(got)
+            made = [pa.array(c, t) for c, t in zip(zip(*results), out.types)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *made], names=[*keep, *out.names])
+
+    return run
+
+
+def _fold_in_runs(df: DataFrame, fold: ComposableFold, args: Mapping[str, Column], tl: Timeline) -> DataFrame:
+    keys, order = list(tl.keys), list(tl.order)
+    rows = prefix.in_runs(df, tl)
+    keep, named = list(rows.columns), [f"__arg_{n}" for n in fold.inputs]
+    fields = [rows.schema[c] for c in keep]
+    rows = rows.select("*", *[args[n].alias(a) for n, a in zip(fold.inputs, named)])
+    state = [T.StructField(prefix.HEAD + STATE, T.StringType())]
+    made, handed = prefix.head_schema(rows, keys, order, state)
+    heads, states = _run_heads(fold, keys, order, named, _arrow(made)), _run_states(fold, len(keys), len(order), _arrow(handed))
+    out = T.StructType.fromDDL(fold.output)
+    ready = prefix.joined_back(rows, keys, order, state, heads, states)
+    told = ready.mapInArrow(_run_rows(fold, keys, order, named, keep, _arrow(out)), T.StructType([*fields, *out.fields]))
+    return prefix.released(told, df)
+
+
 def _arrow(schema: T.StructType) -> pa.Schema:
     return pa.schema([(f.name, _arrow_type(f.dataType)) for f in schema.fields])
 
@@ -209,6 +259,8 @@ def run_fold(
 ) -> DataFrame:
     """`df` plus the fold's output columns; `args` gives a column for each of `fold.inputs`."""
     tl = tl.of(df)
+    if isinstance(fold, ComposableFold):
+        return _fold_in_runs(df, fold, args, tl)
     keys, keep = list(tl.keys), list(df.columns)
     named = [f"__arg_{n}" for n in fold.inputs]
     rows = tl.sliced(df).select("*", *[args[n].alias(a) for n, a in zip(fold.inputs, named)])
@@ -216,7 +268,6 @@ def run_fold(
 
     key_fields = [df.schema[k] for k in keys]
     state_schema = T.StructType([*key_fields, T.StructField(SLICE, T.LongType()), T.StructField(STATE, T.StringType())])
-    state_arrow = _arrow(state_schema)
 
     def ordered(part: DataFrame, heads: DataFrame | None, by: str = SLICE) -> DataFrame:
         part = part.withColumn(CARRIED, F.lit(False))
@@ -226,17 +277,9 @@ def run_fold(
             part = part.unionByName(heads.withColumn(CARRIED, F.lit(True)), allowMissingColumns=True)
         return part.repartition(*keys, by).sortWithinPartitions(*keys, by, F.col(CARRIED).desc(), *tl.order)
 
-    if isinstance(fold, ComposableFold):
-        summaries = ordered(slim, None).mapInArrow(_summaries(fold, [*keys, SLICE], named, state_arrow), state_schema)
-        heads = (
-            summaries.repartition(*keys).sortWithinPartitions(*keys, SLICE)
-            .mapInArrow(_stitch(fold, keys, state_arrow), state_schema)
-        )
-    else:
-        used_schema = T.StructType([*state_schema.fields, T.StructField("__used", T.StringType())])
-        ends = _ends(fold, keys, named, _arrow(used_schema))
-        heads = _settle(slim, lambda part, heads: ordered(part, heads, RUN).mapInArrow(ends, used_schema), keys, max_rounds)
-
+    used_schema = T.StructType([*state_schema.fields, T.StructField("__used", T.StringType())])
+    ends = _ends(fold, keys, named, _arrow(used_schema))
+    heads = _settle(slim, lambda part, heads: ordered(part, heads, RUN).mapInArrow(ends, used_schema), keys, max_rounds)
     out_schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL(fold.output).fields])
     out_arrow = _arrow(T.StructType.fromDDL(fold.output))
     emitted = ordered(rows, heads).mapInArrow(_emit(fold, [*keys, SLICE], named, keep, out_arrow), out_schema)

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetwatt.operators.fold import ComposableFold, Fold, run_fold
-from fleetwatt.operators.timeline import DEVICE_TIME, Timeline, micros, scan
+from fleetwatt.operators.prefix import scan
+from fleetwatt.operators.timeline import DEVICE_TIME, Timeline, micros
+from fleetwatt.operators.windows import LATCH_MARGIN
 from fleetwatt.session import checkpointed
 
 
@@ -255,38 +257,66 @@ class Throttle(ComposableFold):
         return (t if keep else state), (keep,)
 
     def summarise(self, rows):
-        ts, seed = [], None
+        chain, seed = KeptChain(self.interval), None
         for i, (t, s) in enumerate(rows):
             if i == 0:
                 seed = s
-            ts.append(t)
-        return [seed, kept_chain(ts, self.interval)]
+            chain.add(t)
+        return [seed, chain.dump()]
 
     def advance(self, state, summary):
         seed, chain = summary
         return follow_chain(seed if state is None else state, chain, self.interval)
 
 
-def kept_chain(ts: Sequence[int], interval: int) -> list[list[int]]:
-    """For each row that can be the first one kept: its time and the last time kept from there on.
+class KeptChain:
+    """For each row that can be the first one kept: its time and the last time kept from there on, row by row.
 
-    Only rows within one interval of the first can be, and neighbours that end alike are merged.
+    Only rows within one interval of the first can be. Those that were kept last at the same time are a group from then on; a row
+    moves all groups that are an interval behind it, which makes them one. So what is held are the rows of one interval,
+    however many rows go by.
     """
-    n = len(ts)
-    if not n:
-        return []
-    last = [0] * n
-    for i in range(n - 1, -1, -1):
-        j = bisect_left(ts, ts[i] + interval, i + 1)
-        last[i] = last[j] if j < n else ts[i]
-    heads = min(n, bisect_left(ts, ts[0] + interval) + 1)
-    chain: list[list[int]] = []
-    for i in range(heads):
-        if chain and chain[-1][1] == last[i]:
-            chain[-1][0] = ts[i]
-        else:
-            chain.append([ts[i], last[i]])
-    return chain
+
+    def __init__(self, interval: int):
+        self.interval, self.first, self.open = interval, None, True
+        self.heads: list[int] = []
+        self.groups: deque[tuple[int, list[int]]] = deque()
+
+    def add(self, t: int) -> None:
+        if self.first is None:
+            self.first = t
+        moved: list[int] = []
+        while self.groups and t - self.groups[0][0] >= self.interval:
+            group = self.groups.popleft()[1]
+            small, moved = sorted((moved, group), key=len)
+            moved += small
+        if self.open:
+            moved.append(len(self.heads))
+            self.heads.append(t)
+            self.open = t - self.first < self.interval
+        if moved:
+            self.groups.append((t, moved))
+
+    def dump(self) -> list[list[int]]:
+        """Neighbours that end alike are one."""
+        last = [0] * len(self.heads)
+        for t, group in self.groups:
+            for i in group:
+                last[i] = t
+        chain: list[list[int]] = []
+        for t, end in zip(self.heads, last, strict=True):
+            if chain and chain[-1][1] == end:
+                chain[-1][0] = t
+            else:
+                chain.append([t, end])
+        return chain
+
+
+def kept_chain(ts: Iterable[int], interval: int) -> list[list[int]]:
+    chain = KeptChain(interval)
+    for t in ts:
+        chain.add(t)
+    return chain.dump()
 
 
 def follow_chain(state: int | None, chain: list[list[int]], interval: int) -> int | None:
@@ -324,9 +354,13 @@ class Periods(ComposableFold):
         return [self._one(s, t, p) for s, p in zip(state, self.periods)], (due,)
 
     def summarise(self, rows):
-        ts = [t for (t,) in rows]
-        tied = len(ts) > 1 and ts[-2] == ts[-1]
-        return [ts[0], ts[-1], tied, [kept_chain(ts, p) for p in self.periods]]
+        chains, first, last, tied = [KeptChain(p) for p in self.periods], None, None, False
+        for (t,) in rows:
+            first = t if first is None else first
+            tied, last = t == last, t
+            for chain in chains:
+                chain.add(t)
+        return [first, last, tied, [chain.dump() for chain in chains]]
 
     def advance(self, state, summary):
         first, last, tied, chains = summary
@@ -354,16 +388,16 @@ class KeepAlive(ComposableFold):
         return ([v, t] if emit else state), (emit,)
 
     def summarise(self, rows):
-        first, run, end = None, [], None
+        first, run, end = None, KeptChain(self.interval), None
         for i, (t, v) in enumerate(rows):
             if i == 0:
                 first = v
             if end is None and v == first:
-                run.append(t)
+                run.add(t)
                 continue
             if end is None or end[0] != v or t - end[1] >= self.interval:
                 end = [v, t]
-        return [first, kept_chain(run, self.interval), end]
+        return [first, run.dump(), end]
 
     def advance(self, state, summary):
         first, chain, end = summary
@@ -491,6 +525,36 @@ class PackTemperature(ComposableFold):
         return [a * temp + b, last]
 
 
+class SocController(Fold):
+    """Charge-switch commands sample by sample; `soc_controller` gives the same ones from a table.
+
+    The state is whether the pack may charge, and the time of the last full charge, which begins as that of the first sample.
+    """
+
+    inputs = ("t_us", "soc", "sw", "stop", "start", "calibration_us")
+    output = "value boolean, reason string"
+
+    def init(self):
+        return [True, None]
+
+    def step(self, state, row):
+        t, soc, sw, stop, start, calibration = row
+        charging, last = state
+        last = t if last is None else last
+        level = math.nan if soc is None else soc
+        if calibration and t - last > calibration:
+            if level == 100:
+                return [False, t], (False, "calibrated")
+            if sw is not None and not sw:
+                return [True, last], (True, "calibrate")
+            return [charging, last], (None, None)
+        if charging and level >= stop:
+            return [False, last], (False, "stop") if sw else (None, None)
+        if not charging and level <= min(start, stop - LATCH_MARGIN):
+            return [True, last], (True, "start") if sw is not None and not sw else (None, None)
+        return [charging, last], (None, None)
+
+
 # --- the folds as table operators -------------------------------------------------------------
 
 
@@ -611,7 +675,7 @@ def soc_controller(
     """
     stop = stop if isinstance(stop, Column) else F.lit(float(stop))
     start = start if isinstance(start, Column) else F.lit(float(start))
-    low = F.least(start, stop - 0.2)
+    low = F.least(start, stop - LATCH_MARGIN)
     if calibration_s:
         known = calibrations(df, calibration_s, last_calibration, tl)
         now = F.struct(*tl.order)

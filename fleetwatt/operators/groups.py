@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetwatt.operators.prefix import scan
 from fleetwatt.operators.timeline import DEVICE_TIME, Timeline
 
 
@@ -15,8 +16,8 @@ TICKS_AT_ONCE = 4096
 def align_group(samples: DataFrame, members: DataFrame, tick_s: int, tl: Timeline = DEVICE_TIME) -> DataFrame:
     """Last known row of every member at each tick, from the first tick at which all members have reported.
 
-    Samples are reduced to one row per member and tick before anything is ordered, so the windows
-    below run over ticks and not over samples: their size follows the clock, not the sampling rate.
+    Samples are reduced to one row per member and tick before anything is ordered, and those are ordered in runs of equal
+    size, whatever the length of a member's history.
     """
     tl = tl.of(samples)
     us = tick_s * 1_000_000
@@ -33,8 +34,10 @@ def align_group(samples: DataFrame, members: DataFrame, tick_s: int, tl: Timelin
         per_member.groupBy("group").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("seen"))
         .join(sizes, "group").filter("seen = n_members").select("group", "lo", "hi")
     )
-    w = Window.partitionBy("group", "member").orderBy("__tick")
-    held = last.withColumn("__next", F.lead("__tick").over(w)).join(span, "group")
+    # the next tick is the one before on a clock that runs backwards
+    back = Timeline(("group", "member"), "__back", ("__back",))
+    turned = last.withColumn("__back", F.timestamp_micros(-F.col("__tick") * us))
+    held = scan(turned, back, lag={"__next": F.col("__tick")}).drop("__back").join(span, "group")
     first = F.greatest("__tick", "lo")
     until = F.coalesce(F.col("__next") - 1, F.col("hi"))
     # a long gap is cut in stretches first, so that no row ever holds more than one stretch of ticks

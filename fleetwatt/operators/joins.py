@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetwatt.functions.scalar import calibrate
-from fleetwatt.operators.timeline import DEVICE_TIME, Timeline, micros, scan
+from fleetwatt.operators import prefix
+from fleetwatt.operators.timeline import DEVICE_TIME, Timeline, has_hot_slice, micros, scan
 
 
 def with_device(samples: DataFrame, devices: DataFrame) -> DataFrame:
@@ -48,38 +49,34 @@ def asof(
     max_age_s: float | None = None,
     keys: Sequence[str] = ("device",),
     tl: Timeline = DEVICE_TIME,
-    spread: int | None = None,
 ) -> DataFrame:
     """Latest known value of each column in `values` (expressions over `right`) at each left row.
 
     Each value column is carried on its own, so a right row that lacks one does not hide an older
-    value. Both sides go through one sliced scan: no row meets more than its own neighbours.
-
-    When the right side has no device key (`keys=()`), the left rows of a slice are dealt evenly to
-    `spread` partitions, whatever device they belong to, and the right side is copied into each.
+    value. Both sides go through one scan: no row meets more than its own neighbours. With an age limit that is a scan in slices, to which
+    right rows are copied as far as they are valid. Without one, when the right side has no device key (`keys=()`), or when a slice is too large for a task, it is a
+    scan over range partitions: nothing is copied, and what stands before a partition comes in its head.
     """
     tl = tl.of(left)
-    side = Timeline(tuple(keys), tl.time, (tl.time, "__side", *[c for c in tl.order if c != tl.time]), tl.width_s, tl.hot if tuple(keys) == tuple(tl.keys) and not spread else None)
+    side = Timeline(tuple(keys), tl.time, (tl.time, "__side", *[c for c in tl.order if c != tl.time]), tl.width_s, tl.hot if tuple(keys) == tuple(tl.keys) else None)
     probe = left.withColumn("__side", F.lit(1))
     source = right.select(
         *keys, F.col(tl.time), F.lit(0).alias("__side"),
         *[c for c in tl.order if c != tl.time and c in right.columns],
         *[F.when(e.isNotNull(), F.struct(micros(tl.time).alias("t"), e.alias("v"))).alias(f"__r_{n}") for n, e in values.items()],
     )
-    if spread:
-        probe = probe.withColumn("__spread", F.pmod(F.xxhash64(*tl.order), F.lit(spread)).cast("int"))
-        source = source.withColumn("__spread", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-        side = side.with_keys(*keys, "__spread")
     rows = probe.unionByName(source, allowMissingColumns=True)
-    # with an age limit, right rows are copied as far as they are valid; without one, they are carried
-    rows = scan(
-        rows, side, last={f"__k_{n}": F.col(f"__r_{n}") for n in values}, reach_s=max_age_s, reach_if=F.col("__side") == 0
-    ).filter("__side = 1")
+    last = {f"__k_{n}": F.col(f"__r_{n}") for n in values}
+    if max_age_s is None or not keys or (side.hot is None and has_hot_slice(rows, side)):
+        rows = prefix.scan(rows, side, last=last)
+    else:
+        rows = scan(rows, side, last=last, reach_s=max_age_s, reach_if=F.col("__side") == 0)
+    rows = rows.filter("__side = 1")
     out = {}
     for n in values:
         age_ok = F.lit(True) if max_age_s is None else micros(tl.time) - F.col(f"__k_{n}")["t"] <= int(max_age_s * 1e6)
         out[n] = F.when(age_ok, F.col(f"__k_{n}")["v"])
-    drop = ["__side", "__spread"] + [f"__r_{n}" for n in values] + [f"__k_{n}" for n in values]
+    drop = ["__side"] + [f"__r_{n}" for n in values] + [f"__k_{n}" for n in values]
     return rows.withColumns(out).drop(*drop)
 
 
@@ -93,12 +90,10 @@ def asof_ambient(
     channels: Sequence[str] = ("room", "outdoor"),
     max_age_s: float = AMBIENT_MAX_AGE_S,
     tl: Timeline = DEVICE_TIME,
-    spread: int = 16,
 ) -> DataFrame:
     """Room and outdoor values at sample time from ambient(channel, ts, value), which has no device key."""
     values = {c: F.when(F.col("channel") == c, F.col("value")) for c in channels}
-    hourly = Timeline(tl.keys, tl.time, tl.order, 3600)
-    return asof(samples, ambient, values, max_age_s, keys=(), tl=hourly, spread=spread)
+    return asof(samples, ambient, values, max_age_s, keys=(), tl=tl)
 
 
 def asof_context(status: DataFrame, settings: DataFrame, columns: Sequence[str], tl: Timeline = DEVICE_TIME) -> DataFrame:

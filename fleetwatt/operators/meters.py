@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetwatt.operators.timeline import DEVICE_TIME, Timeline, micros, scan
+from fleetwatt.operators.prefix import RUN, in_runs, released, scan
+from fleetwatt.operators.timeline import DEVICE_TIME, Timeline, has_hot_slice, micros
+from fleetwatt.operators.timeline import scan as reaching_scan
 
 METERS = (
     "total_charge",
@@ -39,18 +43,18 @@ def abs_step(prev: Column, y: Column, gap_s: float, step_max: float, time: str =
 
 def integrate(df: DataFrame, y: Column, gap_s: float, out: str, tl: Timeline = DEVICE_TIME) -> DataFrame:
     """Running trapezoid of one signal; rows without a value are skipped over."""
-    df = df.withColumn("__y", y)
-    df = scan(df, tl, last_before={"__p": F.when(F.col("__y").isNotNull(), F.struct(micros(tl.time).alias("t"), F.col("__y").alias("y")))}, reach_s=gap_s)
+    given, df = df, in_runs(df, tl).withColumn("__y", y)
+    df = scan(df, tl, last_before={"__p": F.when(F.col("__y").isNotNull(), F.struct(micros(tl.time).alias("t"), F.col("__y").alias("y")))})
     df = df.withColumn("__inc", F.coalesce(trapezoid(F.col("__p"), F.col("__y"), gap_s, tl.time), F.lit(0.0)))
-    return scan(df, tl, total={out: F.col("__inc")}).drop("__y", "__p", "__inc")
+    return released(scan(df, tl, total={out: F.col("__inc")}).drop("__y", "__p", "__inc"), given)
 
 
 def abs_diff_sum(df: DataFrame, y: Column, gap_s: float, step_max: float, out: str, tl: Timeline = DEVICE_TIME) -> DataFrame:
     """Running sum of absolute steps; a missing value breaks the chain on both sides."""
-    df = df.withColumn("__y", y)
-    df = scan(df, tl, lag={"__p": F.struct(micros(tl.time).alias("t"), F.col("__y").alias("y"))}, reach_s=gap_s)
+    given, df = df, in_runs(df, tl).withColumn("__y", y)
+    df = scan(df, tl, lag={"__p": F.struct(micros(tl.time).alias("t"), F.col("__y").alias("y"))})
     df = df.withColumn("__inc", F.coalesce(abs_step(F.col("__p"), F.col("__y"), gap_s, step_max, tl.time), F.lit(0.0)))
-    return scan(df, tl, total={out: F.col("__inc")}).drop("__y", "__p", "__inc")
+    return released(scan(df, tl, total={out: F.col("__inc")}).drop("__y", "__p", "__inc"), given)
 
 
 def meter_increments(
@@ -68,16 +72,17 @@ def meter_increments(
     t = micros(tl.time)
     known = lambda c: F.when(F.col(c).isNotNull(), F.struct(t.alias("t"), F.col(c).alias("y")))
     df = df.withColumn("__sign", sign)
-    df = scan(
-        df,
-        tl,
-        last_before={"__i": known("current"), "__p": known("power")},
-        lag={
-            "__soc": F.struct(t.alias("t"), (F.col("soc") * 0.005).alias("y")),
-            "__q": F.struct(t.alias("t"), F.col("charge").cast("double").alias("y")),
-        },
-        reach_s=max(gap_s, DIFF_GAP_S),
-    )
+    before = {"__i": known("current"), "__p": known("power")}
+    lag = {
+        "__soc": F.struct(t.alias("t"), (F.col("soc") * 0.005).alias("y")),
+        "__q": F.struct(t.alias("t"), F.col("charge").cast("double").alias("y")),
+    }
+    # a table in runs is scanned as it is, and one with a slice too large for a task is brought in runs; any other is scanned in slices that
+    # get copies of what is within reach, without a second pass
+    if RUN in df.columns or (tl.hot is None and has_hot_slice(df, tl)):
+        df = scan(df, tl, last_before=before, lag=lag)
+    else:
+        df = reaching_scan(df, tl, last_before=before, lag=lag, reach_s=max(gap_s, DIFF_GAP_S))
 
     def directional(f) -> Column:
         prev = F.struct(F.col("__p")["t"].alias("t"), (f(F.col("__p")["y"]) * 1e-3).alias("y"))
@@ -102,10 +107,12 @@ def meter_totals(increments: DataFrame, keys: tuple[str, ...] = ("device",)) ->
     return increments.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in METERS], F.count(F.lit(1)).alias("samples"))
 
 
-def meter_readings(increments: DataFrame, tl: Timeline = DEVICE_TIME) -> DataFrame:
-    """Running readings, one per sample."""
+def meter_readings(increments: DataFrame, tl: Timeline = DEVICE_TIME, before: Sequence[str] = ()) -> DataFrame:
+    """Running readings, one per sample; also, as <column>_before, readings and other columns of the row before."""
     inc = increments.select("*", *[F.col(m).alias(f"__{m}") for m in METERS]).drop(*METERS)
-    return scan(inc, tl, total={m: F.col(f"__{m}") for m in METERS}).drop(*[f"__{m}" for m in METERS])
+    totals = {f"{m}_before": F.col(f"__{m}") for m in METERS if m in before}
+    others = {f"{c}_before": F.col(c) for c in before if c not in METERS}
+    return scan(inc, tl, total={m: F.col(f"__{m}") for m in METERS}, total_before=totals, lag=others).drop(*[f"__{m}" for m in METERS])
 
 
 def restore_meters(totals_long: DataFrame, snapshot: DataFrame) -> DataFrame:
@@ -129,9 +136,12 @@ def reconcile_energy(totals: DataFrame, eps: float = 1e-6) -> DataFrame:
     return totals.withColumn("energy_balance", diff).withColumn("balanced", F.abs(diff) < eps)
 
 
-def utility_meter(df: DataFrame, reading: Column, cycle: str = "day", tl: Timeline = DEVICE_TIME) -> DataFrame:
-    """Consumption per cycle of an increasing reading; a reading that falls is a reset and adds nothing."""
-    df = scan(df.withColumn("__r", reading), tl, lag={"__prev": F.col("__r")})
+def utility_meter(df: DataFrame, reading: Column, cycle: str = "day", tl: Timeline = DEVICE_TIME, previous: Column | None = None) -> DataFrame:
+    """Consumption per cycle of an increasing reading; a reading that falls is a reset and adds nothing.
+
+    `previous` is the reading of the row before, where the rows already have it; otherwise a scan brings it.
+    """
+    df = scan(df.withColumn("__r", reading), tl, lag={"__prev": F.col("__r")}) if previous is None else df.withColumns({"__r": reading, "__prev": previous})
     return (
         df.withColumn("__use", F.greatest(F.col("__r") - F.col("__prev"), F.lit(0.0)))
         .groupBy(*tl.keys, F.date_trunc(cycle, F.col(tl.time)).alias("cycle_start"))

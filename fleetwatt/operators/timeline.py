@@ -11,6 +11,7 @@ slice needs from the past reaches it in one of two ways:
   aggregate (one row per device and slice). Two reads, one of them with few columns, and one shuffle of
   the data; the data is never joined.
 
+`has_hot_slice` tells whether a slice is too large for one task; operators then order rows in runs of equal size instead (`prefix`).
 `balanced` measures the slices and splits the ones that are too large.
 """
 
@@ -188,7 +189,16 @@ def slice_sizes(df: DataFrame, tl: Timeline = DEVICE_TIME) -> DataFrame:
     return df.select(*tl.keys, tl.slice_of().alias(SLICE)).groupBy(*tl.keys, SLICE).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def balanced(df: DataFrame, tl: Timeline = DEVICE_TIME, max_rows: int = 5_000_000) -> Timeline:
+#: rows of a slice that one task should order at most
+SLICE_ROWS = 5_000_000
+
+
+def has_hot_slice(df: DataFrame, tl: Timeline = DEVICE_TIME, max_rows: int = SLICE_ROWS) -> bool:
+    """Whether any slice is too large for a task; a job that reads keys and time, and counts them before it shuffles."""
+    return not slice_sizes(df, tl).filter(F.col("rows") > max_rows).isEmpty()
+
+
+def balanced(df: DataFrame, tl: Timeline = DEVICE_TIME, max_rows: int = SLICE_ROWS) -> Timeline:
     """A timeline whose slices hold about `max_rows` rows at most, by cutting the larger ones finer.
 
     The list of large slices has at most (rows / max_rows) entries; it goes through the checkpoint

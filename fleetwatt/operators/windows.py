@@ -1,13 +1,14 @@
-"""Ordered operators that are plain window expressions over the sliced timeline."""
+"""Ordered operators that are running columns over range partitions (`prefix`); those in a row share one shuffle."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetwatt.operators.timeline import CARRIED, DEVICE_TIME, SLICE, Timeline, micros, scan, slice_window
+from fleetwatt.operators.prefix import in_runs, released, scan
+from fleetwatt.operators.timeline import DEVICE_TIME, Timeline, micros
 
 #: fixed values: power jump detection
 JUMP_REGULARISATION_W = 120.0
@@ -25,16 +26,16 @@ def power_jump(
     tl: Timeline = DEVICE_TIME,
 ) -> DataFrame:
     """`jump` marks a relative power rise; `jump_hold` stays true for `hold_s` after one."""
-    df = scan(df, tl, lag={"__prev": F.col(power)})
+    given, df = df, scan(in_runs(df, tl), tl, lag={"__prev": F.col(power)})
     prev = F.coalesce("__prev", F.lit(0.0))
     p = F.col(power)
     jump = (F.abs((p - prev) / (F.abs(prev) + reg)) > threshold) & (F.abs(p) > F.abs(prev))
     if virtual is not None:
         jump = jump & ~virtual
     df = df.withColumn("jump", F.coalesce(jump, F.lit(False))).drop("__prev")
-    df = scan(df, tl, last={"__t_jump": F.when(F.col("jump"), micros(tl.time))}, reach_s=hold_s, reach_if=F.col("jump"))
+    df = scan(df, tl, last={"__t_jump": F.when(F.col("jump"), micros(tl.time))})
     held = micros(tl.time) - F.col("__t_jump") < int(hold_s * 1e6)
-    return df.withColumn("jump_hold", F.coalesce(held, F.lit(False))).drop("__t_jump")
+    return released(df.withColumn("jump_hold", F.coalesce(held, F.lit(False))).drop("__t_jump"), given)
 
 
 def changed_only(
@@ -81,65 +82,43 @@ CELL_VALID = (2000, 4500)
 CELL_ALMOST_EMPTY = 2700
 CELL_ALMOST_FULL = 3500
 
+#: stands for "no weakest cell" among cell numbers
+NO_CELL = -1
+
 
 def weakest_cell(df: DataFrame, cells: str = "cell_mv", tl: Timeline = DEVICE_TIME) -> DataFrame:
     """The cell that is both the emptiest and the fullest ever seen when the pack nears a limit.
 
-    Two dependent passes (running extremes, then the last verdict) share one sort: the summary of a
-    slice keeps its last event with the slice's own extreme at that row, and the verdict follows as soon
-    as the extremes of the earlier slices are known.
+    Three scans of one shuffle: the levels ever seen before a row, then the cells of the rows that beat them (of equal levels the
+    first counts), then the last verdict, where "no weakest cell" is a verdict too.
     """
-    tl = tl.of(df)
     c = F.col(cells)
-    lo, hi = F.array_min(c), F.array_max(c)
+    lo, hi = F.array_min(c).cast("int"), F.array_max(c).cast("int")
     ok = (lo >= CELL_VALID[0]) & (hi <= CELL_VALID[1])
-    # the earliest row wins a tie, so the order key comes right after the level
-    level = lambda v, at: F.when(ok, F.struct(v.cast("int").alias("level"), *tl.order, (F.array_position(c, at) - 1).cast("int").alias("cell")))
-    event = F.when(ok & (lo < CELL_ALMOST_EMPTY), "empty").when(ok & (hi > CELL_ALMOST_FULL), "full")
-    rows = tl.sliced(df).withColumns({"__empty": level(lo, lo), "__full": level(-hi, hi), "__event": event, CARRIED: F.lit(False)})
-
-    w = slice_window(tl)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = {"__emptiest": F.min("__empty").over(upto), "__fullest": F.min("__full").over(upto)}
-
-    def verdict(event: Column, emptiest: Column, fullest: Column, empty: Column, full: Column) -> Column:
-        """Wrapped in a struct, so that "no weakest cell" is a value and not a gap."""
-        cell = F.when(event == "empty", F.when(empty["cell"] == fullest["cell"], empty["cell"])).otherwise(
-            F.when(full["cell"] == emptiest["cell"], full["cell"])
-        )
-        return F.when(event.isNotNull(), F.struct(cell.alias("cell")))
-
-    seen = F.struct("__event", "__emptiest", "__fullest", "__empty", "__full")
-    heads = rows.withColumns(running).groupBy(*tl.keys, SLICE).agg(
-        F.min("__empty").alias("__empty"),
-        F.min("__full").alias("__full"),
-        F.max_by(seen, F.when(F.col("__event").isNotNull(), tl.order_key())).alias("__seen"),
-    )
-    by_slice = Window.partitionBy(*tl.keys).orderBy(SLICE)
-    past = by_slice.rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.withColumns({"__past_empty": F.min("__empty").over(past), "__past_full": F.min("__full").over(past)})
-    s = F.col("__seen")
-    known = verdict(
-        s["__event"], F.least("__past_empty", s["__emptiest"]), F.least("__past_full", s["__fullest"]), s["__empty"], s["__full"]
+    rows = in_runs(df, tl).withColumns({"__lo": F.when(ok, lo), "__hi": F.when(ok, hi)})
+    rows = scan(rows, tl, low_before={"__least": F.col("__lo")}, high_before={"__most": F.col("__hi")})
+    at = lambda v: (F.array_position(c, F.col(v)) - 1).cast("int")
+    rows = scan(
+        rows, tl,
+        last={
+            "__emptiest": F.when(F.col("__lo") < F.coalesce("__least", F.lit(CELL_VALID[1] + 1)), at("__lo")),
+            "__fullest": F.when(F.col("__hi") > F.coalesce("__most", F.lit(CELL_VALID[0] - 1)), at("__hi")),
+        },
     )
-    heads = heads.withColumn("__verdict", known).select(
-        *tl.keys, SLICE, F.col("__past_empty").alias("__empty"), F.col("__past_full").alias("__full"),
-        F.last("__verdict", ignorenulls=True).over(past).alias("__carry"), F.lit(True).alias(CARRIED),
-    ).filter("__empty IS NOT NULL OR __carry IS NOT NULL")
-
-    rows = rows.unionByName(heads, allowMissingColumns=True).withColumns(running)
-    own = verdict(F.col("__event"), F.col("__emptiest"), F.col("__fullest"), F.col("__empty"), F.col("__full"))
-    rows = rows.withColumn("__verdict", F.coalesce("__carry", own))
-    rows = rows.withColumn("__weakest", F.last("__verdict", ignorenulls=True).over(upto)).filter(~F.col(CARRIED))
-    return rows.withColumn("weakest_cell", F.col("__weakest.cell")).select(*df.columns, "weakest_cell")
+    empty, full = F.when(at("__lo") == F.col("__fullest"), at("__lo")), F.when(at("__hi") == F.col("__emptiest"), at("__hi"))
+    verdict = F.when(F.col("__lo") < CELL_ALMOST_EMPTY, empty).when(F.col("__hi") > CELL_ALMOST_FULL, full)
+    near = (F.col("__lo") < CELL_ALMOST_EMPTY) | (F.col("__hi") > CELL_ALMOST_FULL)
+    rows = scan(rows, tl, last={"__weakest": F.when(near, F.coalesce(verdict, F.lit(NO_CELL)))})
+    out = rows.withColumn("weakest_cell", F.nullif("__weakest", F.lit(NO_CELL)))
+    return released(out.drop("__lo", "__hi", "__least", "__most", "__emptiest", "__fullest", "__weakest"), df)
 
 
 def segments(df: DataFrame, threshold_s: float, out: str = "segment", tl: Timeline = DEVICE_TIME) -> DataFrame:
     """Number of the uninterrupted segment, from zero."""
-    df = scan(df, tl, lag={"__prev": micros(tl.time)}, reach_s=threshold_s)
+    given, df = df, scan(in_runs(df, tl), tl, lag={"__prev": micros(tl.time)})
     joined = micros(tl.time) - F.col("__prev") <= int(threshold_s * 1e6)
     df = df.withColumn("__new", F.when(joined, F.lit(0)).otherwise(F.lit(1)).cast("long")).drop("__prev")
-    return scan(df, tl, total={"__n": F.col("__new")}).withColumn(out, F.col("__n") - 1).drop("__new", "__n")
+    return released(scan(df, tl, total={"__n": F.col("__new")}).withColumn(out, F.col("__n") - 1).drop("__new", "__n"), given)
 
 
 def outages(df: DataFrame, threshold_s: float, tl: Timeline = DEVICE_TIME) -> DataFrame:

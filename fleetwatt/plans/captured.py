@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from fleetwatt.functions import frames as B
 from fleetwatt.operators import algorithms
 from fleetwatt.operators import frames as R
+from fleetwatt.operators import prefix
 from fleetwatt.operators.fold import Fold
 from fleetwatt.plans.registry import query, r6
 from fleetwatt.plans.telemetry import TEL, samples
@@ -211,6 +212,19 @@ def decode_jk(spark, sf_dir):
     return out[0].unionByName(out[1])
 
 
+@query(
+    "decode_jk_settings",
+    f"""WITH {TEL} SELECT event_id, (200000 + k) / 1000.0::DOUBLE AS capacity, event_id % 2 = 1 AS switch_charge, event_id % 3 = 0 AS switch_discharge, event_id % 5 = 0 AS switch_balance, event_id % 7 = 0 AS switch_float_charge FROM tel""",
+)
+def decode_jk_settings(spark, sf_dir):
+    """The configured capacity and all four switches of a settings frame, the last one a bit of a byte that holds others."""
+    on = lambda c: F.when(c, 1).otherwise(0)
+    parts = {0: literal("55AAEB9001"), 118: field(E() % 2, 1), 122: field(on(E() % 3 == 0), 1), 126: field(on(E() % 5 == 0), 1), 130: field(200000 + K(), 4, "little"), 283: field(on(E() % 7 == 0) * 2 + E() % 2 + 4, 1)}
+    df = samples(spark, sf_dir).select("event_id", F.unhex(packed(300, parts)).alias("frame"))
+    got = B.decode(F.col("frame"), B.LAYOUTS["jk_settings"])
+    return df.select("event_id", *[got[c].alias(c) for c in ("capacity", "switch_charge", "switch_discharge", "switch_balance", "switch_float_charge")])
+
+
 @query(
     "decode_litime",
     f"""WITH {TEL} SELECT event_id, round((48000 + 50 * k) / 1000.0::DOUBLE, 6) AS voltage, round(-floor((50 - value) * 100) / 1000.0::DOUBLE, 6) + 0.0 AS current, k::DOUBLE AS charge, 105.0::DOUBLE AS capacity, k AS soc, k - 20 AS temperature,
@@ -361,16 +375,22 @@ SELECT event_id, device, CASE WHEN pe % 10 = 3 OR pe IS NULL THEN 0 ELSE 1 END A
 )
 def reassemble(spark, sf_dir):
     """Every packet holds the tail of the previous frame, sometimes junk, and the head of the next frame."""
-    from fleetwatt.operators.timeline import scan
+    return told(R.reassemble(packets(spark, sf_dir), "jbd"))
 
+
+def packets(spark, sf_dir):
+    """(device, ts, seq, chunk): frames cut anew, as they come over the air."""
     good = F.col("good")
     text = F.when(E() % 10 == 3, F.concat(F.substring(good, 1, 64), off_by_one(F.substring(good, 65, 2)), F.lit("77"))).otherwise(good)
     base = samples(spark, sf_dir).withColumn("good", jbd_info_frame())
-    df = scan(base.withColumn("f", text).select("event_id", "device", "ts", "f"), lag={"p": F.col("f")})
+    df = prefix.scan(base.withColumn("f", text).select("event_id", "device", "ts", "f"), lag={"p": F.col("f")})
     junk = F.when(E() % 6 == 0, F.lit("41540D0A")).otherwise(F.lit(""))
     chunk = F.concat(F.coalesce(F.substring(F.col("p"), 49, 20), F.lit("")), junk, F.substring(F.col("f"), 1, 48))
-    chunks = df.select("device", "ts", E().alias("seq"), F.unhex(chunk).alias("chunk"))
-    out = R.reassemble(chunks, "jbd")
+    return df.select("device", "ts", E().alias("seq"), F.unhex(chunk).alias("chunk"))
+
+
+def told(out):
+    """What the frames that a chunk completed say."""
     info = B.decode(F.get("frames", F.lit(0)), B.LAYOUTS["jbd_info"])
     return out.select(F.col("seq").alias("event_id"), "device", F.size("frames").alias("n_frames"), "junk_bytes", "corrupt", info["num_cycles"].alias("num_cycles"), info["soc"].alias("soc"))
 

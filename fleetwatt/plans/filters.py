@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fleetwatt.operators import folds as O
 from fleetwatt.operators import joins as J
 from fleetwatt.operators import windows as W
+from fleetwatt.operators.prefix import in_runs
 from fleetwatt.plans.energy import powered
 from fleetwatt.plans.joined import ambient, pack_samples
 from fleetwatt.plans.registry import query, r6
@@ -147,7 +148,7 @@ SELECT event_id, device, due OR coalesce(t_us - tj < 4000000, false) OR abs(p) >
 )
 def publish_decision(spark, sf_dir):
     df = powered(spark, sf_dir).select("event_id", "device", "ts", "power")
-    return O.publish_decision(W.power_jump(df), 1800.0, over_power=900.0).select("event_id", "device", "publish")
+    return O.publish_decision(W.power_jump(in_runs(df)), 1800.0, over_power=900.0).select("event_id", "device", "publish")
 
 
 @query(

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from fleetwatt.operators import folds as O
 from fleetwatt.operators import meters as M
 from fleetwatt.operators.timeline import DEVICE_TIME, micros
+from fleetwatt.plans.captured import packets, told
 from fleetwatt.plans.energy import INC
 from fleetwatt.plans.filters import LHQ_Q, LHQ_SPAN
+from fleetwatt.plans.joined import ambient, pack_samples
 from fleetwatt.plans.registry import ORACLES, query, r6
-from fleetwatt.plans.telemetry import TEL, sample_stream, samples
+from fleetwatt.plans.telemetry import OPTIONS, TEL, sample_stream, samples
 from fleetwatt.streaming import folds as S
-from fleetwatt.streaming.run import meter_snapshots, run_to_table, stream_dir
+from fleetwatt.streaming.run import meter_snapshots, run_to_table, split_late, stream_dir
 
 #: what the watermark has passed when all files are read with a delay of one hour
 WM = "wm AS (SELECT (max(t_us) // 1000 - 3600000) * 1000 AS w FROM tel)"
@@ -196,3 +198,54 @@ def stream_meter_snapshots(spark, sf_dir):
     stored = spark.read.parquet(f"{folder}/data")
     last = stored.groupBy("device", "period").agg(F.max_by(F.struct("meter_total_energy", "meter_total_cycles"), "batch").alias("m"))
     return last.select("device", "period", *[(F.col(f"m.{c}") + F.lit(0.0)).alias(c) for c in ("meter_total_energy", "meter_total_cycles")])
+
+
+@query("stream_soc_controller", released("soc_controller"))
+def stream_soc_controller(spark, sf_dir):
+    """Commands live, by the algorithm text of each device; full charges are due every 120 hours."""
+    text = [(d["alias"].strip(), f"{d['algorithm'].split(';')[0]} 10% 20% 120") for d in OPTIONS["devices"] if "algorithm" in d]
+    devices = spark.createDataFrame(text, "device string, algorithm string")
+    df = _input(spark, sf_dir).withColumn("soc", F.when(F.col("k") == 99, 100).otherwise(F.col("k"))).withColumn("switch_charge", F.col("switches")["charge"])
+    out = run_to_table(S.stream_soc_controller(df, devices, "1 hour"))
+    return out.select("event_id", "device", F.lit("charge").alias("switch"), "value", "reason")
+
+
+@query("stream_pack_temp", released("pack_temp"))
+def stream_pack_temp(spark, sf_dir):
+    """The thermal model live: ambient readings come on the stream too."""
+    df = _input(spark, sf_dir)
+    packs = pack_samples(df).withColumn("mos_temperature", F.when(F.col("event_id") % 17 != 0, F.col("mos_temperature")))
+    out = run_to_table(S.stream_pack_temperature(packs, ambient(df), [f"bms{i}" for i in range(4)], delay="1 hour"))
+    return out.select("event_id", "device", r6("pack_temperature").alias("pack_temperature"))
+
+
+@query("stream_reassemble", released("reassemble"))
+def stream_reassemble(spark, sf_dir):
+    """Packets as a stream of files; frames come out as they are completed."""
+    folder = f"{stream_dir(spark)}/packets"
+    packets(spark, sf_dir).write.parquet(folder)
+    chunks = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+    return told(run_to_table(S.stream_reassemble(chunks, "jbd", "1 hour")))
+
+
+@query(
+    "stream_late_rows",
+    f"""WITH RECURSIVE {TEL}, c AS (SELECT device, max(CASE WHEN event_id % 37 <> 0 THEN t_us END) - 3600000000 AS passed, max(t_us) - 3600000000 AS w FROM tel GROUP BY device),
+m AS (SELECT event_id, tel.device, t_us, w, event_id % 37 = 0 AND t_us <= passed AS late FROM tel JOIN c ON c.device = tel.device),
+s AS (SELECT *, row_number() OVER (PARTITION BY device ORDER BY t_us, event_id) AS rn FROM m WHERE NOT late AND t_us <= w),
+f AS (SELECT event_id, device, rn, t_us AS l, true AS kept FROM s WHERE rn = 1
+  UNION ALL SELECT s.event_id, s.device, s.rn, CASE WHEN s.t_us - f.l >= 2700000000 THEN s.t_us ELSE f.l END, s.t_us - f.l >= 2700000000 FROM f JOIN s ON s.device = f.device AND s.rn = f.rn + 1)
+SELECT event_id, device, false AS late, kept FROM f UNION ALL SELECT event_id, device, true, NULL FROM m WHERE late""",
+)
+def stream_late_rows(spark, sf_dir):
+    """One row in 37 comes after all others, up to weeks behind: too late for the fold, and in a table of its own."""
+    folder = stream_dir(spark)
+    rows = samples(spark, sf_dir).select("event_id", "device", "ts")
+    rows.filter("event_id % 37 <> 0").write.parquet(f"{folder}/feed/first")
+    n = len(spark.read.parquet(f"{folder}/feed/first").inputFiles())
+    rows.filter("event_id % 37 = 0").coalesce(n).write.parquet(f"{folder}/feed/second")
+    feed = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", n).parquet(f"{folder}/feed")
+    args = {"t_us": micros("ts"), "seed_us": F.lit(None).cast("long")}
+    fresh, late = split_late(S.stream_fold(feed, O.Throttle(2_700_000_000), args, keep_late_s=3600.0), f"{folder}/data", f"{folder}/checkpoint")
+    side = lambda df, is_late: df.select("event_id", "device", F.lit(is_late).alias("late"), "kept")
+    return side(fresh, False).unionByName(side(late, True))

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from fleetwatt.functions.scalar import cell_stats, hash_id, round_half_even, round_sig, topic_prefix
 from fleetwatt.operators.folds import throttle
-from fleetwatt.operators.timeline import DEVICE_TIME, Timeline, micros, scan
+from fleetwatt.operators.prefix import in_runs, released, scan
+from fleetwatt.operators.timeline import DEVICE_TIME, Timeline, micros
 from fleetwatt.operators.windows import changed_only
 from fleetwatt.schema import BOOL_FIELDS, ENTITIES, FLOAT_FIELDS, INT_SCALE, LONG_FIELDS, MAX_CELLS, METER_ENTITIES
 
@@ -50,7 +51,7 @@ def cell_points(
     size = F.size(cells)
     now = [F.get(cells, F.lit(i)) for i in range(n_cells)]
     tl = tl.of(df)
-    df = scan(df, tl, lag={"__size": size})
+    given, df = df, scan(in_runs(df, tl), tl, lag={"__size": size})
     changed = F.when(F.col("__size").isNotNull() & (F.col("__size") != size), tl.order_key())
     seen = {f"__c{i}": F.when(v.isNotNull(), F.struct(tl.order_key().alias("at"), v.alias("v"))) for i, v in enumerate(now)}
     df = scan(df, tl, last={"__since": changed}, last_before=seen)
@@ -70,13 +71,13 @@ def cell_points(
         out["voltage_cell_min"] = as_int(F.array_min(known))
         out["voltage_cell_mean"] = F.when(n > 0, total / n)
         out["voltage_cell_median"] = F.when(n % 2 == 1, F.get(srt, mid).cast("double")).otherwise((F.get(srt, mid - 1) + F.get(srt, mid)) / 2.0)
-    return df.withColumns(out).drop(*seen, "__size", "__since")
+    return released(df.withColumns(out).drop(*seen, "__size", "__since"), given)
 
 
 def changed_cells(df: DataFrame, keys: Sequence[str] = ("device", "ts"), refresh: Column | None = None, tl: Timeline = DEVICE_TIME) -> DataFrame:
     """(keys, cell_index, voltage): one row per changed cell, however many cells the pack has."""
     tl, size = tl.of(df), F.size("cell_mv")
-    df = scan(df, tl, lag={"__size": size})
+    df = scan(in_runs(df, tl), tl, lag={"__size": size})
     df = scan(df, tl, last={"__since": F.when(F.col("__size").isNotNull() & (F.col("__size") != size), tl.order_key())})
     whole = F.coalesce(refresh, F.lit(False)) if refresh is not None else F.lit(False)
     cells = df.select(*dict.fromkeys([*keys, *tl.keys, *tl.order]), whole.alias("__whole"), "__since", F.posexplode("cell_mv").alias("cell_index", "voltage"))
@@ -166,7 +167,7 @@ def meter_points(readings: DataFrame, meters: Sequence[str], period_s: int = MET
     d = METER_DIGITS[target]
     us = period_s * 1_000_000
     last = (
-        readings.groupBy(*tl.keys, F.expr(f"(unix_micros({tl.time}) div {us}) * {period_s}").alias("period"))
+        readings.groupBy(*tl.keys, F.expr(f"(unix_micros({tl.time}) - pmod(unix_micros({tl.time}), {us})) div 1000000").alias("period"))
         .agg(F.max_by(F.struct(*meters), tl.order_key()).alias("m"))
     )
     return last.select(*tl.keys, "period", *[round_half_even(F.col(f"m.{m}"), d).alias(f"meter_{m}") for m in meters])

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetwatt.functions.scalar import nan_to_null, normalize_vendor
-from fleetwatt.operators.timeline import DEVICE_TIME, Timeline, micros, scan
+from fleetwatt.operators.prefix import scan
+from fleetwatt.operators.timeline import DEVICE_TIME, Timeline, micros
 from fleetwatt.schema import CELLS, DEVICE_OPTIONS, SAMPLES
 
 

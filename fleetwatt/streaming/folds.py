@@ -2,8 +2,12 @@
 
 A micro-batch brings rows of a key in any order. They wait in keyed state until the watermark has
 passed them, are then stepped in order, and only then emitted, so the stream gives the rows the batch
-runner gives. Rows that come later than the watermark never reach the fold: `late_policy` puts them
-aside before.
+runner gives. Waiting rows lie in a map by time bucket, and a batch reads only the buckets that are due or get new rows, so
+what it touches doesn't grow with the delay.
+
+There are two clocks. With Spark's watermark, rows behind it are dropped before they reach the state; `late_policy` can put rows
+aside by their age before. With `keep_late`, each key has a clock of its own in its state, the greatest time seen less the delay, and
+rows behind that come out marked as late, so that no row is lost: `run.split_late` writes them to a table of their own.
 """
 
 from __future__ import annotations
@@ -19,8 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from fleetwatt.functions.scalar import is_fresh
+from fleetwatt.functions.scalar import is_fresh, parse_algorithm
 from fleetwatt.operators.fold import Fold
+from fleetwatt.operators.folds import PackTemperature, SocController
+from fleetwatt.operators.frames import Reassemble
+from fleetwatt.operators.joins import AMBIENT_MAX_AGE_S
 from fleetwatt.operators.meters import CHARGE_STEP_MAX, CYCLE_STEP_MAX, DIFF_GAP_S, METERS
 from fleetwatt.operators.timeline import DEVICE_TIME, Timeline, micros
 
@@ -86,16 +93,23 @@ def _bytes_back(d: dict):
     return base64.b64decode(d["__bytes"]) if set(d) == {"__bytes"} else d
 
 
+#: Width of a bucket of waiting rows.
+BUCKET_US = 60_000_000
+
+
 class FoldProcessor(StatefulProcessor):
-    """Buffers rows of one key until the watermark, then steps them in order."""
+    """Buffers rows of one key until its clock has passed them, then steps them in order."""
 
-    def __init__(self, fold: Fold, keys: Sequence[str], names: Sequence[str], outputs: Sequence[str]):
-        self.fold, self.keys, self.names, self.outputs = fold, list(keys), list(names), list(outputs)
+    def __init__(self, fold: Fold, keys: Sequence[str], names: Sequence[str], outputs: Sequence[str], own_delay_us: int | None = None):
+        self.fold, self.keys, self.names, self.outputs, self.own_delay = fold, list(keys), list(names), list(outputs), own_delay_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("fold", "state string")
-        self.pending = handle.getListState("pending", "row string")
+        self.waiting = handle.getMapState("waiting", "bucket bigint", "rows string")
+        #: the buckets that hold rows, and the least time in each
+        self.index = handle.getValueState("index", "buckets string")
+        self.clock = handle.getValueState("clock", "t bigint")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         self.state.update((initialState["state"].iloc[0],))
@@ -105,30 +119,63 @@ class FoldProcessor(StatefulProcessor):
         for pdf in rows:
             cols = [[_plain(v) for v in pdf[c].tolist()] for c in self.names]
             fresh += [list(r) for r in zip(*cols)]
-        yield from self._advance(key, fresh, timerValues)
+        if self.own_delay is None:
+            yield from self._advance(key, fresh, timerValues.getCurrentWatermarkInMs() * 1000)
+        else:
+            passed = self.clock.get()[0] if self.clock.exists() else None
+            late = [r for r in fresh if passed is not None and r[0] <= passed]
+            fresh = [r for r in fresh if passed is None or r[0] > passed]
+            now = max([r[0] - self.own_delay for r in fresh] + ([] if passed is None else [passed]))
+            self.clock.update((now,))
+            if late:
+                yield self._frame([(*key, r[0], r[1], *[None] * len(self.outputs), True) for r in late])
+            yield from self._advance(key, fresh, now)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key, [], timerValues)
-
-    def _advance(self, key, fresh: list, timer_values) -> Iterator[pd.DataFrame]:
-        limit = timer_values.getCurrentWatermarkInMs() * 1000
-        waiting = [json.loads(r[0], object_hook=_bytes_back) for r in self.pending.get()] + fresh
-        due = sorted((r for r in waiting if r[0] <= limit), key=lambda r: r[:2])
-        rest = [r for r in waiting if r[0] > limit]
+        yield from self._advance(key, [], timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[*self.keys, "t_us", "seq", *self.outputs, *([] if self.own_delay is None else ["late"])])
+
+    def _read(self, bucket: int) -> list:
+        return json.loads(self.waiting.getValue((bucket,))[0], object_hook=_bytes_back)
+
+    def _due(self, fresh: list, limit: int, index: dict[int, int]) -> list:
+        """Rows up to `limit` in order; the others are put to their buckets."""
+        due = [r for r in fresh if r[0] <= limit]
+        put: dict[int, list] = {}
+        for r in fresh:
+            if r[0] > limit:
+                put.setdefault(r[0] // BUCKET_US, []).append(r)
+        for bucket in {*put, *[b for b, least in index.items() if least <= limit]}:
+            rows = (self._read(bucket) if bucket in index else []) + put.get(bucket, [])
+            due += [r for r in rows if r[0] <= limit]
+            rest = [r for r in rows if r[0] > limit]
+            if rest:
+                index[bucket] = min(r[0] for r in rest)
+                self.waiting.updateValue((bucket,), (json.dumps(rest, default=_bytes_out),))
+            elif bucket in index:
+                del index[bucket]
+                self.waiting.removeKey((bucket,))
+        return sorted(due, key=lambda r: r[:2])
+
+    def _advance(self, key, fresh: list, limit: int) -> Iterator[pd.DataFrame]:
+        before = self.index.get()[0] if self.index.exists() else "[]"
+        index = dict(json.loads(before))
+        due = self._due(fresh, limit, index)
+        after = json.dumps(sorted(index.items()))
+        if after != before:
+            self.index.update((after,))
+        if index and self.own_delay is None:
+            self.handle.registerTimer(-(-min(index.values()) // 1000))
         if due:
             state = json.loads(self.state.get()[0], object_hook=_bytes_back) if self.state.exists() else self.fold.init()
             out = []
             for r in due:
                 state, got = self.fold.step(state, tuple(r[2:]))
-                out.append((*key, r[0], r[1], *got))
+                out.append((*key, r[0], r[1], *got, *([] if self.own_delay is None else [False])))
             self.state.update((json.dumps(state, default=_bytes_out),))
-        if rest:
-            self.pending.put([(json.dumps(r, default=_bytes_out),) for r in rest])
-            self.handle.registerTimer(-(-min(r[0] for r in rest) // 1000))
-        else:
-            self.pending.clear()
-        if due:
-            yield pd.DataFrame(out, columns=[*self.keys, "t_us", "seq", *self.outputs])
+            yield self._frame(out)
 
     def close(self) -> None:
         pass
@@ -142,23 +189,87 @@ def stream_fold(
     seq: str = "event_id",
     tl: Timeline = DEVICE_TIME,
     initial: DataFrame | None = None,
+    keep_late_s: float | None = None,
 ) -> DataFrame:
-    """(keys, ts, seq, outputs) in event-time order; the session's state store must be RocksDB (`ROCKSDB`). `initial` is (keys, state) with stored fold states."""
+    """(keys, ts, seq, outputs) in event-time order; the session's state store must be RocksDB (`ROCKSDB`). `initial` is (keys, state) with stored fold states.
+
+    With `keep_late_s` each key's own clock counts, that many seconds behind the greatest time seen, instead of a watermark of
+    `delay`; a column `late` marks rows that came behind it, which the fold leaves out.
+    """
     named = [f"arg_{n}" for n in fold.inputs]
-    rows = stream.withWatermark(tl.time, delay).select(
+    own = None if keep_late_s is None else int(keep_late_s * 1e6)
+    rows = (stream.withWatermark(tl.time, delay) if own is None else stream).select(
         *tl.keys, tl.time, micros(tl.time).alias("t_us"), F.col(seq).cast("long").alias("seq"),
         *[args[n].alias(a) for n, a in zip(fold.inputs, named)],
     )
     made = T.StructType.fromDDL(fold.output)
+    late = [] if own is None else [T.StructField("late", T.BooleanType())]
     schema = T.StructType(
-        [*[stream.schema[k] for k in tl.keys], T.StructField("t_us", T.LongType()), T.StructField("seq", T.LongType()), *made.fields]
+        [*[stream.schema[k] for k in tl.keys], T.StructField("t_us", T.LongType()), T.StructField("seq", T.LongType()), *made.fields, *late]
     )
-    processor = FoldProcessor(fold, tl.keys, ["t_us", "seq", *named], made.names)
+    processor = FoldProcessor(fold, tl.keys, ["t_us", "seq", *named], made.names, own)
     out = rows.groupBy(*tl.keys).transformWithStateInPandas(
-        processor, outputStructType=schema, outputMode="Append", timeMode="EventTime",
+        processor, outputStructType=schema, outputMode="Append", timeMode="EventTime" if own is None else "None",
         initialState=None if initial is None else initial.groupBy(*tl.keys),
     )
-    return out.withColumn(tl.time, F.timestamp_micros("t_us")).select(*tl.keys, tl.time, F.col("seq").alias(seq), *made.names)
+    return out.withColumn(tl.time, F.timestamp_micros("t_us")).select(*tl.keys, tl.time, F.col("seq").alias(seq), *made.names, *[f.name for f in late])
+
+
+def stream_soc_controller(stream: DataFrame, devices: DataFrame, delay: str = "1 minute", tl: Timeline = DEVICE_TIME) -> DataFrame:
+    """Charge-switch commands live, by the thresholds in each device's own `algorithm` text (device, algorithm); devices without one get none."""
+    rule = parse_algorithm("algorithm")
+    known = devices.select(*tl.keys, rule.alias("__rule")).filter("__rule.name = 'soc' AND __rule.charge_stop IS NOT NULL")
+    rows = stream.join(known, list(tl.keys))
+    args = {
+        "t_us": micros(tl.time), "soc": F.col("soc").cast("double"), "sw": F.col("switch_charge"),
+        "stop": F.col("__rule.charge_stop"), "start": F.col("__rule.charge_start"), "calibration_us": (F.col("__rule.calibration_s") * 1e6).cast("long"),
+    }
+    return stream_fold(rows, SocController(), args, delay, tl=tl).filter("value IS NOT NULL")
+
+
+class LiveThermal(Fold):
+    """The thermal model on a feed of ambient readings and samples: a reading is kept, a sample steps the model with what is young enough."""
+
+    inputs = ("t_us", "channel", "reading", "mos")
+    output = "pack_temperature double"
+
+    def __init__(self, channels: Sequence[str], max_age_s: float):
+        self.model, self.channels, self.max_age = PackTemperature(), tuple(channels), max_age_s * 1e6
+
+    def init(self):
+        return [[None] * len(self.channels), self.model.init()]
+
+    def step(self, state, row):
+        t, channel, reading, mos = row
+        known, temperature = state
+        if channel is not None:
+            if channel in self.channels and reading is not None:
+                known = list(known)
+                known[self.channels.index(channel)] = [reading, t]
+            return [known, temperature], (None,)
+        young = [k[0] if k is not None and t - k[1] <= self.max_age else None for k in known]
+        temperature, out = self.model.step(temperature, (t, mos, *young))
+        return [known, temperature], out
+
+
+def stream_pack_temperature(
+    packs: DataFrame, ambient: DataFrame, devices: Sequence[str], max_age_s: float = AMBIENT_MAX_AGE_S, delay: str = "1 minute", seq: str = "event_id", tl: Timeline = DEVICE_TIME
+) -> DataFrame:
+    """Pack temperatures live from streams of samples and of ambient(channel, ts, value), which every one of `devices` gets.
+
+    Rows of one instant go by `seq`, ambient readings first.
+    """
+    reading = ambient.select(F.explode(F.array(*[F.lit(d) for d in devices])).alias(tl.keys[0]), tl.time, (F.col(seq) * 2).alias(seq), "channel", F.col("value").alias("reading"), F.lit(None).cast("double").alias("mos"))
+    sample = packs.select(*tl.keys, tl.time, (F.col(seq) * 2 + 1).alias(seq), F.lit(None).cast("string").alias("channel"), F.lit(None).cast("double").alias("reading"), F.col("mos_temperature").cast("double").alias("mos"))
+    args = {"t_us": micros(tl.time), **{c: F.col(c) for c in ("channel", "reading", "mos")}}
+    out = stream_fold(sample.unionByName(reading), LiveThermal(("room", "outdoor"), max_age_s), args, delay, seq, tl)
+    return out.filter(F.col(seq) % 2 == 1).withColumn(seq, F.floor(F.col(seq) / 2).cast("long"))
+
+
+def stream_reassemble(chunks: DataFrame, protocol: str, delay: str = "1 minute", seq: str = "seq") -> DataFrame:
+    """chunks(device, ts, seq, chunk) -> what `operators.frames.reassemble` gives, live."""
+    tl = Timeline(("device",), "ts", ("ts", seq))
+    return stream_fold(chunks, Reassemble(protocol), {"chunk": F.col("chunk")}, delay, seq, tl)
 
 
 def stream_meters(stream: DataFrame, gap_s: float, invert: bool = False, delay: str = "1 minute", tl: Timeline = DEVICE_TIME) -> DataFrame:

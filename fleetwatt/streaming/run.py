@@ -6,6 +6,8 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetwatt.operators.meters import METERS
 from fleetwatt.session import shared_folder
@@ -57,6 +59,23 @@ def run_to_table(out: DataFrame) -> DataFrame:
     return catch_up(out, f"{folder}/data", f"{folder}/checkpoint")
 
 
+def split_late(out: DataFrame, path: str, checkpoint: str) -> tuple[DataFrame, DataFrame]:
+    """Process everything there is and write what `late` marks to a table of its own: (fresh, late), with the batch that wrote a row.
+
+    A batch that is run again writes the same folders again.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        for name, side in (("fresh", ~F.col("late")), ("late", F.col("late"))):
+            batch.filter(side).drop("late").write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+
+    with state_partitions(out.sparkSession):
+        q = out.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+    schema = T.StructType([*out.drop("late").schema.fields, T.StructField("batch", T.LongType())])
+    return tuple(out.sparkSession.read.schema(schema).parquet(f"{path}/{name}") for name in ("fresh", "late"))
+
+
 def batch_append(out: DataFrame, path: str, checkpoint: str, interval: str | None = None, rows_per_file: int = ROWS_PER_FILE):
     """Append points. What a batch holds is bounded by the source's rate (`maxFilesPerTrigger` and the like) and the
     trigger, not by small files. The checkpoint replays a failed batch, which replaces a retry buffer."""
