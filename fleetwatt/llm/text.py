@@ -106,11 +106,31 @@ def span_hash(run: np.ndarray, b: np.ndarray, e: np.ndarray) -> np.ndarray:
     return mix((run[e] - run[b]) * powers(len(run))[1][b] + (e - b).astype(np.uint64))
 
 
+#: Bytes hashed as one stretch of a word. Sums modulo a power of two can't tell some long strings apart whatever the base, but
+#: for those this is too short.
+STRETCH = 64
+
+
+def word_hash(run: np.ndarray, b: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words: of one stretch, or mixed from the hashes of all stretches of a longer word and their places."""
+    out = span_hash(run, b, np.minimum(e, b + STRETCH))
+    long = np.flatnonzero(e - b > STRETCH)
+    if len(long):
+        n = -(-(e[long] - b[long]) // STRETCH)
+        first = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(first, n)
+        begin = np.repeat(b[long], n) + place * STRETCH
+        part = span_hash(run, begin, np.minimum(np.repeat(e[long], n), begin + STRETCH))
+        turned = mix(part ^ mix((place.astype(np.uint64) + _U(1)) * _U(0xD1B54A32D192ED03)))
+        out[long] = mix(np.add.reduceat(turned, first) + (e[long] - b[long]).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+    return out
+
+
 def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text) of every word in lower case."""
     low = LOWER[data]
     b, e, doc = words(low, at)
-    return span_hash(sums(low), b, e), doc
+    return word_hash(sums(low), b, e), doc
 
 
 def shingles(h: np.ndarray, doc: np.ndarray, n_docs: int, k: int) -> tuple[np.ndarray, np.ndarray]:
