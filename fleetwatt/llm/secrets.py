@@ -2,14 +2,16 @@
 
 Tokens are runs of bytes between white space, quotes, brackets and marks. Each gets the tag outside, begin or inside
 from hashed features: its word, shape and head, the words, shapes and gaps around it, and of the file how many of its bytes are
-digits. The field's weights are fitted to tags that the base patterns give (documents without a match are outside
-throughout) on a bounded sample: up to POSITIVE stretches around matches and NEGATIVE stretches of other text, each the
-ones of least hash, REACH tokens to either side. Decoding is Viterbi's over every token of every whole text. Where the outside
+digits. The field's weights are fitted to two things. One is tags that the base patterns give (documents without a match are outside
+throughout) on a bounded sample: up to POSITIVE stretches around matches and NEGATIVE stretches of other texts, each the
+ones of least hash over the whole table, REACH tokens to either side. The other is a small labelled table (`secret_table`) of
+secrets that no base pattern matches, from which the field learns what to add. Decoding is Viterbi's over every token of every whole text. Where the outside
 tag leads by more than any transitions can give, it is certain, so the chain falls apart there without loss; only the
 stretches between are searched.
 
 Added spans that touch a base span are dropped, so base spans always stay. Null or empty text: no spans. Without any
-match in the table there is nothing to learn, and no span is added. Repeated rows get equal results.
+match in the table the field learns from the labelled table and the other texts. Repeated rows get equal results; how rows are dealt over
+partitions plays no part.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetwatt.llm import secret_table
 from fleetwatt.llm.text import LOWER, mix, pieces, span_hash, sums, words
 from fleetwatt.session import checkpointed
 
@@ -208,8 +211,28 @@ def fit(chains: list[tuple[np.ndarray, np.ndarray]], rounds: int = ROUNDS, rate:
     return Field((w * (1 - DROPPED)).astype(np.float32), t)
 
 
+def tagged(body: np.ndarray, parts: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Features and tags of a text whose secrets are `parts`, in code points, and the first token of each."""
+    b, e, _, slots = tokens(body, np.array([0, len(body)]))
+    tags, firsts = np.zeros(len(b), np.int8), []
+    if parts:
+        pb, pe = points(body, b), points(body, e)
+        for s, t in sorted(set(parts)):
+            inside = np.flatnonzero((pb < t) & (pe > s))
+            fresh = inside[tags[inside] == 0]
+            tags[fresh] = 2
+            if len(fresh):
+                tags[fresh[0]] = 1
+                firsts.append(int(inside[0]))
+    return slots, tags, firsts
+
+
 def sample(docs: DataFrame, text: str) -> DataFrame:
-    """(positive, h, n, slots, tags): stretches of tokens with the tags of the base patterns; a row a stretch."""
+    """(positive, h, n, slots, tags): stretches of tokens with the tags of the base patterns; a row a stretch.
+
+    Of texts without a match those of a hash below a bound are looked at, which are about four times NEGATIVE, or all.
+    """
+    limit = _U(min((1 << 64) - 1, (4 * NEGATIVE << 64) // max(1, docs.count())))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,25 +241,12 @@ def sample(docs: DataFrame, text: str) -> DataFrame:
             rows = []
             for i, j, data, at in pieces(texts):
                 h = span_hash(sums(data), at[:-1], at[1:])
-                # all texts with a match, and of the others those of the least hash in the piece
-                others = np.flatnonzero(~some[i:j] & (np.diff(at) > 0))
-                others = others[np.argsort(h[others])][:64]
-                for k in [*np.flatnonzero(some[i:j]), *others]:
-                    body, ends = data[at[k] : at[k + 1]], np.array([0, at[k + 1] - at[k]])
-                    b, e, doc, slots = tokens(body, ends)
-                    tags = np.zeros(len(b), np.int8)
-                    marks = []
-                    if some[i + k]:
-                        pb, pe = points(body, b), points(body, e)
-                        for s, t in sorted(set(secret_parts(texts[int(i + k)].as_py()))):
-                            inside = np.flatnonzero((pb < t) & (pe > s))
-                            fresh = inside[tags[inside] == 0]
-                            tags[fresh] = 2
-                            if len(fresh):
-                                tags[fresh[0]] = 1
-                                marks.append((int(inside[0]), True))
-                    if len(b):
-                        marks.append((int(h[k] % np.uint64(len(b))), False))
+                for k in np.flatnonzero((some[i:j] | (h <= limit)) & (np.diff(at) > 0)):
+                    found = secret_parts(texts[int(i + k)].as_py()) if some[i + k] else []
+                    slots, tags, firsts = tagged(data[at[k] : at[k + 1]], found)
+                    marks = [(m, True) for m in firsts]
+                    if len(tags) and h[k] <= limit:
+                        marks.append((int(h[k] % np.uint64(len(tags))), False))
                     for m, hit in marks:
                         part = slice(max(0, m - REACH), m + REACH)
                         rows.append((hit or bool(tags[part].any()), int((h[k] + np.uint64(m)).view(np.int64)), len(tags[part]), slots[part].tobytes(), tags[part].tobytes()))
@@ -245,8 +255,8 @@ def sample(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col(text)).mapInArrow(cut, "positive boolean, h bigint, n bigint, slots binary, tags binary")
 
 
-def learn(docs: DataFrame, text: str = "text") -> Field | None:
-    """The field fitted to the bounded sample; None if the table has no base match."""
+def learn(docs: DataFrame, text: str = "text") -> Field:
+    """The field fitted to the labelled table and the bounded sample."""
     rows = checkpointed(sample(docs, text).dropDuplicates(["positive", "h"]))
 
     def least(x: DataFrame, n: int) -> list:
@@ -255,14 +265,40 @@ def learn(docs: DataFrame, text: str = "text") -> Field | None:
         return [] if last is None else x.filter(F.col("h") <= last).orderBy("h").collect()
 
     got = least(rows.filter("positive"), POSITIVE) + least(rows.filter("not positive"), NEGATIVE)
-    if not any(r["positive"] for r in got):
-        return None
-    return fit([(np.frombuffer(r["slots"], np.int32).reshape(r["n"], -1), np.frombuffer(r["tags"], np.int8)) for r in got])
+    return fit(table_chains() + [(np.frombuffer(r["slots"], np.int32).reshape(r["n"], -1), np.frombuffer(r["tags"], np.int8)) for r in got])
+
+
+def table_chains(lines: list[str] = secret_table.LINES) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The labelled table as features and tags."""
+    rows = secret_table.labelled(lines=lines)
+    chains = (tagged(np.frombuffer(t.encode(), np.uint8), parts)[:2] for t, parts in rows)
+    return [c for c in chains if len(c[1])]
 
 
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
+def found_in(crf: Field | None, texts: pa.Array) -> list[list[tuple[str, int, int]]]:
+    """Spans (kind, start, end) of each text, in code points, by start and then kind as listed."""
+    some = pc.fill_null(pc.match_substring_regex(texts, ANY), False).to_numpy(zero_copy_only=False)
+    out = [base_spans(texts[i].as_py()) if some[i] else [] for i in range(len(texts))]
+    for i, j, data, at in pieces(texts) if crf else ():
+        b, e, doc, slots = tokens(data, at)
+        tags = crf.tags(slots, doc)
+        first = np.flatnonzero((tags == 1) | ((tags == 2) & np.concatenate([[True], (tags[:-1] == 0) | (doc[1:] != doc[:-1])])))
+        for m in first:
+            n = m + 1
+            while n < len(tags) and tags[n] == 2 and doc[n] == doc[m]:
+                n += 1
+            k = int(doc[m])
+            body = data[at[k] : at[k + 1]]
+            s, t = (int(np.count_nonzero((body[: p - at[k]] & 0xC0) != 0x80)) for p in (b[m], e[n - 1]))
+            base = out[i + k]
+            if all(t <= x or s >= y for name, x, y in base if name != "crf"):
+                base.append(("crf", s, t))
+    return [sorted(x, key=lambda v: (v[1], KINDS.index(v[0]))) for x in out]
+
+
 def secret_column(spark: SparkSession, field: Field | None, text: str | Column) -> Column:
     """array<struct<kind, start, end>> of a text column (code points), by start and then kind as listed."""
     shared = spark.sparkContext.broadcast(None if field is None else (field.weights, field.moves))
@@ -271,51 +307,55 @@ def secret_column(spark: SparkSession, field: Field | None, text: str | Column)
         crf = None if shared.value is None else Field(*shared.value)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for texts in it:
-            some = pc.fill_null(pc.match_substring_regex(texts, ANY), False).to_numpy(zero_copy_only=False)
-            out = [base_spans(texts[i].as_py()) if some[i] else [] for i in range(len(texts))]
-            for i, j, data, at in pieces(texts) if crf else ():
-                b, e, doc, slots = tokens(data, at)
-                tags = crf.tags(slots, doc)
-                first = np.flatnonzero((tags == 1) | ((tags == 2) & np.concatenate([[True], (tags[:-1] == 0) | (doc[1:] != doc[:-1])])))
-                for m in first:
-                    n = m + 1
-                    while n < len(tags) and tags[n] == 2 and doc[n] == doc[m]:
-                        n += 1
-                    k = int(doc[m])
-                    body = data[at[k] : at[k + 1]]
-                    s, t = (int(np.count_nonzero((body[: p - at[k]] & 0xC0) != 0x80)) for p in (b[m], e[n - 1]))
-                    base = out[i + k]
-                    if all(t <= x or s >= y for name, x, y in base if name != "crf"):
-                        base.append(("crf", s, t))
-            rows = [[{"kind": a, "start": s, "end": t} for a, s, t in sorted(x, key=lambda v: (v[1], KINDS.index(v[0])))] for x in out]
-            yield pa.array(rows, kind)
+            yield pa.array([[{"kind": a, "start": s, "end": t} for a, s, t in x] for x in found_in(crf, texts)], kind)
 
     scan.__annotations__ = {"it": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(scan, SPANS)(text)
 
 
+#: What stands in place of a secret.
+MARK = "[SECRET]"
+
+
+def redacted(body: str | None, spans: list[tuple[int, int]], mark: str = MARK) -> str | None:
+    """The text with every span, overlapping ones as one, put into a mark."""
+    if body is None or not spans:
+        return body
+    made, upto = [], 0
+    for s, t in sorted(spans):
+        if s >= upto:
+            made += [body[upto:s], mark]
+        upto = max(upto, t)
+    return "".join(made) + body[upto:]
+
+
+def clean_column(spark: SparkSession, field: Field | None, text: str | Column, mark: str = MARK) -> Column:
+    """struct<text, n_secrets>: a text column without its secrets, found and put into marks in one pass."""
+    shared = spark.sparkContext.broadcast(None if field is None else (field.weights, field.moves))
+
+    def clean(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        crf = None if shared.value is None else Field(*shared.value)
+        for texts in it:
+            found = found_in(crf, texts)
+            out = [redacted(texts[i].as_py(), [(s, t) for _, s, t in x], mark) if x else texts[i] for i, x in enumerate(found)]
+            yield pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array([len(x) for x in found], pa.int32())], names=["text", "n_secrets"])
+
+    clean.__annotations__ = {"it": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(clean, "struct<text:string,n_secrets:int>")(text)
+
+
 def joined(spans: Column, base_only: bool = False) -> Column:
     """kind:start:end of spans, comma-joined."""
     x = F.filter(spans, lambda s: s["kind"] != "crf") if base_only else spans
     return F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redact_column(text: str | Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span, overlapping ones as one, put into a mark."""
+def redact_column(text: str | Column, spans: Column, mark: str = MARK) -> Column:
+    """The text with every span of a column of spans put into a mark."""
 
     def redact(bodies: pa.Array, rows: pa.Array) -> pa.Array:
-        out = []
-        for body, found in zip(bodies.to_pylist(), rows.to_pylist(), strict=True):
-            if body is None or not found:
-                out.append(body)
-                continue
-            made, upto = [], 0
-            for s in sorted(found, key=lambda s: s["start"]):
-                if s["start"] >= upto:
-                    made += [body[upto : s["start"]], mark]
-                upto = max(upto, s["end"])
-            out.append("".join(made) + body[upto:])
-        return pa.array(out, pa.string())
+        pairs = zip(bodies.to_pylist(), rows.to_pylist(), strict=True)
+        return pa.array([redacted(body, [(s["start"], s["end"]) for s in found or []], mark) for body, found in pairs], pa.string())
 
     redact.__annotations__ = {"bodies": pa.Array, "rows": pa.Array, "return": pa.Array}
     return F.arrow_udf(redact, "string")(text, spans)
