@@ -41,8 +41,8 @@ KINDS = ("lag", "last", "last_before", "total", "total_before", "high", "low", "
 
 #: Rows of a task that bounds are sampled from; lanes in which samples are thinned, and rows left of a lane.
 TAKEN = 256
-LANES = 32
-THINNED = 4096
+LANES = 8
+THINNED = 8192
 
 
 def _taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
