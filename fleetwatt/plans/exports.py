@@ -212,3 +212,27 @@ def entity_catalog(spark, sf_dir):
         F.when(probe.isNotNull(), F.array(probe)).alias("temperatures"), F.lit(None).cast("double").alias("soh"),
     )
     return P.entity_catalog(df)
+
+
+_DISCOVERED = [("sensor", t, f.capitalize(), u, c, st, p, 20) for t, (f, u, c, st, p, _) in ENTITIES.items() if f in ("voltage", "current", "mos_temperature")]
+_DISCOVERED += [("sensor", f"meter/{t}", n, u, c, st, 2, 7200) for t, n, u, c, st in (
+    ("total_energy", "total energy netted", "kWh", "energy", None), ("total_energy_charge", "total energy input", "kWh", "energy", "total_increasing"), ("total_energy_discharge", "total energy output", "kWh", "energy", "total_increasing"),
+    ("total_charge", "total charge netted", "Ah", None, None), ("total_cycles", "total cycle count", "N", None, None))]
+_DISCOVERED += [("sensor", f"cell_voltages/{s}", f"Cell Volt {s}", "V", "voltage", None, 3, 20) for s in ("min", "max", "average", "median", "delta")]
+_DISCOVERED += [("sensor", f"cell_voltages/{s}_index", f"Cell Index {s}", None, None, None, None, 20) for s in ("min", "max")]
+_DISCOVERED += [(k, f"switch/{s}", s + more, None, c, None, None, 20) for s in ("charge", "discharge") for k, more, c in (("switch", "", "outlet"), ("binary_sensor", " switch", "power"))]
+
+
+@query(
+    "entity_discovery",
+    f"""WITH {TEL}, d AS (SELECT DISTINCT device FROM tel), cat(component, topic, name, unit, device_class, state_class, precision, expire_after) AS (VALUES {", ".join("(" + ", ".join(_q(v) for v in r) + ")" for r in _DISCOVERED)})
+SELECT device, cat.* FROM d, cat
+UNION ALL SELECT device, 'sensor', 'cell_voltages/' || i, 'Cell Volt ' || CASE WHEN device = 'bms0' THEN lpad(CAST(i AS VARCHAR), 2, '0') ELSE CAST(i AS VARCHAR) END, 'V', 'voltage', NULL, 3, 20 FROM d, range(1, 13) r(i) WHERE i <= CASE WHEN device = 'bms0' THEN 12 ELSE 4 END
+UNION ALL SELECT device, 'sensor', 'temperatures/' || i, 'Temperatures ' || i, '°C', 'temperature', NULL, 1, 20 FROM d, range(1, 4) r(i) WHERE i = 1 OR (i = 3 AND device <> 'bms1')""",
+)
+def entity_discovery(spark, sf_dir):
+    """bms0 has twelve cells; the second probe of all packs and the third of bms1 never have a value."""
+    cells = F.when(F.col("device") == "bms0", F.concat("cell_mv", "cell_mv", "cell_mv")).otherwise(F.col("cell_mv"))
+    third = F.when(F.col("device") != "bms1", F.col("mos_temperature"))
+    df = samples(spark, sf_dir).select("device", "voltage", "current", "mos_temperature", "switches", cells.alias("cell_mv"), F.array(F.col("mos_temperature"), F.lit(None).cast("double"), third).alias("temperatures"))
+    return P.entity_discovery(df, 20)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetwatt.operators import folds as O
 from fleetwatt.operators import meters as M
+from fleetwatt.operators.aggregate import METER_EXPIRY_S
 from fleetwatt.operators.timeline import DEVICE_TIME, micros
 from fleetwatt.plans.captured import packets, told
 from fleetwatt.plans.energy import INC
@@ -249,3 +250,18 @@ def stream_late_rows(spark, sf_dir):
     fresh, late = split_late(S.stream_fold(feed, O.Throttle(2_700_000_000), args, keep_late_s=3600.0), f"{folder}/data", f"{folder}/checkpoint")
     side = lambda df, is_late: df.select("event_id", "device", F.lit(is_late).alias("late"), "kept")
     return side(fresh, False).unionByName(side(late, True))
+
+
+@query(
+    "stream_entities",
+    f"""WITH {TEL}, {WM}, s AS (SELECT device, event_type AS entity, t_us, w, CASE WHEN event_type = 'purchase' THEN 7200000000 ELSE 3600000000 END AS e FROM tel, wm WHERE t_us <= w),
+n AS (SELECT *, lag(t_us) OVER o AS p, lead(t_us) OVER o AS q FROM s WINDOW o AS (PARTITION BY device, entity ORDER BY t_us))
+SELECT device, entity, t_us AS at_us, true AS available FROM n WHERE p IS NULL OR t_us - p > e
+UNION ALL SELECT device, entity, t_us + e, false FROM n WHERE q - t_us > e OR (q IS NULL AND w > t_us + e)""",
+)
+def stream_entities(spark, sf_dir):
+    """Entities that fall silent and come back; those of meters stay shown for two hours at least."""
+    df = _input(spark, sf_dir).select("event_id", "device", "ts", F.col("event_type").alias("entity"))
+    expire = F.when(F.col("entity") == "purchase", F.lit(max(3600.0, METER_EXPIRY_S))).otherwise(F.lit(3600.0))
+    out = run_to_table(S.stream_entities(df, expire, "1 hour"))
+    return out.select("device", "entity", micros("ts").alias("at_us"), "available")

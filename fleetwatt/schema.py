@@ -83,6 +83,15 @@ METER_ENTITIES = {
     "meter/total_cycles": ("N", None, None, 2),
 }
 
+#: fixed values: names that meters are announced under
+METER_NAMES = {
+    "meter/total_energy": "total energy netted",
+    "meter/total_energy_charge": "total energy input",
+    "meter/total_energy_discharge": "total energy output",
+    "meter/total_charge": "total charge netted",
+    "meter/total_cycles": "total cycle count",
+}
+
 #: fixed values: scaled-integer columns of the compact export, field -> scale
 INT_SCALE = {
     "voltage": 1000,

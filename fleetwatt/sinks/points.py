@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetwatt.functions.scalar import cell_stats, hash_id, round_half_even, round_sig, topic_prefix
+from fleetwatt.operators.aggregate import METER_EXPIRY_S
 from fleetwatt.operators.folds import throttle
 from fleetwatt.operators.prefix import in_runs, released, scan
 from fleetwatt.operators.timeline import DEVICE_TIME, Timeline, micros
 from fleetwatt.operators.windows import changed_only
-from fleetwatt.schema import BOOL_FIELDS, ENTITIES, FLOAT_FIELDS, INT_SCALE, LONG_FIELDS, MAX_CELLS, METER_ENTITIES
+from fleetwatt.schema import BOOL_FIELDS, ENTITIES, FLOAT_FIELDS, INT_SCALE, LONG_FIELDS, MAX_CELLS, METER_ENTITIES, METER_NAMES
 
 def point_time_ms(time: str = "ts") -> Column:
     """Milliseconds, rounded up."""
@@ -262,6 +263,35 @@ def entity_catalog(df: DataFrame) -> DataFrame:
     return per.select("device", F.explode(every).alias("e")).select("device", "e.*")
 
 
+def entity_discovery(df: DataFrame, expire_s: int) -> DataFrame:
+    """What is announced for each entity: the catalog with its component, full name and the seconds after which a silent entity is unavailable.
+
+    Cells are numbered with leading zeros as wide as the pack needs, probes are announced only if they ever had a value, meters expire no
+    sooner than METER_EXPIRY_S, and a switch is announced as a switch and as a sensor of its state.
+    """
+    cat = entity_catalog(df)
+    number = F.regexp_extract("topic", "^(cell_voltages|temperatures)/([0-9]+)$", 2).try_cast("int")
+    cat = cat.withColumn("__n", number)
+    cell, probe = F.col("topic").startswith("cell_voltages/"), F.col("topic").startswith("temperatures/")
+    if "temperatures" in df.columns:
+        # positions with a value, a few per device
+        some = F.transform(F.col("temperatures"), lambda t, i: F.when(t.isNotNull(), i + 1))
+        known = df.groupBy("device").agg(F.array_distinct(F.flatten(F.collect_set(F.array_compact(some)))).alias("__probes"))
+        cat = cat.join(known, "device", "left").filter(~F.coalesce(probe, F.lit(False)) | F.array_contains(F.coalesce("__probes", F.array().cast("array<int>")), F.col("__n"))).drop("__probes")
+    # entities of one device: as many as it has cells, probes and fields
+    width = F.length(F.max(F.when(cell, F.col("__n"))).over(Window.partitionBy("device")).cast("string"))
+    words = F.array_join(F.transform(F.split(F.col("name"), " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))), " ")
+    meter = F.create_map(*[F.lit(x) for pair in METER_NAMES.items() for x in pair])[F.col("topic")]
+    plain = F.col("topic").isin(*ENTITIES)
+    name = F.when(cell & F.col("__n").isNotNull(), F.concat(F.lit("Cell Volt "), F.lpad(F.col("__n").cast("string"), width, "0"))).when(plain, words).otherwise(F.coalesce(meter, F.col("name")))
+    switch = F.col("topic").startswith("switch/")
+    component = F.when(switch, "switch").when(F.col("topic").isin("problem", "battery_charging"), "binary_sensor").otherwise("sensor")
+    expire = F.when(F.col("topic").startswith("meter/"), F.lit(max(expire_s, int(METER_EXPIRY_S)))).otherwise(F.lit(expire_s))
+    out = cat.select("device", component.alias("component"), "topic", name.alias("name"), "unit", "device_class", "state_class", "precision", expire.cast("int").alias("expire_after"))
+    state = out.filter(F.col("component") == "switch").withColumns({"component": F.lit("binary_sensor"), "name": F.concat("name", F.lit(" switch")), "device_class": F.lit("power")})
+    return out.unionByName(state)
+
+
 # --- writers ----------------------------------------------------------------------------------
 
 

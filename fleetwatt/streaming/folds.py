@@ -159,7 +159,8 @@ class FoldProcessor(StatefulProcessor):
                 self.waiting.removeKey((bucket,))
         return sorted(due, key=lambda r: r[:2])
 
-    def _advance(self, key, fresh: list, limit: int) -> Iterator[pd.DataFrame]:
+    def _released(self, fresh: list, limit: int) -> list:
+        """Rows that the clock has passed, in order; the others wait."""
         before = self.index.get()[0] if self.index.exists() else "[]"
         index = dict(json.loads(before))
         due = self._due(fresh, limit, index)
@@ -168,6 +169,10 @@ class FoldProcessor(StatefulProcessor):
             self.index.update((after,))
         if index and self.own_delay is None:
             self.handle.registerTimer(-(-min(index.values()) // 1000))
+        return due
+
+    def _advance(self, key, fresh: list, limit: int) -> Iterator[pd.DataFrame]:
+        due = self._released(fresh, limit)
         if due:
             state = json.loads(self.state.get()[0], object_hook=_bytes_back) if self.state.exists() else self.fold.init()
             out = []
@@ -215,6 +220,49 @@ def stream_fold(
     return out.withColumn(tl.time, F.timestamp_micros("t_us")).select(*tl.keys, tl.time, F.col("seq").alias(seq), *made.names, *[f.name for f in late])
 
 
+class EntityProcessor(FoldProcessor):
+    """Says when an entity becomes available, and, by event-time timers, when it has been silent for longer than it may."""
+
+    def __init__(self, keys: Sequence[str]):
+        super().__init__(Fold(), keys, ["t_us", "seq", "expire_us"], ["available"])
+
+    def _advance(self, key, fresh: list, limit: int) -> Iterator[pd.DataFrame]:
+        due = self._released(fresh, limit)
+        # the last time seen, how long that holds, and whether the entity is shown
+        last = json.loads(self.state.get()[0]) if self.state.exists() else None
+        out = []
+        for t, seq, expire in due:
+            if last is not None and last[2] and t - last[0] > last[1]:
+                out.append((*key, last[0] + last[1], seq, False))
+                last[2] = False
+            if last is None or not last[2]:
+                out.append((*key, t, seq, True))
+            last = [t, expire, True]
+        if last is not None and last[2]:
+            end = last[0] + last[1]
+            if limit > end:
+                out.append((*key, end, due[-1][1] if due else None, False))
+                last[2] = False
+            else:
+                self.handle.registerTimer(end // 1000 + 1)
+        if due or out:
+            self.state.update((json.dumps(last),))
+        if out:
+            yield self._frame(out)
+
+
+def stream_entities(stream: DataFrame, expire_s: Column, delay: str = "1 minute", seq: str = "event_id", tl: Timeline | None = None) -> DataFrame:
+    """(device, entity, ts, available): when entities of a stream of values (device, entity, ts) are published and withdrawn.
+
+    A value holds for `expire_s` seconds; an entity that is silent for longer becomes unavailable then, and available with its next value.
+    """
+    tl = tl or DEVICE_TIME.with_keys("device", "entity")
+    rows = stream.withWatermark(tl.time, delay).select(*tl.keys, tl.time, micros(tl.time).alias("t_us"), F.col(seq).cast("long").alias("seq"), (expire_s * 1_000_000).cast("long").alias("expire_us"))
+    schema = T.StructType([*[stream.schema[k] for k in tl.keys], T.StructField("t_us", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("available", T.BooleanType())])
+    out = rows.groupBy(*tl.keys).transformWithStateInPandas(EntityProcessor(tl.keys), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    return out.withColumn(tl.time, F.timestamp_micros("t_us")).select(*tl.keys, tl.time, "available")
+
+
 def stream_soc_controller(stream: DataFrame, devices: DataFrame, delay: str = "1 minute", tl: Timeline = DEVICE_TIME) -> DataFrame:
     """Charge-switch commands live, by the thresholds in each device's own `algorithm` text (device, algorithm); devices without one get none."""
     rule = parse_algorithm("algorithm")
