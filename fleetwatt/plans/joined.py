@@ -209,11 +209,11 @@ def group_energy(spark, sf_dir):
 @query(
     "group_commands",
     f"""WITH {TEL}, mem(grp, member) AS (VALUES ('g0', 'bms0'), ('g0', 'bms1'), ('g1', 'bms2'), ('g1', 'bms3')),
-c AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'g' || (event_id % 2) ELSE device END AS device, sw_charge AS value FROM tel WHERE event_type = 'error')
+c AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'g' || (event_id % 2) ELSE device END AS device, sw_charge AS value FROM tel)
 SELECT event_id, device, coalesce(member, device) AS target, value FROM c LEFT JOIN mem ON device = grp""",
 )
 def group_commands(spark, sf_dir):
-    cmd = samples(spark, sf_dir).filter("event_type = 'error'").select(
+    cmd = samples(spark, sf_dir).select(
         "event_id", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("g"), (F.col("event_id") % 2).cast("string"))).otherwise(F.col("device")).alias("device"),
         F.col("switches")["charge"].alias("value"),
     )

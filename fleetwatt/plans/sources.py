@@ -175,25 +175,25 @@ def group_members(spark, sf_dir):
     return R.read_group_members(R.parse_device_docs(docs)).select("group", "member", "ord")
 
 
+#: what each kind of event measures
+_SIGNALS = {"view": "voltage", "click": "current", "signup": "soc", "purchase": "power", "error": "temperature"}
+_LAST = ",\n".join(f"  last_value(CASE WHEN signal = '{s}' THEN value END IGNORE NULLS) OVER w AS {s}, last_value(CASE WHEN signal = '{s}' THEN t_us END IGNORE NULLS) OVER w AS t_{s}" for s in _SIGNALS.values())
+
+
 @query(
     "assemble_signals",
     f"""WITH {TEL}, s AS (
-  SELECT event_id, device, ts, t_us, CASE event_type WHEN 'view' THEN 'voltage' WHEN 'click' THEN 'current' WHEN 'signup' THEN 'soc' END AS signal, value
-  FROM tel WHERE event_type IN ('view', 'click', 'signup')),
+  SELECT event_id, device, ts, t_us, CASE event_type {" ".join(f"WHEN '{e}' THEN '{s}'" for e, s in _SIGNALS.items())} END AS signal, value FROM tel),
 k AS (SELECT event_id, device, t_us,
-  last_value(CASE WHEN signal = 'voltage' THEN value END IGNORE NULLS) OVER w AS voltage, last_value(CASE WHEN signal = 'voltage' THEN t_us END IGNORE NULLS) OVER w AS tv,
-  last_value(CASE WHEN signal = 'current' THEN value END IGNORE NULLS) OVER w AS current, last_value(CASE WHEN signal = 'current' THEN t_us END IGNORE NULLS) OVER w AS ti,
-  last_value(CASE WHEN signal = 'soc' THEN value END IGNORE NULLS) OVER w AS soc, last_value(CASE WHEN signal = 'soc' THEN t_us END IGNORE NULLS) OVER w AS tq
+{_LAST}
   FROM s WINDOW w AS (PARTITION BY device ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
-SELECT event_id, device, greatest(tv, ti, tq) AS sample_us, voltage, current, soc,
-       t_us - tv > 1800000000 AS stale_voltage, t_us - ti > 1800000000 AS stale_current, t_us - tq > 1800000000 AS stale_soc
+SELECT event_id, device, greatest({", ".join(f"t_{s}" for s in _SIGNALS.values())}) AS sample_us, {", ".join(_SIGNALS.values())},
+       {", ".join(f"t_us - t_{s} > 1800000000 AS stale_{s}" for s in _SIGNALS.values())}
 FROM k""",
 )
 def assemble_signals(spark, sf_dir):
-    t = F.col("event_type")
-    log = samples(spark, sf_dir).select(
-        "event_id", "device", "ts", "value",
-        F.when(t == "view", "voltage").when(t == "click", "current").when(t == "signup", "soc").alias("signal"),
-    ).filter("signal IS NOT NULL")
-    wide = R.assemble_signals(log, ("voltage", "current", "soc"), 1800.0, Timeline())
+    """Each kind of event is a signal of its own."""
+    named = F.create_map(*[F.lit(x) for pair in _SIGNALS.items() for x in pair])[F.col("event_type")]
+    log = samples(spark, sf_dir).select("event_id", "device", "ts", "value", named.alias("signal"))
+    wide = R.assemble_signals(log, tuple(_SIGNALS.values()), 1800.0, Timeline())
     return wide.withColumn("sample_us", F.unix_micros("sample_ts")).drop("ts", "sample_ts")
