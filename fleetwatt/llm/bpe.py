@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 #: The usual byte-level split before merges (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Words whose tokens a worker remembers; later new words are encoded each time they come.
-REMEMBERED = 150_000
+#: Words whose tokens a worker remembers, and letters of such a word at most; other words are encoded each time they come.
+#: Together they bound the bytes of the memory.
+REMEMBERED = 120_000
+SHORT = 40
 
 #: Pairs of tokens whose arc is remembered as open or closed.
 ARCS = 150_000
@@ -133,7 +135,7 @@ class Memory(dict):
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         ids = self.a.path(word.encode(), self.arcs)
-        if len(self) < REMEMBERED:
+        if len(word) <= SHORT and len(self) < REMEMBERED:
             self[word] = ids
         return ids
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetwatt.llm import bpe, embeddings, language, licenses, minhash, mixing, mixture_lm, negatives, pii, quality, repeats, search, secrets
+from fleetwatt.llm.text import small_batches
 from fleetwatt.session import use_utc
 
 #: Production parameters of the registered mixture.
@@ -21,6 +22,7 @@ def query(name: str, sql: str | None = None):
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             use_utc(spark)
+            small_batches(spark)
             return fn(spark, sf_dir)
 
         run.__name__, run.__doc__ = name, fn.__doc__

@@ -13,7 +13,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once; a longer text is a piece of its own.
-PIECE = 1 << 20
+PIECE = (1 << 19) - 64
+
+#: Bytes of an Arrow batch between Spark and its Python workers; a longer row is a batch of its own.
+BATCH = 1 << 22
 
 GAP = np.zeros(256, bool)
 GAP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -42,7 +45,7 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE ** i and BASE ** -i modulo 2 ** 64 for i up to n."""
-    size = 1 << max(21, int(n).bit_length())
+    size = 1 << max(19, int(n).bit_length())
     if size not in _POWERS:
         _POWERS.clear()
         out = []
@@ -54,6 +57,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
+def small_batches(spark) -> None:
+    """From now on the session's Arrow batches hold about BATCH bytes, not some number of rows of any length."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(key)).rstrip("b")) != BATCH:
+        spark.conf.set(key, BATCH)
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, and where each begins (one entry more than texts)."""
     if isinstance(texts, pa.ChunkedArray):

@@ -11,10 +11,16 @@ from math import floor, isfinite, log
 from pathlib import Path
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 sys.path.insert(0, str(Path(__file__).parent))
 
+import brute  # noqa: E402
+
+import corpus_pipeline  # noqa: E402
 from fleetwatt.llm import crf, embeddings, minhash, negatives, pii, pii_table, queries, search, secret_table, secrets  # noqa: E402
 
 VECTORS = "vec_id bigint, embedding array<double>, label int, anchor string, slot string, score string"
@@ -320,3 +326,31 @@ def test_secrets_on_any_partitions(spark, sf):
         seen.append({tuple(r) for r in rows})
     assert seen[0] == seen[1] == seen[2]
     assert {i for i, _ in seen[0]} >= {-1, -2, -3, -4} and len(seen[0]) < 8
+
+
+def test_pipeline_against_a_plain_version(spark, hard):
+    """What comes out of all stages, apart from how often a document is repeated."""
+    docs = spark.read.parquet(f"{hard}/documents.parquet")
+    rows = [r for r in (tuple(r) for r in docs.select("doc_id", "text", "source").collect()) if r[1] and any(c.isalpha() for c in r[1])]
+    component = brute.near([r[:2] for r in rows], 80)
+    left = [r for r, (i, _, c) in zip(rows, component, strict=True) if i is None or i == c]
+    named = {r[:2]: r for r in left if r[0] is not None}
+    left = [r for r in left if r[0] is None] + list(named.values())
+    frame = spark.createDataFrame(left, "doc_id bigint, text string, source string")
+    field = secrets.learn(frame)
+    found = secrets.found_in(field, pa.array([r[1] for r in left], pa.string()))
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = set()
+    for (i, text, source), spans in zip(left, found, strict=True):
+        clean = secrets.redacted(text, [(s, t) for _, s, t in spans])
+        ids = lib.encode(clean, add_special_tokens=False).ids
+        want.add((i, source, len(ids), sha256(",".join(map(str, ids)).encode()).hexdigest()))
+    got = [tuple(r) for r in corpus_pipeline.run(spark, hard).select("doc_id", "source", "n_tokens", "ids_sha256").collect()]
+    assert set(got) == want
+    assert len(got) >= len(left)
+
+
+def test_pipeline_keeps_lettered_documents_when_no_language_is_known(spark):
+    rows = [(0, "some words", None), (1, "123", None), (2, None, None), (3, "été", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert sorted(r[0] for r in corpus_pipeline.languages(spark, docs, "").collect()) == [0, 3]
