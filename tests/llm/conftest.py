@@ -5,6 +5,7 @@ from pyspark.sql import types as T
 
 #: Columns of documents, and others whose names the operators use inside.
 DOCUMENTS = T.StructType([T.StructField(n, t) for n, t in [("doc_id", T.LongType()), ("text", T.StringType()), ("lang", T.StringType()), ("source", T.StringType()), ("n_chars", T.LongType()), ("node", T.StringType()), ("id", T.StringType()), ("copies", T.StringType()), ("row", T.StringType()), ("x", T.StringType()), ("_maybe", T.StringType())]])
+ITEMS = "item_id bigint, text string, doc_id string"
 VECTORS = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("label", T.IntegerType()), T.StructField("node", T.StringType()), T.StructField("m", T.StringType())])
 
 
@@ -65,6 +66,7 @@ def hard(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("hard"))
     spark.createDataFrame(hard_documents(), DOCUMENTS).coalesce(3).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(hard_vectors(), VECTORS).coalesce(2).write.parquet(f"{folder}/embeddings.parquet")
+    spark.createDataFrame([(0, "one two three four five", "d"), (0, "password haus", "d"), (None, None, None), (1, "", "d")], ITEMS).write.parquet(f"{folder}/benchmark.parquet")
     return folder
 
 
@@ -73,4 +75,5 @@ def empty(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("empty"))
     spark.createDataFrame([], DOCUMENTS).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], VECTORS).write.parquet(f"{folder}/embeddings.parquet")
+    spark.createDataFrame([], ITEMS).write.parquet(f"{folder}/benchmark.parquet")
     return folder
