@@ -3,7 +3,8 @@
 A micro-batch brings rows of a key in any order. They wait in keyed state until the watermark has
 passed them, are then stepped in order, and only then emitted, so the stream gives the rows the batch
 runner gives. Waiting rows lie in a map by time bucket, and a batch reads only the buckets that are due or get new rows, so
-what it touches doesn't grow with the delay.
+what it touches doesn't grow with the delay. A key of which many rows come at once puts them aside in runs, each in order and cut
+in small pieces, and merges the runs piece by piece when they are due: a task holds `HELD_ROWS` rows and a piece of each run.
 
 There are two clocks. With Spark's watermark, rows behind it are dropped before they reach the state; `late_policy` can put rows
 aside by their age before. With `keep_late`, each key has a clock of its own in its state, the greatest time seen less the delay, and
@@ -14,7 +15,9 @@ from __future__ import annotations
 
 import base64
 import json
+from bisect import bisect_left
 from collections.abc import Iterator, Mapping, Sequence
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -95,6 +98,10 @@ def _bytes_back(d: dict):
 
 #: Width of a bucket of waiting rows.
 BUCKET_US = 60_000_000
+#: Rows of a key that are held at once, and of a piece of a run; fewer than a piece go to buckets.
+HELD_ROWS, PIECE_ROWS = 50_000, 500
+
+IN_ORDER = itemgetter(0, 1)
 
 
 class FoldProcessor(StatefulProcessor):
@@ -109,27 +116,39 @@ class FoldProcessor(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "bucket bigint", "rows string")
         #: the buckets that hold rows, and the least time in each
         self.index = handle.getValueState("index", "buckets string")
+        self.runs = handle.getMapState("runs", "piece bigint", "rows string")
+        #: the pieces of runs, and the least time in each
+        self.pieces = handle.getValueState("pieces", "pieces string")
         self.clock = handle.getValueState("clock", "t bigint")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         self.state.update((initialState["state"].iloc[0],))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fresh = []
-        for pdf in rows:
-            cols = [[_plain(v) for v in pdf[c].tolist()] for c in self.names]
-            fresh += [list(r) for r in zip(*cols)]
+        passed = None
         if self.own_delay is None:
-            yield from self._advance(key, fresh, timerValues.getCurrentWatermarkInMs() * 1000)
+            limit = timerValues.getCurrentWatermarkInMs() * 1000
         else:
-            passed = self.clock.get()[0] if self.clock.exists() else None
-            late = [r for r in fresh if passed is not None and r[0] <= passed]
-            fresh = [r for r in fresh if passed is None or r[0] > passed]
-            now = max([r[0] - self.own_delay for r in fresh] + ([] if passed is None else [passed]))
-            self.clock.update((now,))
-            if late:
-                yield self._frame([(*key, r[0], r[1], *[None] * len(self.outputs), True) for r in late])
-            yield from self._advance(key, fresh, now)
+            passed = limit = self.clock.get()[0] if self.clock.exists() else None
+        held = []
+        for pdf in rows:
+            cols = [[_plain(v) for v in pdf[c].tolist()] for c in self.names]
+            fresh = [list(r) for r in zip(*cols)]
+            if self.own_delay is not None:
+                late = [r for r in fresh if passed is not None and r[0] <= passed]
+                fresh = [r for r in fresh if passed is None or r[0] > passed]
+                limit = max([r[0] - self.own_delay for r in fresh] + ([] if limit is None else [limit]))
+                if late:
+                    yield self._frame([(*key, r[0], r[1], *[None] * len(self.outputs), True) for r in late])
+            held += fresh
+            if len(held) >= HELD_ROWS:
+                pieces = self._known(self.pieces)
+                self._put_run(held, pieces)
+                self._keep(self.pieces, pieces)
+                held = []
+        if self.own_delay is not None:
+            self.clock.update((limit,))
+        yield from self._advance(key, held, limit)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self._advance(key, [], timerValues.getCurrentWatermarkInMs() * 1000)
@@ -137,50 +156,79 @@ class FoldProcessor(StatefulProcessor):
     def _frame(self, rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=[*self.keys, "t_us", "seq", *self.outputs, *([] if self.own_delay is None else ["late"])])
 
-    def _read(self, bucket: int) -> list:
-        return json.loads(self.waiting.getValue((bucket,))[0], object_hook=_bytes_back)
+    def _read(self, number: int, store=None) -> list:
+        return json.loads((store or self.waiting).getValue((number,))[0], object_hook=_bytes_back)
+
+    def _known(self, index) -> dict[int, int]:
+        return dict(json.loads(index.get()[0])) if index.exists() else {}
+
+    def _keep(self, index, known: dict[int, int]) -> None:
+        if known != self._known(index):
+            index.update((json.dumps(sorted(known.items())),))
+
+    def _put_run(self, rows: list, pieces: dict[int, int]) -> None:
+        rows.sort(key=IN_ORDER)
+        first = max(pieces, default=-1) + 1
+        for i, at in enumerate(range(0, len(rows), PIECE_ROWS)):
+            self.runs.updateValue((first + i,), (json.dumps(rows[at : at + PIECE_ROWS], default=_bytes_out),))
+            pieces[first + i] = rows[at][0]
 
-    def _due(self, fresh: list, limit: int, index: dict[int, int]) -> list:
-        """Rows up to `limit` in order; the others are put to their buckets."""
-        due = [r for r in fresh if r[0] <= limit]
+    def _put_buckets(self, rows: list, buckets: dict[int, int]) -> None:
         put: dict[int, list] = {}
-        for r in fresh:
-            if r[0] > limit:
-                put.setdefault(r[0] // BUCKET_US, []).append(r)
-        for bucket in {*put, *[b for b, least in index.items() if least <= limit]}:
-            rows = (self._read(bucket) if bucket in index else []) + put.get(bucket, [])
+        for r in rows:
+            put.setdefault(r[0] // BUCKET_US, []).append(r)
+        for bucket, new in put.items():
+            every = (self._read(bucket) if bucket in buckets else []) + new
+            buckets[bucket] = min(r[0] for r in every)
+            self.waiting.updateValue((bucket,), (json.dumps(every, default=_bytes_out),))
+
+    def _due(self, fresh: list, limit: int, buckets: dict[int, int], pieces: dict[int, int]) -> Iterator[list]:
+        """Rows up to `limit` in order, part by part; the others are put to buckets or a run."""
+        due, rest = [r for r in fresh if r[0] <= limit], [r for r in fresh if r[0] > limit]
+        stored = [(least, n, index, store) for index, store in ((buckets, self.waiting), (pieces, self.runs)) for n, least in index.items() if least <= limit]
+        full = HELD_ROWS
+        for least, n, index, store in sorted(stored, key=itemgetter(0)):
+            if len(due) >= full:
+                due.sort(key=IN_ORDER)
+                # what is not read yet has no row before `least`
+                ready = bisect_left(due, least, key=itemgetter(0))
+                if ready:
+                    yield due[:ready]
+                due = due[ready:]
+                full = len(due) + HELD_ROWS
+            rows = self._read(n, store)
             due += [r for r in rows if r[0] <= limit]
-            rest = [r for r in rows if r[0] > limit]
-            if rest:
-                index[bucket] = min(r[0] for r in rest)
-                self.waiting.updateValue((bucket,), (json.dumps(rest, default=_bytes_out),))
-            elif bucket in index:
-                del index[bucket]
-                self.waiting.removeKey((bucket,))
-        return sorted(due, key=lambda r: r[:2])
-
-    def _released(self, fresh: list, limit: int) -> list:
-        """Rows that the clock has passed, in order; the others wait."""
-        before = self.index.get()[0] if self.index.exists() else "[]"
-        index = dict(json.loads(before))
-        due = self._due(fresh, limit, index)
-        after = json.dumps(sorted(index.items()))
-        if after != before:
-            self.index.update((after,))
-        if index and self.own_delay is None:
-            self.handle.registerTimer(-(-min(index.values()) // 1000))
-        return due
+            rest += [r for r in rows if r[0] > limit]
+            store.removeKey((n,))
+            del index[n]
+        if due:
+            yield sorted(due, key=IN_ORDER)
+        if len(rest) < PIECE_ROWS:
+            self._put_buckets(rest, buckets)
+        else:
+            self._put_run(rest, pieces)
+
+    def _released(self, fresh: list, limit: int) -> Iterator[list]:
+        """Rows that the clock has passed, in order, part by part; the others wait."""
+        buckets, pieces = self._known(self.index), self._known(self.pieces)
+        yield from self._due(fresh, limit, buckets, pieces)
+        self._keep(self.index, buckets)
+        self._keep(self.pieces, pieces)
+        if (buckets or pieces) and self.own_delay is None:
+            self.handle.registerTimer(-(-min([*buckets.values(), *pieces.values()]) // 1000))
 
     def _advance(self, key, fresh: list, limit: int) -> Iterator[pd.DataFrame]:
-        due = self._released(fresh, limit)
-        if due:
-            state = json.loads(self.state.get()[0], object_hook=_bytes_back) if self.state.exists() else self.fold.init()
+        state = None
+        for due in self._released(fresh, limit):
+            if state is None:
+                state = json.loads(self.state.get()[0], object_hook=_bytes_back) if self.state.exists() else self.fold.init()
             out = []
             for r in due:
                 state, got = self.fold.step(state, tuple(r[2:]))
                 out.append((*key, r[0], r[1], *got, *([] if self.own_delay is None else [False])))
-            self.state.update((json.dumps(state, default=_bytes_out),))
             yield self._frame(out)
+        if state is not None:
+            self.state.update((json.dumps(state, default=_bytes_out),))
 
     def close(self) -> None:
         pass
@@ -227,28 +275,29 @@ class EntityProcessor(FoldProcessor):
         super().__init__(Fold(), keys, ["t_us", "seq", "expire_us"], ["available"])
 
     def _advance(self, key, fresh: list, limit: int) -> Iterator[pd.DataFrame]:
-        due = self._released(fresh, limit)
         # the last time seen, how long that holds, and whether the entity is shown
-        last = json.loads(self.state.get()[0]) if self.state.exists() else None
-        out = []
-        for t, seq, expire in due:
-            if last is not None and last[2] and t - last[0] > last[1]:
-                out.append((*key, last[0] + last[1], seq, False))
-                last[2] = False
-            if last is None or not last[2]:
-                out.append((*key, t, seq, True))
-            last = [t, expire, True]
+        before = json.loads(self.state.get()[0]) if self.state.exists() else None
+        last, newest = before, None
+        for due in self._released(fresh, limit):
+            out = []
+            for t, seq, expire in due:
+                if last is not None and last[2] and t - last[0] > last[1]:
+                    out.append((*key, last[0] + last[1], seq, False))
+                    last = [*last[:2], False]
+                if last is None or not last[2]:
+                    out.append((*key, t, seq, True))
+                last, newest = [t, expire, True], seq
+            if out:
+                yield self._frame(out)
         if last is not None and last[2]:
             end = last[0] + last[1]
             if limit > end:
-                out.append((*key, end, due[-1][1] if due else None, False))
-                last[2] = False
+                last = [*last[:2], False]
+                yield self._frame([(*key, end, newest, False)])
             else:
                 self.handle.registerTimer(end // 1000 + 1)
-        if due or out:
+        if last != before:
             self.state.update((json.dumps(last),))
-        if out:
-            yield self._frame(out)
 
 
 def stream_entities(stream: DataFrame, expire_s: Column, delay: str = "1 minute", seq: str = "event_id", tl: Timeline | None = None) -> DataFrame:
