@@ -123,9 +123,9 @@ def stream_keepalive(spark, sf_dir):
     f"""WITH {TEL} SELECT event_id, device, CASE WHEN event_id % 50 > 30 THEN 'late' ELSE 'fresh' END AS kind FROM tel""",
 )
 def stream_late(spark, sf_dir):
-    """Both sides of the age rule, each in a table of its own; none is lost."""
+    """Both sides of the age rule, each in a table of its own; none is lost: a repeat is the same event, not another of its instant."""
     fresh, late = S.late_policy(_input(spark, sf_dir), 30.0)
-    fresh = S.drop_repeats(fresh, "1 hour", ("device", "ts"))
+    fresh = S.drop_repeats(fresh, "1 hour", ("device", "ts", "event_id"))
     out = [
         run_to_table(df.select("event_id", "device")).withColumn("kind", F.lit(kind)) for kind, df in (("fresh", fresh), ("late", late))
     ]
