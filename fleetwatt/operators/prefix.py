@@ -21,6 +21,7 @@ keys and microsecond stay together.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ FIRST = "__first"
 HEAD = "__head_"
 NONE = -2
 
-KINDS = ("lag", "last", "last_before", "total", "total_before", "high", "low", "high_before", "low_before")
+KINDS = ("lag", "last", "last_before", "total", "total_before", "high", "low", "high_before", "low_before", "items_before")
 
 
 #: Rows of a task that bounds are sampled from; lanes in which samples are thinned, and rows left of a lane.
@@ -164,6 +165,8 @@ class _Running:
         begin = np.maximum.accumulate(np.where(fresh, at, -1))
         if self.carried is None or fresh[0]:
             self.carried = pa.nulls(1, col.type)
+        if self.kind == "items_before":
+            return self._items(col, begin)
         valid = col.is_valid().to_numpy(zero_copy_only=False)
         if self.kind == "lag":
             source = np.where(fresh, NONE, at - 1)
@@ -185,6 +188,38 @@ class _Running:
         self.carried = pa.nulls(1, col.type) if keep == NONE else every.slice(int(keep) + 1, 1)
         return out
 
+    def _items(self, col: pa.StructArray, begin: np.ndarray) -> pa.Array:
+        """For each item of a list the last value known at its place before this row; `reset` on a row forgets all before it."""
+        n, (reset, lists) = len(col), col.flatten()
+        reset = pc.fill_null(reset, False).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = lists.offsets.to_numpy()[:-1].astype(np.int64)
+        ends = np.cumsum(sizes)
+        row = np.repeat(np.arange(n), sizes)
+        place = np.arange(len(row)) - np.repeat(ends - sizes, sizes)
+        values = lists.values.take(pa.array(starts[row] + place))
+        old = pc.list_flatten(self.carried.flatten()[1]) if self.carried[0].is_valid else values.slice(0, 0)
+        wide = max(int(sizes.max(initial=0)), len(old))
+        # row i + 1 has the position, among old and new values, of what row i leaves at each place
+        at = np.full((n + 1, wide), NONE)
+        at[0, : len(old)] = np.arange(len(old))
+        known = values.is_valid().to_numpy(zero_copy_only=False)
+        at[row[known] + 1, place[known]] = len(old) + np.flatnonzero(known)
+        # positions grow with the rows, so the greatest is the last; one from before the key's or the lists' begin counts for nothing
+        at = np.maximum.accumulate(at, axis=0)
+        since = np.maximum(begin, np.maximum.accumulate(np.where(reset, np.arange(n), -1)))
+        least = np.where(since < 0, 0, len(old) + (ends - sizes)[since])
+        every = pa.concat_arrays([old, values])
+        source = at[row, place]
+        before = every.take(pa.array(source, mask=source < least[row]))
+        offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+        left = every.take(pa.array(at[n], mask=at[n] < least[n - 1]))
+        begun = begin[n - 1] < 0 and self.carried[0].is_valid and self.carried[0]["reset"].as_py()
+        was_reset = pa.array([bool(begun or reset[max(begin[n - 1], 0) :].any())])
+        made = lambda r, o, v: pa.StructArray.from_arrays([r, pa.ListArray.from_arrays(o, v)], names=["reset", "items"])
+        self.carried = made(was_reset, pa.array([0, wide], pa.int32()), left)
+        return made(pa.array(reset), offsets, before)
+
     def _worked(self, col: pa.Array, valid: np.ndarray, fresh: np.ndarray, seen: np.ndarray) -> pa.Array:
         """Running sums or extremes, zero where no value was seen yet."""
         whole = pa.types.is_integer(col.type)
@@ -242,6 +277,9 @@ def _joined_heads(n_keys: int, wanted: Mapping[str, tuple[str, str]]):
         if not new.is_valid or not old.is_valid:
             return new if new.is_valid else old
         base = kind.removesuffix("_before")
+        if base == "items":
+            a, b = old.as_py(), new.as_py()
+            return new if b["reset"] else pa.scalar({"reset": a["reset"], "items": [y if y is not None else x for x, y in zip_longest(a["items"], b["items"])]}, new.type)
         if base.startswith("last"):
             return new
         a, b = old.as_py(), new.as_py()
@@ -327,6 +365,11 @@ def joined_back(rows: DataFrame, keys: Sequence[str], order: Sequence[str], colu
     return with_heads(rows, heads)
 
 
+def _with_unknown(t: T.StructType) -> T.StructType:
+    """The type of (reset, items) where items may be missing."""
+    return T.StructType([T.StructField("reset", T.BooleanType()), T.StructField("items", T.ArrayType(t["items"].dataType.elementType))])
+
+
 def scan(
     df: DataFrame,
     tl: Timeline = DEVICE_TIME,
@@ -340,6 +383,7 @@ def scan(
     low: Mapping[str, Column] | None = None,
     high_before: Mapping[str, Column] | None = None,
     low_before: Mapping[str, Column] | None = None,
+    items_before: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Add running columns along each key's timeline.
 
@@ -348,10 +392,12 @@ def scan(
     total        running sum of numbers up to this row, null before the first one
     high, low    running maximum / minimum of numbers up to this row
     .._before    the same without this row
+    items_before from structs of (reset, items): the same struct with the last value known at each place of the list before this row;
+                 a row whose reset is true knows none, and hides the rows before it
 
     A table in runs stays in runs; any other is brought in runs, and comes back without RUN.
     """
-    given = dict(zip(KINDS, (lag, last, last_before, total, total_before, high, low, high_before, low_before), strict=True))
+    given = dict(zip(KINDS, (lag, last, last_before, total, total_before, high, low, high_before, low_before, items_before), strict=True))
     tl = tl.of(df)
     rows = in_runs(df, tl)
     wanted = {out: (kind, f"__in_{out}") for kind, cols in given.items() for out in cols or {}}
@@ -362,8 +408,9 @@ def scan(
     wide = {a: "bigint" if isinstance(rows.schema[a].dataType, T.IntegralType) else "double" for o, (kind, a) in wanted.items() if kind.startswith("total")}
     rows = rows.withColumns({a: F.col(a).cast(kind) for a, kind in wide.items()}) if wide else rows
 
-    fields = [T.StructField(HEAD + o, rows.schema[a].dataType) for o, (_, a) in wanted.items()]
+    kinds = {o: _with_unknown(rows.schema[a].dataType) if kind == "items_before" else rows.schema[a].dataType for o, (kind, a) in wanted.items()}
+    fields = [T.StructField(HEAD + o, t) for o, t in kinds.items()]
     with_carry = joined_back(rows, tl.keys, tl.order, fields, _heads(tl.keys, wanted, tl.order), _joined_heads(len(tl.keys), wanted))
-    schema = T.StructType([*[rows.schema[c] for c in keep], *[T.StructField(o, rows.schema[a].dataType) for o, (_, a) in wanted.items()]])
+    schema = T.StructType([*[rows.schema[c] for c in keep], *[T.StructField(o, t) for o, t in kinds.items()]])
     out = with_carry.mapInArrow(_scanned(tl.keys, tl.order, keep, wanted), schema)
     return released(out, df)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from fleetwatt.functions.scalar import cell_stats, hash_id, round_half_even, round_sig, topic_prefix
 from fleetwatt.operators.aggregate import METER_EXPIRY_S
 from fleetwatt.operators.folds import throttle
-from fleetwatt.operators.prefix import in_runs, released, scan
+from fleetwatt.operators.prefix import RUN, in_runs, released, scan
 from fleetwatt.operators.timeline import DEVICE_TIME, Timeline, micros
 from fleetwatt.operators.windows import changed_only
 from fleetwatt.schema import BOOL_FIELDS, ENTITIES, FLOAT_FIELDS, INT_SCALE, LONG_FIELDS, MAX_CELLS, METER_ENTITIES, METER_NAMES
@@ -76,18 +76,21 @@ def cell_points(
 
 
 def changed_cells(df: DataFrame, keys: Sequence[str] = ("device", "ts"), refresh: Column | None = None, tl: Timeline = DEVICE_TIME) -> DataFrame:
-    """(keys, cell_index, voltage): one row per changed cell, however many cells the pack has."""
+    """(keys, cell_index, voltage): one row per changed cell, however many cells the pack has.
+
+    Samples are ordered, not their cells: a run carries the last known values of a pack's cells along.
+    """
     tl, size = tl.of(df), F.size("cell_mv")
-    df = scan(in_runs(df, tl), tl, lag={"__size": size})
-    df = scan(df, tl, last={"__since": F.when(F.col("__size").isNotNull() & (F.col("__size") != size), tl.order_key())})
     whole = F.coalesce(refresh, F.lit(False)) if refresh is not None else F.lit(False)
-    cells = df.select(*dict.fromkeys([*keys, *tl.keys, *tl.order]), whole.alias("__whole"), "__since", F.posexplode("cell_mv").alias("cell_index", "voltage"))
-    cells = cells.filter("voltage IS NOT NULL")
-    per_cell = tl.with_keys(*tl.keys, "cell_index")
-    cells = scan(cells, per_cell, lag={"__old": F.struct(tl.order_key().alias("at"), F.col("voltage").alias("v"))})
-    old = F.col("__old")
-    same = old.isNotNull() & (F.col("__since").isNull() | (old["at"] >= F.col("__since"))) & (old["v"] == F.col("voltage"))
-    return cells.filter(F.col("__whole") | ~F.coalesce(same, F.lit(False))).select(*keys, "cell_index", "voltage")
+    df = df.select(*dict.fromkeys([*keys, *tl.keys, *tl.order, *[c for c in (RUN,) if c in df.columns]]), whole.alias("__whole"), "cell_mv")
+    df = scan(in_runs(df, tl), tl, lag={"__size": size})
+    reset = F.coalesce(F.col("__size") != size, F.lit(False))
+    df = scan(df, tl, items_before={"__old": F.struct(reset.alias("reset"), F.col("cell_mv").alias("items"))})
+    pairs = F.arrays_zip(F.col("cell_mv").alias("now"), F.col("__old.items").alias("old"))
+    cells = df.select(*keys, "__whole", F.posexplode(pairs).alias("cell_index", "__cell"))
+    now, old = F.col("__cell.now"), F.col("__cell.old")
+    changed = now.isNotNull() & (F.col("__whole") | old.isNull() | (old != now))
+    return cells.filter(changed).select(*keys, "cell_index", now.alias("voltage"))
 
 
 def changed_cells_long(points: DataFrame, n_cells: int, keys: Sequence[str] = ("device", "ts")) -> DataFrame:
