@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fleetwatt.operators import aggregate as A
 from fleetwatt.operators import meters as M
 from fleetwatt.operators.prefix import in_runs
-from fleetwatt.plans.energy import GAP_S, INC, powered
+from fleetwatt.plans.energy import GAP_S, INC, metered, powered
 from fleetwatt.plans.registry import query, r6
 from fleetwatt.plans.telemetry import TEL, events, samples
 
@@ -73,7 +73,7 @@ SELECT device, day, round(coalesce(sum(use), 0), 6) + 0.0 AS consumption FROM u
 )
 def daily_utility_meter(spark, sf_dir):
     """Daily discharge energy from the running meter, through resets of the shown reading."""
-    df = M.meter_increments(in_runs(powered(spark, sf_dir)), GAP_S)
+    df = M.meter_increments(in_runs(metered(spark, sf_dir)), GAP_S)
     df = M.meter_readings(df, before=("total_energy_discharge", "event_id"))
     shown = lambda x: F.when(F.col(f"event_id{x}") % 400 < 200, F.col(f"total_energy_discharge{x}")).otherwise(F.col(f"total_energy_discharge{x}") - 1)
     out = M.utility_meter(df, shown(""), "day", previous=shown("_before"))

@@ -21,6 +21,11 @@ def powered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples(spark, sf_dir).withColumn("power", F.col("voltage") * F.col("current"))
 
 
+def metered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What meters read; any other column would go through every scan."""
+    return powered(spark, sf_dir).select("event_id", "device", "ts", "current", "power", "soc", "charge")
+
+
 INC = """inc AS (
   SELECT *, CASE WHEN dx <= 1 THEN dx * (pi + current) / 2 ELSE 0 END AS d_charge,
          CASE WHEN dx <= 1 THEN dx * (pp + p) * 0.001 / 2 ELSE 0 END AS d_net,

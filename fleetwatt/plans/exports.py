@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fleetwatt.functions.scalar import flatten_columns
 from fleetwatt.operators import meters as M
 from fleetwatt.operators.prefix import in_runs
-from fleetwatt.plans.energy import GAP_S, INC, powered
+from fleetwatt.plans.energy import GAP_S, INC, metered, powered
 from fleetwatt.plans.joined import device_table
 from fleetwatt.plans.registry import query, r6
 from fleetwatt.plans.scalars import CELL_STATS_SQL
@@ -157,7 +157,7 @@ def export_changes(spark, sf_dir):
 SELECT device, (t_us // 30000000) * 30 AS period, round_even(arg_max(e, event_id), 5) + 0.0 AS meter_total_energy, round_even(arg_max(c, event_id), 5) + 0.0 AS meter_total_cycles FROM r GROUP BY ALL""",
 )
 def meter_points(spark, sf_dir):
-    readings = M.meter_readings(M.meter_increments(in_runs(powered(spark, sf_dir)), GAP_S))
+    readings = M.meter_readings(M.meter_increments(in_runs(metered(spark, sf_dir)), GAP_S))
     out = P.meter_points(readings, ("total_energy", "total_cycles"))
     return out.withColumns({c: F.col(c) + F.lit(0.0) for c in ("meter_total_energy", "meter_total_cycles")})
 

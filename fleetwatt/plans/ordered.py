@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fleetwatt.operators import meters as M
 from fleetwatt.operators import windows as W
 from fleetwatt.operators.prefix import in_runs
-from fleetwatt.plans.energy import GAP_S, INC, powered
+from fleetwatt.plans.energy import GAP_S, INC, metered, powered
 from fleetwatt.plans.registry import query, r6
 from fleetwatt.plans.telemetry import TEL, samples
 
@@ -49,7 +49,7 @@ SELECT event_id, device, round(sum(d_charge) OVER w, 6) + 0.0 AS total_charge, r
 FROM inc WINDOW w AS {WIN}""",
 )
 def meter_readings(spark, sf_dir):
-    df = M.meter_readings(M.meter_increments(in_runs(powered(spark, sf_dir)), GAP_S))
+    df = M.meter_readings(M.meter_increments(in_runs(metered(spark, sf_dir)), GAP_S))
     return df.select("event_id", "device", *[r6(m).alias(m) for m in M.METERS])
 
 
